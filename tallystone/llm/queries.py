@@ -4,8 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import ngram_join
-from tallystone.llm._shared import source
+from tallystone.llm import line_dedup, mixing, ngram_join, token_counts, warc
+from tallystone.llm._shared import Scratch, source
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that more than a tenth of their source's documents share."""
+    found = line_dedup.drop_boilerplate(spark, source(spark, sf_dir, "documents"), counts=True)
+    return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to a content-addressed archive and read back from it."""
+    folder = Scratch(spark, "warc").root
+    warc.write(source(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by weights 1, 2, 3, repeating, takes of each document."""
+    found = mixing.mix(spark, source(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +33,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and longest-match tokens of each document, by a public vocabulary."""
+    return token_counts.count_tokens(spark, source(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_source_mixing, op7_ngram_jaccard_join, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
