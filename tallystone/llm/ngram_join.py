@@ -8,12 +8,12 @@ A partner of a set of n shingles shares at least T = ceil(percent * n / 100) of
 list. As in DivideSkip, a set's lists fall into short ones, which are merged, and L long ones, which are only
 probed: a partner must occur in at least c = T - L of the short lists. One fixed order of all shingles decides:
 first those without frequent words, then by the sum of their frequent words' weights, then by hash; the first
-n - T + c lists are merged, the rest are probed. Spark's external sort merges the lists (the heap merge, spilling
+n - T + c lists are merged (c is MERGED, or T if that is less), the rest are probed. Spark's external sort merges the lists (the heap merge, spilling
 where a heap would fill memory); binary search in the candidate's sorted set probes the long ones, and stops
 once T can't be reached. The order affects the cost only: any order finds every link.
 
 Equal sets are one class from the start. Classes meet in two steps. First each list's classes are held against the
-list's least class only, which is linear; components of the links found swallow groups of near copies. Then only
+list's least class only, which is linear, where they share enough of the lists that it leads; components of the links found swallow groups of near copies. Then only
 pairs of different components are formed, long lists in blocks, so that a large group isn't expanded into its pairs.
 
 Nothing is sampled or capped. Frequent words are those of at least ``FREQUENT`` of all documents; there are at most
@@ -38,8 +38,8 @@ from tallystone.llm._shared import Scratch, components
 
 #: A word is frequent if at least this share of the documents has it, and FEW of them at least.
 FREQUENT, FEW = 1 / 4000, 8
-#: Short lists in which a candidate must occur.
-MERGED = 2
+#: Merged lists in which a candidate must occur, or T of them where T is less.
+MERGED = 5
 #: Classes of a list that meet in one block.
 BLOCK = 512
 
@@ -132,7 +132,8 @@ def described(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                     size = len(found)
                     sizes.append(size)
                     nodes.append(_node(found))
-                    reach = size - overlap(size, percent) + MERGED
+                    least = overlap(size, percent)
+                    reach = size - least + min(MERGED, least)
                     # a set that can have no partner but its equals needs no lists
                     if size and overlap(size + 1, percent) <= size:
                         rank = np.argsort(per_word[a + order], kind="stable")
@@ -201,7 +202,9 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     heads = postings.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
     lists = scratch.keep(postings.join(heads, "token"), "lists")
 
-    stars = scratch.keep(lists.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+    enough = f"n >= least({MERGED}, ceil({percent} * least(s, t) / 100))"
+    led = lists.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("n"), F.min("n_shingles").alias("s"), F.min("n_shingles").alias("t"))
+    stars = scratch.keep(led.where(enough).select("a", "b"), "stars")
     links = _verified(scratch, docs, nodes, stars, shingle, percent, "star")
     root = components(scratch, links, "first")
     named = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -212,7 +215,7 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     side = [named.select("token", F.explode(blocks).alias("other"), block.alias("own"), F.struct("node", "n_shingles", "root").alias(k)) for k in "xy"]
     met = side[0].join(side[1].select("token", F.col("own").alias("other"), F.col("other").alias("own"), "y"), ["token", "own", "other"])
     met = met.where("x.node < y.node and x.root <> y.root").where(F.expr(f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {percent}"))
-    counted = met.groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("n")).where(f"n >= {MERGED}")
+    counted = met.groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("n"), F.min("x.n_shingles").alias("s"), F.min("y.n_shingles").alias("t")).where(enough)
     pairs = scratch.keep(counted.select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")
     more = _verified(scratch, docs, nodes, pairs, shingle, percent, "pair")
     root = components(scratch, links.union(more), "second")
