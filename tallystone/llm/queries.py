@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import line_dedup, mixing, ngram_join, token_counts, warc
+from tallystone.llm import decontamination, embedding_dedup, line_dedup, mixing, ngram_join, token_counts, warc
 from tallystone.llm._shared import Scratch, source
 
 
@@ -27,6 +27,17 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a cosine of 0.93 or more between embeddings of one label, and their components."""
+    return embedding_dedup.near_duplicates(spark, source(spark, sf_dir, "embeddings"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside ten-word windows of benchmark items."""
+    found = decontamination.contamination(spark, source(spark, sf_dir, "documents"), source(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
     found = ngram_join.join(spark, source(spark, sf_dir, "documents"), shingle=3, percent=90)
@@ -38,5 +49,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, source(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_source_mixing, op7_ngram_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_source_mixing, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_ngram_jaccard_join, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
