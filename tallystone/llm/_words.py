@@ -40,6 +40,9 @@ _powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 #: Bytes of words for separators ``[\x20\x09-\x0D]``.
 WORD = np.ones(256, bool)
 WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of words for separators ``[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]``.
+LETTER = np.ones(256, bool)
+LETTER[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +72,11 @@ def spans(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a chunk, in order, and where each row's words begin (one entry more than rows)."""
-    rows = len(off) - 1
+def bounds(data: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word of a chunk, and the byte after its last. No word crosses from row to row."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    inside = WORD[data]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = table[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
@@ -84,12 +86,26 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after[:-1] = inside[1:]
     ends = off[1:][off[1:] > 0] - 1
     after[ends] = False
-    first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    power, inverse = _power(len(data))
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of a chunk's bytes times powers of the base, from which ``span_hashes`` takes any span's hash."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power, out=total[1:])
-    hashes = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
-    return hashes, np.searchsorted(first, off, "left")
+    np.cumsum(_BYTE[data] * _power(len(data))[0], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mix((total[last] - total[first]) * _power(len(total))[1][first] + (last - first).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a chunk, in order, and where each row's words begin (one entry more than rows)."""
+    first, last = bounds(data, off, table)
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    return span_hashes(sums(data), first, last), np.searchsorted(first, off, "left")
 
 
 def _runs(words: np.ndarray, n: int) -> np.ndarray:

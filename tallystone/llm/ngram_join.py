@@ -6,15 +6,18 @@ similarity reaches ``percent``/100, compared exactly in integers.
 
 A partner of a set of n shingles shares at least T = ceil(percent * n / 100) of them. Every shingle has an inverted
 list. As in DivideSkip, a set's lists fall into short ones, which are merged, and L long ones, which are only
-probed: a partner must occur in at least c = T - L of the short lists. One fixed order of all shingles decides:
-first those without frequent words, then by the sum of their frequent words' weights, then by hash; the first
-n - T + c lists are merged (c is MERGED, or T if that is less), the rest are probed. Spark's external sort merges the lists (the heap merge, spilling
-where a heap would fill memory); binary search in the candidate's sorted set probes the long ones, and stops
-once T can't be reached. The order affects the cost only: any order finds every link.
+probed by binary search: a partner must occur in at least T - L of the short lists. This is done twice.
 
-Equal sets are one class from the start. Classes meet in two steps. First each list's classes are held against the
-list's least class only, which is linear, where they share enough of the lists that it leads; components of the links found swallow groups of near copies. Then only
-pairs of different components are formed, long lists in blocks, so that a large group isn't expanded into its pairs.
+Between groups, over all data: one fixed order of all shingles puts those without frequent words first, then goes by
+the sum of their frequent words' weights, then by hash. The first n - T + c lists in that order are merged, the rest
+are long (c is MERGED, or T if that is less). Spark's external sort merges, spilling where a heap would fill
+memory. The order affects the cost only; any order finds every link.
+
+Inside a group, in memory: classes (equal sets are one class) that share c merged lists with a list's least
+class form groups; near copies come together there. A group's classes meet in blocks of ``BLOCK``, each pair
+of blocks in a task of its own, by DivideSkip over the block's inverted lists. Only links that join something leave
+the task, so the pairs of a large group are never rows. Pairs of different groups that share c merged lists are few;
+they are probed one by one.
 
 Nothing is sampled or capped. Frequent words are those of at least ``FREQUENT`` of all documents; there are at most
 (mean distinct words of a document) / FREQUENT of them, which bounds the table that is sent to the executors.
@@ -40,8 +43,10 @@ from tallystone.llm._shared import Scratch, components
 FREQUENT, FEW = 1 / 4000, 8
 #: Merged lists in which a candidate must occur, or T of them where T is less.
 MERGED = 5
-#: Classes of a list that meet in one block.
-BLOCK = 512
+#: Classes that meet in one block, and classes of a list that are paired in one task.
+BLOCK = 256
+#: DivideSkip's weight of a probe against a step of the merge.
+PROBE = 0.0085
 
 
 def overlap(n, percent: int):
@@ -177,16 +182,89 @@ def _probe(percent: int):
     return run
 
 
-def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Those of the pairs that reach the overlap. Sets are made again, of one document for each class in a pair."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = scratch.keep(nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")), f"{name}-one")
+def divide_skip(lists: np.ndarray, begins: np.ndarray, columns: int, codes: np.ndarray, need: int, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns that at least ``need`` of the lists ``codes`` hold, among those that ``open_`` allows, and how many hold each.
+
+    List k is ``lists[begins[k]:begins[k + 1]]``, rising column numbers.
+    """
+    length = begins[codes + 1] - begins[codes]
+    codes, length = codes[length > 0], length[length > 0]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(codes) < need:
+        return none
+    order = np.argsort(length, kind="stable")
+    codes = codes[order]
+    skipped = min(need - 1, int(need / (PROBE * np.log2(max(2, length.max())) + 1)))
+    short, long = codes[: len(codes) - skipped], codes[len(codes) - skipped :]
+    held = np.bincount(np.concatenate([lists[begins[k] : begins[k + 1]] for k in short.tolist()]), minlength=columns)
+    found = np.flatnonzero((held >= need - skipped) & open_)
+    count = held[found]
+    for part in np.array_split(long, max(1, len(long) // 32)) if len(long) else ():  # drop what can't reach T any more
+        if not len(found):
+            return none
+        probes = part[:, None] * columns + found[None, :]
+        keys = np.concatenate([lists[begins[k] : begins[k + 1]] + k * columns for k in np.sort(part).tolist()])
+        at = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
+        count = count + (keys[at] == probes).sum(0)
+        skipped -= len(part)
+        stay = count + skipped >= need
+        found, count = found[stay], count[stay]
+    return found, count
+
+
+def _search(percent: int):
+    """T-occurrence join of two blocks of a group: (a, b) for links, without those that join nothing new in the block."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        own, node = table.column("own").to_numpy(), table.column("node").to_numpy()
+        sets = table.column("set").combine_chunks()
+        off, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        part = [np.flatnonzero(own == k) for k in (i, j)]
+        parent = list(range(len(node)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out: list[tuple[int, int]] = []
+        for start in range(0, len(part[1]), 2 * BLOCK):  # chance may overfill a block; memory stays bounded
+            right = part[1][start : start + 2 * BLOCK]
+            size = off[right + 1] - off[right]
+            tokens = np.concatenate([flat[off[x] : off[x + 1]] for x in right.tolist()])
+            known, codes = np.unique(tokens, return_inverse=True)
+            order = np.argsort(codes, kind="stable")
+            lists = np.repeat(np.arange(len(right)), size)[order]
+            begins = np.searchsorted(codes[order], np.arange(len(known) + 1))
+            for x in part[0].tolist():
+                mine = flat[off[x] : off[x + 1]]
+                n = len(mine)
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                at = at[known[at] == mine]
+                mark = root(x)
+                open_ = (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & np.array([root(y) != mark for y in right.tolist()])
+                if i == j:
+                    open_ &= right > x
+                found, count = divide_skip(lists, begins, len(right), at, overlap(n, percent), open_)
+                link = count * (100 + percent) >= percent * (size[found] + n)
+                for y in right[found[link]].tolist():
+                    p, q = root(x), root(y)
+                    if p != q:
+                        parent[q] = p
+                        out.append((int(node[x]), int(node[y])))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int, name: str) -> DataFrame:
+    """(node, set) for the wanted classes, made again from one document of each."""
+    one = scratch.keep(nodes.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")), f"{name}-one")
     text = docs.select("doc_id", "text").join(scratch.small(one, f"{name}-one"), F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("node").alias("want"), "text")
-    sets = scratch.keep(_whole_sets(text, n).dropDuplicates(["node"]), f"{name}-sets")
-    a = sets.select(F.col("node").alias("a"), F.col("set").alias("p"))
-    b = sets.select(F.col("node").alias("b"), F.col("set").alias("q"))
-    found = pairs.join(b, "b").join(a, "a").select("a", "b", "p", "q").mapInArrow(_probe(percent), "a long, b long")
-    return scratch.keep(found, f"{name}-links")
+    return scratch.keep(_whole_sets(text, n).dropDuplicates(["node"]), f"{name}-sets")
 
 
 def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -196,35 +274,39 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     frequent = frequent_words(docs)
     rows = scratch.keep(described(docs, shingle, percent, frequent), "rows")
     nodes = rows.where("n_shingles > 0").select("doc_id", "node")
-    sizes = rows.where("size(prefix) > 0")
-
-    postings = sizes.dropDuplicates(["node"]).select("node", "n_shingles", F.explode("prefix").alias("token"))
+    postings = rows.where("size(prefix) > 0").dropDuplicates(["node"]).select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
     heads = postings.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
     lists = scratch.keep(postings.join(heads, "token"), "lists")
 
-    enough = f"n >= least({MERGED}, ceil({percent} * least(s, t) / 100))"
-    led = lists.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("n"), F.min("n_shingles").alias("s"), F.min("n_shingles").alias("t"))
-    stars = scratch.keep(led.where(enough).select("a", "b"), "stars")
-    links = _verified(scratch, docs, nodes, stars, shingle, percent, "star")
-    root = components(scratch, links, "first")
-    named = lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    named = scratch.keep(named.join(mixed, "token").select("token", "node", "n_shingles", "root", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "mixed")
-    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    side = [named.select("token", F.explode(blocks).alias("other"), block.alias("own"), F.struct("node", "n_shingles", "root").alias(k)) for k in "xy"]
-    met = side[0].join(side[1].select("token", F.col("own").alias("other"), F.col("other").alias("own"), "y"), ["token", "own", "other"])
-    met = met.where("x.node < y.node and x.root <> y.root").where(F.expr(f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {percent}"))
-    counted = met.groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b")).agg(F.count("*").alias("n"), F.min("x.n_shingles").alias("s"), F.min("y.n_shingles").alias("t")).where(enough)
-    pairs = scratch.keep(counted.select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(scratch, docs, nodes, pairs, shingle, percent, "pair")
-    root = components(scratch, links.union(more), "second")
+    enough = f"shared >= least({MERGED}, ceil({percent} * least(s, t) / 100))"
+    led = lists.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("s"), F.min("n").alias("t"))
+    groups = scratch.keep(components(scratch, led.where(enough).select("a", "b"), "group").withColumnRenamed("root", "grp"), "groups")
+    blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = groups.join(blocks, "grp").select("grp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sets = _sets_of(scratch, docs, nodes, groups, shingle, "group")
+    met = placed.join(sets, "node").select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "set")
+    links = scratch.keep(met.groupBy("grp", "i", "j").applyInArrow(_search(percent), "a long, b long"), "links")
+
+    named = lists.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    mixed = named.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
+    named = scratch.keep(named.join(mixed, "token").select("token", "node", "n", "grp", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "mixed")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = named.select("token", own.alias("i"), F.explode(every).alias("j"), F.col("node").alias("a"), F.col("n").alias("s"), F.col("grp").alias("ga"))
+    right = named.select("token", F.explode(every).alias("i"), own.alias("j"), F.col("node").alias("b"), F.col("n").alias("t"), F.col("grp").alias("gb"))
+    near = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.least("s", "t") * 100 >= F.greatest("s", "t") * percent)
+    counted = left.join(right, ["token", "i", "j"]).where(near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("s").alias("s"), F.min("t").alias("t"))
+    pairs = scratch.keep(counted.where(enough).select("a", "b"), "pairs")
+    sets = _sets_of(scratch, docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), shingle, "pair")
+    a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(v)) for k, v in (("a", "p"), ("b", "q")))
+    more = scratch.keep(pairs.join(b, "b").join(a, "a").select("a", "b", "p", "q").mapInArrow(_probe(percent), "a long, b long"), "more")
+    root = components(scratch, links.union(more), "component")
 
     least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
     least = least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = scratch.keep(least.join(of_root, "root").select("node", "component_id"), "component")
-    scratch.drop("lists", "mixed", "stars", "pairs", "star-one", "star-sets", "pair-one", "pair-sets", "star-links", "pair-links")
+    of_node = scratch.keep(least.join(of_root, "root").select("node", "component_id"), "result")
+    scratch.drop("lists", "groups", "mixed", "pairs", "group-one", "group-sets", "pair-one", "pair-sets", "links", "more")
     out = rows.select("doc_id", "mark", "n_shingles", "node").join(of_node, "node", "left")
     return out.select("doc_id", "mark", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import decontamination, embedding_dedup, line_dedup, mixing, ngram_join, token_counts, warc
+from tallystone.llm import decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, quality, suffix_dedup, token_counts, warc
 from tallystone.llm._shared import Scratch, source
 
 
@@ -27,6 +28,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of each document, from ratings of some, and whether it is good enough to keep."""
+    found = quality.score(spark, source(spark, sf_dir, "documents"), quality.ratings_of(source(spark, sf_dir, "labels")))
+    return found.select("doc_id", "__tallystone_quality.*")
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of a cosine of 0.93 or more between embeddings of one label, and their components."""
     return embedding_dedup.near_duplicates(spark, source(spark, sf_dir, "embeddings"))
@@ -44,10 +51,25 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in two documents."""
+    return suffix_dedup.passages(spark, source(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page, by its host's wrapper."""
+    return html_extraction.main_text(spark, source(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and longest-match tokens of each document, by a public vocabulary."""
     return token_counts.count_tokens(spark, source(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_source_mixing, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_ngram_jaccard_join, op10_token_counts)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline`` over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_source_mixing, op4_quality_classifier, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_html_extraction, op10_token_counts, pipeline)}
 ORACLE_SQL: dict[str, str] = {}

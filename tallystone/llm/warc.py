@@ -19,21 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallystone.llm._shared import Scratch
+
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n"
 DATE = "1970-01-01T00:00:00Z"
 
 
 def base32_sha1(payload: Column) -> Column:
-    """SHA-1 in base32: five hex digits of it are four letters."""
+    """SHA-1 in base32: five hex digits of it are four digits to the base 32."""
     digits = F.sha1(payload)
-
-    def letter(i: Column) -> Column:
-        part = F.conv(F.substring(digits, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-        five = F.floor(part / F.element_at(F.array(*(F.lit(1 << s) for s in (15, 10, 5, 0))), (i % 4 + 1).cast("int"))) % 32
-        return F.substring(F.lit(_BASE32), (five + 1).cast("int"), F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    parts = [F.lpad(F.conv(F.substring(digits, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(8)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
 def _field(name: str, value: Column) -> Column:
@@ -54,7 +51,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE)
     rows.select("address", "payload").dropDuplicates(["address"]).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
 
     facts = rows.select("page_id", "url", "address", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("digest"))
-    rows = facts.groupBy("page_id", "url", "address", "bytes", "digest").agg(F.count("*").alias("copies"))
+    scratch = Scratch(pages.sparkSession, "warc-facts")
+    rows = scratch.keep(facts, "facts").groupBy("page_id", "url", "address", "bytes", "digest").agg(F.count("*").alias("copies"))
     order = F.struct(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("p"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").isNotNull().alias("v"), "page_id", "url")
     by = rows.groupBy("address").agg(F.max(order).alias("top"), F.min(F.xxhash64("bytes", "digest")).alias("least"), F.max(F.xxhash64("bytes", "digest")).alias("most"))
     rows = rows.join(by, "address").withColumn("address", F.when(F.col("least") == F.col("most"), F.col("address")).otherwise(F.raise_error(F.concat(F.lit("two payloads have address "), "address"))))
@@ -85,6 +83,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE)
         F.lit(_END),
     )
     rows.select("page_id", "address", header.cast("binary").alias("warc_header"), F.col("http").cast("binary").alias("http_header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/records")
+    scratch.drop("facts")
 
 
 def _payloads(spark: SparkSession, folder: str) -> DataFrame:
