@@ -64,6 +64,13 @@ def _hashed(df: DataFrame) -> DataFrame:
     return df.withColumn("h", F.transform("words", lambda x: F.xxhash64(x)))
 
 
+def _each(array: Column) -> Column:
+    """``explode_outer``: for ``explode`` Spark would test the array's size first, evaluating all its parts anew, one in another.
+
+    A row without elements gives a null, which meets nothing in the inner joins that follow."""
+    return F.explode_outer(array)
+
+
 def _windows(length: Column) -> Column:
     """(start, text) of all runs of ``length`` words."""
     return F.when(F.size("words") >= length, F.transform(F.sequence(F.lit(1), F.size("words") - length + 1), lambda i: F.struct((i - 1).alias("start"), F.array_join(F.slice(F.col("words"), i, length), " ").alias("span"))))
@@ -80,20 +87,20 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     items = scratch.keep(items.withColumn("length", F.least(F.size("words"), F.lit(window))), "items")
     lengths = sorted(r.length for r in items.select("length").distinct().collect()) or [window]
 
-    prints = _with_fingerprints(_hashed(items), lengths, gram).select("length", F.explode("prints").alias("p")).where("length = p.length")
+    prints = _with_fingerprints(_hashed(items), lengths, gram).select("length", _each(F.col("prints")).alias("p")).where("length = p.length")
     prints = scratch.keep(prints.select("p.length", "p.print").distinct(), "prints")
-    spans = items.select("item_id", "length", F.explode(_windows(F.col("length"))).alias("w")).groupBy("length", "w.span").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    spans = items.select("item_id", "length", _each(_windows(F.col("length"))).alias("w")).groupBy("length", "w.span").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
     spans = scratch.keep(spans.withColumn("ids_key", F.sha2(F.concat_ws(",", "ids"), 256)), "spans")
     sets = spans.groupBy("ids_key").agg(F.first("ids").alias("ids"))
     spans_kept = scratch.keep(spans.select("length", "span", "ids_key"), "span-keys")
 
     first = _with_fingerprints(_hashed(docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("words"))), lengths, gram)
-    met = first.select("doc_id", "mark", F.explode("prints").alias("p")).select("doc_id", "mark", F.col("p.length").alias("length"), F.col("p.print").alias("print"))
+    met = first.select("doc_id", "mark", _each(F.col("prints")).alias("p")).select("doc_id", "mark", F.col("p.length").alias("length"), F.col("p.print").alias("print"))
     met = scratch.keep(met.join(scratch.small(prints, "prints"), ["length", "print"], "left_semi").select("doc_id", "mark", "length").distinct(), "met")
 
     near = scratch.small(met.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "length"), "met")
     again = docs.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("m"))).select("doc_id", F.col("m").alias("mark"), "length", words(F.col("text")).alias("words"))
-    runs = again.select("doc_id", "mark", "length", F.explode(_windows(F.col("length"))).alias("w")).select("doc_id", "mark", "length", "w.start", "w.span")
+    runs = again.select("doc_id", "mark", "length", _each(_windows(F.col("length"))).alias("w")).select("doc_id", "mark", "length", "w.start", "w.span")
     hits = runs.join(scratch.small(spans_kept, "span-keys"), ["length", "span"]).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("at"), F.sort_array(F.collect_set("ids_key")).alias("keys"))
     begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
