@@ -10,14 +10,15 @@ probed by binary search: a partner must occur in at least T - L of the short lis
 
 Between groups, over all data: one fixed order of all shingles puts those without frequent words first, then goes by
 the sum of their frequent words' weights, then by hash. The first n - T + c lists in that order are merged, the rest
-are long (c is MERGED, or T if that is less). Spark's external sort merges, spilling where a heap would fill
-memory. The order affects the cost only; any order finds every link.
+are long (c is MERGED, MERGED_PERCENT of n if that is more, and at most T). Spark's external sort merges, spilling where
+a heap would fill memory. The order affects the cost only; any order finds every link.
 
-Inside a group, in memory: classes (equal sets are one class) that share c merged lists with a list's least
-class form groups; near copies come together there. A group's classes meet in blocks of ``BLOCK``, each pair
-of blocks in a task of its own, by DivideSkip over the block's inverted lists. Only links that join something leave
-the task, so the pairs of a large group are never rows. Pairs of different groups that share c merged lists are few;
-they are probed one by one.
+Inside a group, in memory: classes (equal sets are one class) that share c merged lists with a list's least class form
+groups; near copies come together there. A group's classes meet in blocks of ``BLOCK``, each pair of blocks in a task of
+its own, by DivideSkip over the block's inverted lists. Only links that join something leave the task, so the pairs of
+a large group are never rows. Two classes of different groups share c lists: at least half of them are lists where
+the one's group is a crowd, and then the other is drawn into that group, one row for it and the crowd; or half are
+lists where it isn't, and then the two are a pair, probed by itself.
 
 Nothing is sampled or capped. Frequent words are those of at least ``FREQUENT`` of all documents; there are at most
 (mean distinct words of a document) / FREQUENT of them, which bounds the table that is sent to the executors.
@@ -41,10 +42,12 @@ from tallystone.llm._shared import Scratch, components
 
 #: A word is frequent if at least this share of the documents has it, and FEW of them at least.
 FREQUENT, FEW = 1 / 4000, 8
-#: Merged lists in which a candidate must occur, or T of them where T is less.
-MERGED = 5
+#: Merged lists in which a candidate must occur: so many, and so many of a hundred shingles, or T where that is less.
+MERGED, MERGED_PERCENT = 5, 3
 #: Classes that meet in one block, and classes of a list that are paired in one task.
 BLOCK = 256
+#: A group with so many classes in a list is met there as a whole.
+CROWD = 16
 #: DivideSkip's weight of a probe against a step of the merge.
 PROBE = 0.0085
 
@@ -54,6 +57,11 @@ def overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def merged(n, percent: int):
+    """Merged lists that a set of n must share with a partner that isn't smaller."""
+    return min(max(MERGED, -(-MERGED_PERCENT * n // 100)), overlap(n, percent))
+
+
 def _batches(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for row, data, off in words.spans(column):
         yield row, *words.word_hashes(data, off)
@@ -66,7 +74,7 @@ def _word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     keys, counts, held, waiting, docs = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, 0
 
-    def merged():
+    def combined():
         new, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
         both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
         return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
@@ -78,9 +86,9 @@ def _word_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(words.distinct(hashes[a:b]))
                 waiting += b - a
             if waiting > 1 << 21:
-                keys, counts = merged()
+                keys, counts = combined()
                 held, waiting = [], 0
-    keys, counts = merged()
+    keys, counts = combined()
     most = counts >= max(2, docs * FREQUENT / 4)
     yield pa.RecordBatch.from_arrays([pa.array(keys[most].view(np.int64)), pa.array(counts[most])], ["word", "n"])
 
@@ -137,8 +145,7 @@ def described(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                     size = len(found)
                     sizes.append(size)
                     nodes.append(_node(found))
-                    least = overlap(size, percent)
-                    reach = size - least + min(MERGED, least)
+                    reach = size - overlap(size, percent) + merged(size, percent)
                     # a set that can have no partner but its equals needs no lists
                     if size and overlap(size + 1, percent) <= size:
                         rank = np.argsort(per_word[a + order], kind="stable")
@@ -150,15 +157,6 @@ def described(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, prefix array<long>")
 
 
-def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            found = [words.distinct(x) for _, hashes, begins in _batches(batch.column(1)) for x in words.shingle_hashes(hashes, begins, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(x) for x in found], pa.int64()), _lists(found)], ["want", "node", "set"])
-
-    return docs.mapInArrow(run, "want long, node long, set array<long>").where("want = node").select("node", "set")
-
-
 def _probe(percent: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -261,10 +259,22 @@ def _search(percent: int):
 
 
 def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int, name: str) -> DataFrame:
-    """(node, set) for the wanted classes, made again from one document of each."""
-    one = scratch.keep(nodes.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")), f"{name}-one")
-    text = docs.select("doc_id", "text").join(scratch.small(one, f"{name}-one"), F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("node").alias("want"), "text")
-    return scratch.keep(_whole_sets(text, n).dropDuplicates(["node"]), f"{name}-sets")
+    """``wanted``, distinct by its column node, with each class's set, made again from one of its documents."""
+    ids = nodes.join(wanted.select("node"), "node", "left_semi").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    one = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rows")).alias("m"))
+    one = scratch.keep(one.select("node", F.col("m.doc_id").alias("id"), F.col("m.rows").alias("rows")).join(wanted, "node"), name)
+    text = docs.join(scratch.small(one, name), F.col("doc_id").eqNullSafe(F.col("id")))
+    columns = [c for c in one.columns if c not in ("id", "rows", "node")]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [words.distinct(x) for _, hashes, begins in _batches(batch.column(1)) for x in words.shingle_hashes(hashes, begins, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(x) for x in found], pa.int64()), _lists(found), *batch.columns[2:]], ["want", "node", "set", *columns])
+
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in one.schema if f.name in columns)
+    sets = text.select(F.col("node").alias("want"), "text", *columns).mapInArrow(run, f"want long, node long, set array<long>{kinds}").where("want = node").drop("want")
+    repeated = one.agg(F.max("rows")).first()[0]  # rows of equal id and set would come twice
+    return sets.dropDuplicates(["node"]) if repeated and repeated > 1 else sets
 
 
 def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -278,26 +288,53 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     heads = postings.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
     lists = scratch.keep(postings.join(heads, "token"), "lists")
 
-    enough = f"shared >= least({MERGED}, ceil({percent} * least(s, t) / 100))"
-    led = lists.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("s"), F.min("n").alias("t"))
-    groups = scratch.keep(components(scratch, led.where(enough).select("a", "b"), "group").withColumnRenamed("root", "grp"), "groups")
-    blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = groups.join(blocks, "grp").select("grp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sets = _sets_of(scratch, docs, nodes, groups, shingle, "group")
-    met = placed.join(sets, "node").select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "set")
-    links = scratch.keep(met.groupBy("grp", "i", "j").applyInArrow(_search(percent), "a long, b long"), "links")
+    def enough(n: str, part: int = 1) -> str:
+        """At least the ``part``-th part of the merged lists that sets of n or more must share."""
+        need = f"least(greatest({MERGED}, ceil({MERGED_PERCENT} * {n} / 100)), ceil({percent} * {n} / 100))"
+        return f"shared >= ceil({need} / {part})"
+
+    # groups: what shares enough lists with the class that leads them
+    led = lists.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("s"))
+    stars = scratch.keep(led.where(enough("s")).select("a", "b"), "stars")
+    first = scratch.keep(components(scratch, stars, "first").withColumnRenamed("root", "grp"), "groups")
 
-    named = lists.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    # lists where groups meet: half of what a pair must share is in lists where the one's group is a crowd, or half is in others
+    named = lists.join(first, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     mixed = named.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
-    named = scratch.keep(named.join(mixed, "token").select("token", "node", "n", "grp", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "mixed")
+    named = scratch.keep(named.join(mixed, "token").select("token", "node", "n", "grp"), "mixed")
+    crowds = named.groupBy("token", "grp").agg(F.count("*").alias("held"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    crowds = scratch.keep(crowds, "crowds")
+    of_size = F.expr(f"lo * {percent} <= n * 100 and hi * 100 >= n * {percent} and grp <> crowd")
+    big = crowds.where(F.col("held") >= CROWD).select("token", F.col("grp").alias("crowd"), "lo", "hi")
+    drawn = named.join(big, "token").where(of_size).groupBy("node", "crowd").agg(F.count("*").alias("shared"), F.min(F.least("n", "lo")).alias("s"))
+    drawn = scratch.keep(drawn.where(enough("s", 2)).select(F.col("node").alias("a"), F.col("crowd").alias("b")), "drawn")
+    groups = scratch.keep(components(scratch, stars.union(drawn), "group").withColumnRenamed("root", "grp"), "groups-2")
+
+    few = crowds.where(F.col("held") < CROWD).select("token", "grp")
+    few = scratch.keep(named.join(few, ["token", "grp"]), "few")
+    blocks = few.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    few = few.join(blocks, "token")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = named.select("token", own.alias("i"), F.explode(every).alias("j"), F.col("node").alias("a"), F.col("n").alias("s"), F.col("grp").alias("ga"))
-    right = named.select("token", F.explode(every).alias("i"), own.alias("j"), F.col("node").alias("b"), F.col("n").alias("t"), F.col("grp").alias("gb"))
+    left = few.select("token", own.alias("i"), F.explode(every).alias("j"), F.col("node").alias("a"), F.col("n").alias("s"), F.col("grp").alias("ga"))
+    right = few.select("token", F.explode(every).alias("i"), own.alias("j"), F.col("node").alias("b"), F.col("n").alias("t"), F.col("grp").alias("gb"))
     near = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.least("s", "t") * 100 >= F.greatest("s", "t") * percent)
-    counted = left.join(right, ["token", "i", "j"]).where(near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("s").alias("s"), F.min("t").alias("t"))
-    pairs = scratch.keep(counted.where(enough).select("a", "b"), "pairs")
-    sets = _sets_of(scratch, docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), shingle, "pair")
+    counted = left.join(right, ["token", "i", "j"]).where(near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("s", "t")).alias("s"))
+    pairs = counted.where(enough("s", 2)).select("a", "b")
+    for k in "ab":
+        pairs = pairs.join(groups.select(F.col("node").alias(k), F.col("grp").alias(f"g{k}")), k, "left")
+    pairs = scratch.keep(pairs.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), "pairs")
+
+    # inside groups, block by block
+    blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = scratch.keep(groups.join(blocks, "grp").select("node", "grp", own.alias("own"), "blocks"), "placed")
+    met = _sets_of(scratch, docs, nodes, placed, shingle, "group-one").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "set")
+    links = scratch.keep(met.groupBy("grp", "i", "j").applyInArrow(_search(percent), "a long, b long"), "links")
+
+    # between groups, pair by pair
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = scratch.keep(_sets_of(scratch, docs, nodes, wanted, shingle, "pair-one"), "pair-sets")
     a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(v)) for k, v in (("a", "p"), ("b", "q")))
     more = scratch.keep(pairs.join(b, "b").join(a, "a").select("a", "b", "p", "q").mapInArrow(_probe(percent), "a long, b long"), "more")
     root = components(scratch, links.union(more), "component")
@@ -306,7 +343,7 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     least = least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = scratch.keep(least.join(of_root, "root").select("node", "component_id"), "result")
-    scratch.drop("lists", "groups", "mixed", "pairs", "group-one", "group-sets", "pair-one", "pair-sets", "links", "more")
+    scratch.drop("lists", "stars", "groups", "mixed", "crowds", "drawn", "groups-2", "few", "pairs", "placed", "group-one", "pair-one", "pair-sets", "links", "more")
     out = rows.select("doc_id", "mark", "n_shingles", "node").join(of_node, "node", "left")
     return out.select("doc_id", "mark", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
