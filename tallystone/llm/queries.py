@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, quality, suffix_dedup, token_counts, warc
+from tallystone.llm import decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, oracle, quality, suffix_dedup, token_counts, warc
 from tallystone.llm._shared import Scratch, source
 
 
@@ -72,4 +72,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_source_mixing, op4_quality_classifier, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_html_extraction, op10_token_counts, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.ORACLE_SQL
