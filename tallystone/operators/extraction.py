@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallystone.functions.json_text import or_default, parse
 
@@ -18,7 +19,7 @@ REQUEST = {"request_name": "Unknown", "evidence_text": ""}
 
 def generate_json(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], out: str = "payload") -> DataFrame:
     """Adds a model's answer as JSON text, and ``<out>_error``. An answer that isn't JSON is asked for once more."""
-    schema = df.schema.add(out, "string").add(f"{out}_error", "string")
+    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField(f"{out}_error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
