@@ -1,7 +1,7 @@
 """Embedding near-dedup with a pivot-permutation index.
 
 A vector is described by its ``near`` nearest pivots, nearest first. Each pivot has an inverted list of the vectors that
-name it; two vectors are candidates if they share at least ``shared`` pivots. Every candidate pair is verified by the
+name it; two vectors are candidates if they share at least ``shared`` pivots (all, if there are fewer). Every candidate pair is verified by the
 cosine in double precision, so no link is false; the index may miss some (recall is measured in the tests).
 
 Pivots are fitted on a bounded sample: the ``SAMPLE`` valid vectors of the least hash, thinned so that no two pivots have
@@ -82,7 +82,7 @@ def _compare(cosine: float, need: int):
             for other in range(0, len(sides[1]), BLOCK):
                 b = sides[1][other : other + BLOCK]
                 both, before = _shared(prefix[a], prefix[b], pivot)
-                link = (both >= need) & (before == 0) & ((x[a] @ x[b].T) / np.outer(norm[a], norm[b]) >= cosine)
+                link = (both >= min(need, prefix.shape[1])) & (before == 0) & ((x[a] @ x[b].T) / np.outer(norm[a], norm[b]) >= cosine)
                 if i == j:
                     link &= node[a][:, None] != node[b][None, :]
                 if not link.any():

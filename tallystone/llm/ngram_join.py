@@ -278,7 +278,10 @@ def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFr
 
 
 def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, mark, n_shingles, node, component_id) for each row of ``docs(doc_id, text)``; equal sets have one node."""
+    """(doc_id, mark, n_shingles, node, root, component_id) for each row of ``docs(doc_id, text)``.
+
+    Equal sets have one node, components one root; these tell documents of equal ids apart.
+    """
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_words(docs)
@@ -342,10 +345,10 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
     least = least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = scratch.keep(least.join(of_root, "root").select("node", "component_id"), "result")
+    of_node = scratch.keep(least.join(of_root, "root").select("node", "root", "component_id"), "result")
     scratch.drop("lists", "stars", "groups", "mixed", "crowds", "drawn", "groups-2", "few", "pairs", "placed", "group-one", "pair-one", "pair-sets", "links", "more")
     out = rows.select("doc_id", "mark", "n_shingles", "node").join(of_node, "node", "left")
-    return out.select("doc_id", "mark", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "mark", "n_shingles", "node", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -357,8 +360,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     scratch = Scratch(spark, "one-of-each")
     id_, mark = "__tallystone_id", "__tallystone_mark"
     found = join(spark, docs, shingle, percent)
-    rows = found.groupBy("component_id", "doc_id", "mark", (F.col("n_shingles") > 0).alias("some")).agg(F.count("*").alias("n"))
-    first = rows.where("some").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark", "n")).alias("m"))
+    rows = found.groupBy("root", "doc_id", "mark", (F.col("n_shingles") > 0).alias("some")).agg(F.count("*").alias("n"))
+    first = rows.where("some").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark", "n")).alias("m"))
     stay = first.select(F.col("m.doc_id").alias(id_), F.col("m.mark").alias(mark), (F.col("m.n") > 1).alias("__tallystone_more"))
     stay = scratch.keep(stay.union(rows.where("not some").select("doc_id", "mark", F.lit(False)).distinct()), "stay")
     at = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"].cast("string")) == F.col(mark))
