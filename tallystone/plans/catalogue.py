@@ -100,10 +100,13 @@ def ext_gate(spark, d):
     return rows.select("doc_id", tx.extension(F.col("name")).alias("ext"), files.accepted(F.col("name")).alias("accepted"))
 
 
-@query("select * from (values ('EL', 'Engagement Letter'), ('IFA', 'Information for Approval'), ('STATUS_REPORT', 'Status Report'), ('MOM', 'Minutes of Meeting')) t(name, label) union all select c_mktsegment as name, c_mktsegment as label from (select distinct c_mktsegment from customer) c")
+_MASTER = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in MASTER_TYPES)
+
+
+@query(f"select * from (values {_MASTER}) t(name, label, description) union all select c_mktsegment as name, c_mktsegment as label, cast(null as varchar) as description from (select distinct c_mktsegment from customer) c")
 def doc_types_union(spark, d):
-    own = table(spark, d, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_mktsegment").alias("label")).distinct()
-    return spark.createDataFrame(MASTER_TYPES, "name string, label string").unionByName(own)
+    own = table(spark, d, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_mktsegment").alias("label"), F.lit(None).cast("string").alias("description")).distinct()
+    return spark.createDataFrame(MASTER_TYPES, "name string, label string, description string").unionByName(own)
 
 
 @query("select project_id, id, status, version from (select *, row_number() over (partition by project_id order by version desc) rn from v_baselines) t where rn = 1")
@@ -339,12 +342,12 @@ def tracker_build(spark, d):
 _ROLES = ", ".join(f"'{r}'" for r in ALERT_ROLES)
 
 
-@query(f"select t.project_id, t.item_type, t.reference_id, s.email, s.role, 'Scope alert: project ' || t.project_id as subject from v_tracker t join v_stakeholders s on t.project_id = s.project_id where t.item_type = 'NEW_REQUEST' and (t.requires_escalation or t.risk_score >= 0.8e0) and s.role in ({_ROLES})")
+@query(f"select t.project_id, t.item_type, t.reference_id, s.email, s.role, 'High Risk Item Detected - Project ' || t.project_id as subject from v_tracker t join v_stakeholders s on t.project_id = s.project_id where t.item_type = 'NEW_REQUEST' and (t.requires_escalation or t.risk_score >= 0.8e0) and s.role in ({_ROLES})")
 def alert_outbox(spark, d):
     return mon.alerts(view(spark, d, "v_tracker"), view(spark, d, "v_stakeholders"))
 
 
-_RULES = " || chr(10) || ".join(f"'{r}'" for r in mon.RULES)
+_RULES = " || chr(10) || ".join("'" + r.replace("'", "''") + "'" for r in mon.RULES)
 
 
 @query(f"with di as ({_DIGEST}), ba as (select * from (select project_id, id, row_number() over (partition by project_id order by id desc) rn from v_baselines where status = 'APPROVED') t where rn = 1), it as (select l_orderkey, count(*) n from lineitem group by 1) select coalesce(ba.project_id, di.project_id) as project_id, ba.id as baseline_id, case when ba.id is not null then coalesce(it.n, 0) end as n_items, coalesce(di.digest, 'No recent events.') as digest, {_RULES} as rules from ba left join it on ba.id = it.l_orderkey full join di on ba.project_id = di.project_id")
