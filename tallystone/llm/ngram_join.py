@@ -16,9 +16,10 @@ a heap would fill memory. The order affects the cost only; any order finds every
 Inside a group, in memory: classes (equal sets are one class) that share c merged lists with a list's least class form
 groups; near copies come together there. A group's classes meet in blocks of ``BLOCK``, each pair of blocks in a task of
 its own, by DivideSkip over the block's inverted lists. Only links that join something leave the task, so the pairs of
-a large group are never rows. Two classes of different groups share c lists: at least half of them are lists where
-the one's group is a crowd, and then the other is drawn into that group, one row for it and the crowd; or half are
-lists where it isn't, and then the two are a pair, probed by itself.
+a large group are never rows. Two classes of different groups that link share c lists: more than a quarter of c are lists
+where the one's group is a crowd, and then the other is drawn into that group, one row for it and the crowd; or more than
+a quarter are lists where the other's is; or else at least half are lists where neither is, and the two are a pair, probed
+by itself.
 
 Nothing is sampled or capped. Frequent words are those of at least ``FREQUENT`` of all documents; there are at most
 (mean distinct words of a document) / FREQUENT of them, which bounds the table that is sent to the executors.
@@ -291,17 +292,18 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     heads = postings.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
     lists = scratch.keep(postings.join(heads, "token"), "lists")
 
-    def enough(n: str, part: int = 1) -> str:
-        """At least the ``part``-th part of the merged lists that sets of n or more must share."""
+    def enough(n: str, part: str = "{c}") -> str:
+        """At least ``part`` of c, the merged lists that sets of n or more must share."""
         need = f"least(greatest({MERGED}, ceil({MERGED_PERCENT} * {n} / 100)), ceil({percent} * {n} / 100))"
-        return f"shared >= ceil({need} / {part})"
+        return f"shared >= {part.format(c=need)}"
 
     # groups: what shares enough lists with the class that leads them
     led = lists.where("node <> head").groupBy(F.col("node").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("s"))
     stars = scratch.keep(led.where(enough("s")).select("a", "b"), "stars")
     first = scratch.keep(components(scratch, stars, "first").withColumnRenamed("root", "grp"), "groups")
 
-    # lists where groups meet: half of what a pair must share is in lists where the one's group is a crowd, or half is in others
+    # lists where groups meet: if at most a quarter of c are lists where the one's group is a crowd, and at most a quarter
+    # lists where the other's is, half of c are left where neither is
     named = lists.join(first, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     mixed = named.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
     named = scratch.keep(named.join(mixed, "token").select("token", "node", "n", "grp"), "mixed")
@@ -310,7 +312,7 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     of_size = F.expr(f"lo * {percent} <= n * 100 and hi * 100 >= n * {percent} and grp <> crowd")
     big = crowds.where(F.col("held") >= CROWD).select("token", F.col("grp").alias("crowd"), "lo", "hi")
     drawn = named.join(big, "token").where(of_size).groupBy("node", "crowd").agg(F.count("*").alias("shared"), F.min(F.least("n", "lo")).alias("s"))
-    drawn = scratch.keep(drawn.where(enough("s", 2)).select(F.col("node").alias("a"), F.col("crowd").alias("b")), "drawn")
+    drawn = scratch.keep(drawn.where(enough("s", "floor({c} / 4) + 1")).select(F.col("node").alias("a"), F.col("crowd").alias("b")), "drawn")
     groups = scratch.keep(components(scratch, stars.union(drawn), "group").withColumnRenamed("root", "grp"), "groups-2")
 
     few = crowds.where(F.col("held") < CROWD).select("token", "grp")
@@ -323,7 +325,7 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     right = few.select("token", F.explode(every).alias("i"), own.alias("j"), F.col("node").alias("b"), F.col("n").alias("t"), F.col("grp").alias("gb"))
     near = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.least("s", "t") * 100 >= F.greatest("s", "t") * percent)
     counted = left.join(right, ["token", "i", "j"]).where(near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("s", "t")).alias("s"))
-    pairs = counted.where(enough("s", 2)).select("a", "b")
+    pairs = counted.where(enough("s", "ceil({c} / 2)")).select("a", "b")
     for k in "ab":
         pairs = pairs.join(groups.select(F.col("node").alias(k), F.col("grp").alias(f"g{k}")), k, "left")
     pairs = scratch.keep(pairs.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), "pairs")

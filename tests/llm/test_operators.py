@@ -325,6 +325,22 @@ def test_blocks_and_crowds(spark, monkeypatch):
     test_ngram_join(spark, 3, 90)
 
 
+def test_lists_split_between_groups(spark, monkeypatch):
+    """Two sets that link share five merged lists: in two the one's group is a crowd, in two the other's, in one neither."""
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    vocabulary = [f"v{k}" for k in range(1000)]
+    _, data, off = next(_words.spans(pa.array(vocabulary)))
+    hashes = np.concatenate(_words.shingle_hashes(*_words.word_hashes(data, off), 1))
+    v = [vocabulary[k] for k in np.argsort(hashes)]  # in the order of lists, as no word is frequent
+    own, both, rest = v[:10], v[10:15], v[15:100]
+    x, y = both + rest, own + both + rest
+    sets = [x, y] + [both[:2] + rest[:9] + v[100 + 100 * k : 179 + 100 * k] for k in (0, 1)] + [own + both[2:4] + v[300 + 100 * k : 388 + 100 * k] for k in (0, 1)]
+    assert len(x) * 10 == len(y) * 9
+    rows = [(i, " ".join(w), "s") for i, w in enumerate(sets)]
+    got = ngram_join.join(spark, documents(spark, rows), 1, 90).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
 def test_divide_skip():
     rng = np.random.default_rng(2)
     held = rng.random((30, 50)) < rng.random((30, 1))
