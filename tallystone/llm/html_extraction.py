@@ -7,9 +7,11 @@ groups, and where texts differ the slot is a text slot, otherwise it holds the h
 union-free regular expression: tags, repeats, optional groups and text slots, without alternatives.
 
 The wrapper tells a slot's part. Slots in menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-are known by their tags, roles, classes and ids. Where a page has an article or main element, the rest of its slots in
-there are the main text. On other pages slots go whose text is constant on ``CONSTANT_PAGES`` pages or more of the host,
-or which are links for the most part in the wrapper. Blocks keep the page's order; nothing is cut.
+are known by their tags, roles, classes and ids. Of the rest, slots go whose text is constant on ``CONSTANT_PAGES`` pages
+or more, and on ``SHARE`` or more of the host's pages, and blocks of links in groups that the wrapper shows to be repeated
+and links for the most part. Where a page has an article or main element, only slots in there are the main text, and groups
+of links go from them only if so many of the host's pages have them. If all would go as constant, it stays.
+Blocks keep the page's order; nothing is cut.
 
 Scale: pages meet in their own task first, so a host has one small structure per task, whatever its pages; these are
 aligned by host in two steps, ``FAN`` parts first, so that no task gets a hot host's pages. A structure grows with the
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tallystone.llm._shared import Scratch
 
-CONSTANT_PAGES, FAN = 3, 64
+CONSTANT_PAGES, SHARE, FAN = 3, 0.5, 64
 
 # Names of HTML elements, and words of classes, ids and roles.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -256,29 +258,52 @@ def expression(node: list) -> str:
     return f"({body})" + ("*" if node[2] and node[3] else "+" if node[2] else "?") if node[2] or node[3] else body
 
 
-def template_paths(wrapper: list) -> set[tuple[str, ...]]:
-    """Paths whose text is the host's own: constant on enough pages, or links for the most part."""
-    facts: dict[tuple[str, ...], list] = {}
+def facts(wrapper: list) -> dict[tuple[str, ...], list]:
+    """Of each path with text: its constant or "*", pages that have it, letters, letters of links, whether it is in a repeated group."""
+    out: dict[tuple[str, ...], list] = {}
 
-    def walk(node: list, path: tuple[str, ...]) -> None:
+    def walk(node: list, path: tuple[str, ...], repeated: bool) -> None:
         if node[4] is not None:
-            f = facts.setdefault(path, [node[4], 0, 0, 0])
+            f = out.setdefault(path, [node[4], 0, 0, 0, False])
             f[0] = f[0] if f[0] == node[4] else "*"
-            f[1:] = f[1] + node[1], f[2] + node[5], f[3] + node[6]
+            f[1:] = max(f[1], node[1]), f[2] + node[5], f[3] + node[6], f[4] or repeated
         for k in node[7]:
-            walk(k, (*path, k[0]))
+            walk(k, (*path, k[0]), repeated or k[2])
+
+    walk(wrapper, (), False)
+    return out
+
+
+def _general(pages: int, wrapper: list) -> bool:
+    return pages >= CONSTANT_PAGES and pages >= SHARE * wrapper[1]
+
 
-    walk(wrapper, ())
-    return {p for p, (text, pages, letters, linked) in facts.items() if (text != "*" and pages >= CONSTANT_PAGES) or linked * 2 > letters}
+def template_paths(wrapper: list) -> set[tuple[str, ...]]:
+    """Paths whose text is the host's own: constant on enough of its pages."""
+    return {p for p, (text, pages, *_) in facts(wrapper).items() if text != "*" and _general(pages, wrapper)}
+
+
+def link_groups(wrapper: list) -> dict[tuple[str, ...], bool]:
+    """Paths in repeated groups that are links for the most part, and whether enough of the host's pages have them."""
+    return {p: _general(pages, wrapper) for p, (_, pages, letters, linked, repeated) in facts(wrapper).items() if repeated and linked * 2 > letters}
 
 
-def extract(page: str | None, own: set[tuple[str, ...]] = frozenset()) -> str:
-    """Main text of a page, given its host's template paths."""
+def extract(page: str | None, wrapper: list | None = None) -> str:
+    """Main text of a page, given its host's wrapper."""
+    return _extract(page, None if wrapper is None else (template_paths(wrapper), link_groups(wrapper)))
+
+
+def _extract(page: str | None, known: tuple[set, dict] | None) -> str:
     found = [s for s in slots(page or "") if not s.apart]
-    inside = [s.text for s in found if s.article]
-    if inside:
-        return "\n\n".join(inside)
-    return "\n\n".join(s.text for s in found if s.path not in own and s.linked * 2 <= len(s.text))
+    inside = [s for s in found if s.article]
+    if known is None:
+        found = inside or [s for s in found if s.linked * 2 <= len(s.text)]
+    else:
+        own, links = known
+        # an article's lists of links are its own unless the host's pages have them in general
+        left = [s for s in inside or found if s.linked * 2 <= len(s.text) or not (links.get(s.path) if inside else s.path in links)]
+        found = [s for s in left if s.path not in own] or left or inside
+    return "\n\n".join(s.text for s in found)
 
 
 def host(url: Column) -> Column:
@@ -322,16 +347,16 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     rows = rows.join(scratch.small(found, "wrappers"), host(F.col("url")) == F.col("site"), "left").select("page_id", "url", "wrapper", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, set] = {None: frozenset()}
+        known: dict[str | None, tuple[set, dict] | None] = {None: None}
         for batch in batches:
             texts = []
             for wrapper, page in zip(batch.column(2), batch.column(3), strict=True):
                 key = wrapper.as_py()
                 if key not in known:
                     if len(known) > 256:
-                        known = {None: frozenset()}
-                    known[key] = template_paths(json.loads(key))
-                texts.append(extract(page.as_py(), known[key]))
+                        known = {None: None}
+                    known[key] = template_paths(read := json.loads(key)), link_groups(read)
+                texts.append(_extract(page.as_py(), known[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

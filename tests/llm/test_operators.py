@@ -435,6 +435,18 @@ def test_main_text(spark):
     assert html_extraction.main_text(spark, df.limit(0)).count() == 0
 
 
+def main_texts(spark, pages):
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    return [r.text for r in sorted(html_extraction.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_wrapper_inside_main(spark):
+    pages = [f"<main><div class=strip>all the news</div><p>text {i}<ul class=more><li><a href=x>see {i}a</a><li><a href=y>see {i}b</a></ul></main>" for i in range(4)]
+    assert main_texts(spark, pages) == [f"text {i}" for i in range(4)]
+    refs = "<main><p>own<ul class=refs><li><a href=x>source a</a><li><a href=y>source b</a></ul></main>"
+    assert main_texts(spark, [refs] + [f"<main><p>text {i}</main>" for i in range(4)])[0] == "own\n\nsource a\n\nsource b"
+
+
 # 10
 
 
