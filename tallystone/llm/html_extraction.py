@@ -10,8 +10,8 @@ The wrapper tells a slot's part. Slots in menus, headers, footers, sidebars, not
 are known by their tags, roles, classes and ids. Of the rest, slots go whose text is constant on ``CONSTANT_PAGES`` pages
 or more, and on ``SHARE`` or more of the host's pages, and blocks of links in groups that the wrapper shows to be repeated
 and links for the most part. Where a page has an article or main element, only slots in there are the main text, and groups
-of links go from them only if so many of the host's pages have them. If all would go as constant, it stays.
-Blocks keep the page's order; nothing is cut.
+of links go from them only if so many of the host's pages have them. If all would go as constant, it stays. Pages of equal
+html are one page of their host here. Blocks keep the page's order; nothing is cut.
 
 Scale: pages meet in their own task first, so a host has one small structure per task, whatever its pages; these are
 aligned by host in two steps, ``FAN`` parts first, so that no task gets a hot host's pages. A structure grows with the
@@ -312,14 +312,20 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for ``pages(page_id, url, html)``: each host's expression as JSON."""
+def wrappers(scratch: Scratch, pages: DataFrame) -> DataFrame:
+    """(host, wrapper) for ``pages(page_id, url, html)``: each host's expression as JSON. Copies of a page count once."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+        seen: set[tuple[str, str]] = set()
         for batch in batches:
             for site, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = structure(slots(page.as_py() or ""))
+                texts = slots(page.as_py() or "")
+                mark = site, xxhash.xxh3_128_hexdigest("\0".join(x for s in texts for x in (*s.path, s.text)))
+                if mark in seen:
+                    continue
+                seen.add(mark)
+                found = structure(texts)
                 held[site] = align(held[site], found) if site in held else found
         yield _batch(list(held), [json.dumps(x, separators=(",", ":")) for x in held.values()])
 
@@ -330,7 +336,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(out, separators=(",", ":"))]})
 
     kind = "host string, wrapper string"
-    parts = pages.select(host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).where("host is not null").mapInArrow(collect, kind)
+    rows = pages.select(host(F.col("url").cast("string")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).where("host is not null")
+    rows = rows.withColumn("mark", F.xxhash64("html"))
+    copies = scratch.keep(rows.groupBy("host", "mark").agg(F.count("*").alias("n")).where("n > 1").select("host", "mark"), "copies")
+    once, more = (rows.join(scratch.small(copies, "copies"), ["host", "mark"], how) for how in ("left_anti", "left_semi"))
+    parts = once.union(more.dropDuplicates(["host", "mark"])).select("host", "html").mapInArrow(collect, kind)
     parts = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(FAN)))
     return parts.groupBy("host", "part").applyInArrow(merge, kind).groupBy("host").applyInArrow(merge, kind)
 
@@ -342,7 +352,7 @@ def _batch(hosts: list[str], found: list[str]) -> pa.RecordBatch:
 def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages(page_id, url, html)``."""
     scratch = Scratch(spark, "html-extraction")
-    found = scratch.keep(wrappers(pages), "wrappers").select(F.col("host").alias("site"), "wrapper")
+    found = scratch.keep(wrappers(scratch, pages), "wrappers").select(F.col("host").alias("site"), "wrapper")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.join(scratch.small(found, "wrappers"), host(F.col("url")) == F.col("site"), "left").select("page_id", "url", "wrapper", "html")
 

@@ -447,6 +447,15 @@ def test_wrapper_inside_main(spark):
     assert main_texts(spark, [refs] + [f"<main><p>text {i}</main>" for i in range(4)])[0] == "own\n\nsource a\n\nsource b"
 
 
+def test_copies_and_links_outside_main(spark):
+    copy = "<div><h1>Head</h1><div class=body>only text</div></div>"
+    assert main_texts(spark, [copy] * 4) == ["Head\n\nonly text"] * 4
+    pages = [f"<div class=post><p>text {i}</p></div>" for i in range(4)]
+    assert main_texts(spark, pages + [copy] * 3)[4:] == ["Head\n\nonly text"] * 3
+    pages = [f"<div class=post><h2><a href=x>Title {i}</a></h2><div class=body>text {i}</div></div>" for i in range(4)]
+    assert main_texts(spark, pages) == [f"Title {i}\n\ntext {i}" for i in range(4)]
+
+
 # 10
 
 
