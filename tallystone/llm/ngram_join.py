@@ -11,7 +11,7 @@ probed by binary search: a partner must occur in at least T - L of the short lis
 Between groups, over all data: one fixed order of all shingles puts those without frequent words first, then goes by
 the sum of their frequent words' weights, then by hash. The first n - T + c lists in that order are merged, the rest
 are long (c is MERGED, MERGED_PERCENT of n if that is more, and at most T). Spark's external sort merges, spilling where
-a heap would fill memory. The order affects the cost only; any order finds every link.
+a heap would fill memory. The order affects the cost only; with any order every pair that links shares c merged lists.
 
 Inside a group, in memory: classes (equal sets are one class) that share c merged lists with a list's least class form
 groups; near copies come together there. A group's classes meet in blocks of ``BLOCK``, each pair of blocks in a task of
@@ -282,6 +282,7 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     """(doc_id, mark, n_shingles, node, root, component_id) for each row of ``docs(doc_id, text)``.
 
     Equal sets have one node, components one root; these tell documents of equal ids apart.
+    Links are not returned: those that join nothing new are not searched.
     """
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
