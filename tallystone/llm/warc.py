@@ -101,15 +101,20 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """What the archive says of each record, held against its payload's bytes.
 
     (page_id, url, record_id, record_type, refers_to, payload_bytes, payload_digest); the payload's figures are of the
-    full payload, for revisits too. Digests are taken of each payload once, before the join, which moves no bytes.
+    full payload, for revisits too. Digests are taken of each payload once, before the join, which moves no bytes; a
+    record's Content-Length is held against its HTTP header and payload. ``records`` puts the bytes together.
     """
     facts = _payloads(spark, folder).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     records = spark.read.parquet(f"{folder}/records").select(
         "address", _value("X-Page-ID").cast("long").alias("page_id"), _value("WARC-Target-URI").alias("url"), _value("WARC-Record-ID").alias("record_id"), _value("WARC-Type").alias("record_type"),
         _value("X-Refers-To-Page-ID").cast("long").alias("refers_to"), F.substring_index(_value("WARC-Payload-Digest"), ":", -1).alias("own"),
+        _value("Content-Length").cast("long").alias("length"), F.octet_length("http_header").cast("long").alias("http_bytes"),
     )
     found = records.join(facts, "address", "left")
-    digest = F.when(F.col("own") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("record without its payload: "), F.coalesce("record_id", F.lit("?")))))
+    block = F.col("http_bytes") + F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
+    which = F.coalesce("record_id", F.lit("?"))
+    digest = F.when(F.col("own") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("record without its payload: "), which)))
+    digest = F.when(F.col("length") == block, digest).otherwise(F.raise_error(F.concat(F.lit("record of another length: "), which)))
     return found.select("page_id", "url", "record_id", "record_type", "refers_to", "payload_bytes", digest.alias("payload_digest"))
 
 

@@ -115,6 +115,16 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, folder).count() == 0
 
 
+def test_warc_length(spark, tmp_path):
+    folder = f"file://{tmp_path}/a"
+    warc.write(spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string"), folder)
+    assert warc.read(spark, folder).count() == 1
+    bad = [(r.page_id, r.address, bytes(r.warc_header), bytes(r.http_header) + b"x") for r in spark.read.parquet(f"{folder}/records").collect()]
+    spark.createDataFrame(bad, "page_id long, address string, warc_header binary, http_header binary").write.mode("overwrite").parquet(f"{folder}/records")
+    with pytest.raises(Exception, match="record of another length"):
+        warc.read(spark, folder).select("payload_digest").collect()
+
+
 def test_warc_notices_damage(spark, tmp_path):
     folder = f"file://{tmp_path}/b"
     warc.write(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), folder)
