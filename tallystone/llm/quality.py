@@ -8,12 +8,14 @@ Features are words (runs ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+``, A-Z lower
 1 + log of their counts, each of the three kinds scaled to length 1; and the shares of shapes among the text's white-space words: the punctuation
 they end in, whether it is doubled, capitals inside, and whether the word repeats the one before it. Whole texts count.
 
-The model is fitted on the driver on a bounded sample: the ``TRAIN_ROWS`` rated documents with the least hash of their id.
-Buckets in fewer than ``LEAST_DOCS`` of its texts have no weight: the rare words of a sample say nothing of other texts.
-Scoring is an Arrow UDF over one column beside an array of weights, 2 MB whatever the data; no shuffle.
+The model is fitted on a bounded sample, the ``TRAIN_ROWS`` rated documents with the least hash of their id, by one task of an
+executor: the driver sees weights and thresholds only, 1 MB. Buckets in fewer than ``LEAST_DOCS`` of its texts have no
+weight: the rare words of a sample say nothing of other texts. Scoring is an Arrow UDF over one column beside the
+weights; no shuffle.
 
 Null and empty texts have no features, so their score is 0: they get the grade that the thresholds give it. Ratings
-without id or grade are passed over; of several grades for one id the least counts. With fewer than two grades among the
+without id or grade are passed over; of several grades for one id the least counts, of several texts for one rated id the
+one of the least hash. With fewer than two grades among the
 ratings there is nothing to learn: expected grade and probability are null and every document is kept. Repeated rows,
 null ids and further columns are no matter: rows are scored one by one and keep all they have.
 """
@@ -111,7 +113,7 @@ def fit(index: np.ndarray, value: np.ndarray, row: np.ndarray, grades: np.ndarra
     k = int(grades.max())
     docs = np.bincount(index, minlength=_BUCKETS + _SHAPES)
     use = np.flatnonzero(docs >= LEAST_DOCS)
-    place = np.full(len(docs), -1)
+    place = np.full(len(docs), -1, np.int32)
     place[use] = np.arange(len(use))
     at = place[index]
     index, value, row = at[at >= 0], value[at >= 0], row[at >= 0]
@@ -160,24 +162,34 @@ def train(docs: DataFrame, ratings: DataFrame, rows: int = TRAIN_ROWS) -> Model
     rated = ratings.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("long").alias("rated_id")).agg(F.min("grade").cast("int").alias("grade"))
     sample = rated.orderBy(F.xxhash64("rated_id"), "rated_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("rated_id"))
+    # of several texts of one id one counts, the same each time, and the sample keeps its bound
+    texts = texts.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("t")).select("doc_id", "grade", "t.text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for _, data, off in _words.spans(batch.column(1)) for x in features(data, off)]
+            found = [x for _, data, off in _words.spans(batch.column(2)) for x in features(data, off)]
             size = pa.array(np.append(0, np.cumsum([len(i) for i, _ in found])).astype(np.int32))
             index, value = (np.concatenate([np.zeros(0), *(x[k] for x in found)]) for k in (0, 1))
             columns = [pa.ListArray.from_arrays(size, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(size, pa.array(value.astype(np.float32)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["grade", "index", "value"])
-
-    # repeated rows of one document must not lift the sample over its bound
-    got = texts.select("grade", "text", "doc_id").dropDuplicates(["doc_id"]).select("grade", "text").mapInArrow(run, "grade int, index array<int>, value array<float>").toArrow().combine_chunks()
-    grades = got.column("grade").to_numpy()
-    if len(np.unique(grades)) < 2:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "grade", "index", "value"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))]))
+        held = held.sort_by("doc_id").combine_chunks()  # sums in one order, whatever order the rows came in
+        grades = held.column("grade").to_numpy()
+        if len(np.unique(grades)) < 2:
+            return
+        index, value = (held.column(c).chunk(0) for c in ("index", "value"))
+        row = np.repeat(np.arange(len(grades), dtype=np.int32), index.value_lengths().to_numpy(zero_copy_only=False))
+        model = fit(index.flatten().to_numpy(), value.flatten().to_numpy(), row, grades.astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32)], pa.list_(pa.float32())), pa.array([model.thresholds], pa.list_(pa.float64()))], ["weights", "thresholds"])
+
+    described = texts.mapInArrow(describe, "doc_id long, grade int, index array<int>, value array<float>")
+    got = described.repartition(1).mapInArrow(learn, "weights array<float>, thresholds array<double>").toArrow()
+    if not got.num_rows:
         return None
-    index, value = got.column("index").combine_chunks(), got.column("value").combine_chunks()
-    index, value = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (index, value))
-    row = np.repeat(np.arange(len(grades)), index.value_lengths().to_numpy(zero_copy_only=False))
-    return fit(index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(np.float64), row, grades.astype(np.int64))
+    weights, thresholds = (got.column(c).combine_chunks().flatten().to_numpy() for c in ("weights", "thresholds"))
+    return Model(weights, thresholds)
 
 
 def score(spark: SparkSession, docs: DataFrame, ratings: DataFrame, good: int = 2, least: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -185,7 +197,7 @@ def score(spark: SparkSession, docs: DataFrame, ratings: DataFrame, good: int =
     model = train(docs, ratings, rows)
     if model is None:
         return docs.withColumn("__tallystone_quality", F.struct(F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(True).alias("keep")))
-    held = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
+    held = spark.sparkContext.broadcast((model.weights, model.thresholds))
 
     @F.arrow_udf("struct<expected_grade:double,tail_probability:double>")
     def grade(text: pa.Array) -> pa.Array:
