@@ -1,25 +1,32 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred per host.
 
-A page is a stream of block tags and text slots. Its structure is a tree whose nodes are tags with their class or id;
-adjacent siblings of the same kind are aligned with each other and become one repeated group. A host's wrapper comes of
-aligning its pages' structures one after another: matching tags are merged, tags that only one side has become optional
-groups, and where texts differ the slot is a text slot, otherwise it holds the host's constant text. Such a wrapper is a
-union-free regular expression: tags, repeats, optional groups and text slots, without alternatives.
-
-The wrapper tells a slot's part. Slots in menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-are known by their tags, roles, classes and ids. Of the rest, slots go whose text is constant on ``CONSTANT_PAGES`` pages
-or more, and on ``SHARE`` or more of the host's pages, and blocks of links in groups that the wrapper shows to be repeated
-and links for the most part. Where a page has an article or main element, only slots in there are the main text, and groups
-of links go from them only if so many of the host's pages have them. If all would go as constant, it stays. Pages of equal
-html are one page of their host here. Blocks keep the page's order; nothing is cut.
+A page is a stream of block tags and text slots. Its structure is a tree whose nodes are tags with their class and id words;
+siblings that repeat, one tag or a run of up to ``RUN`` different ones, are aligned with each other and become one
+repeated group. A host's wrapper comes of aligning its pages' structures one after another: matching tags are merged, tags
+that only one side has become optional groups, runs that the other side repeats join its group, and where texts differ
+the slot is a text slot, otherwise it holds the host's constant text. Such a wrapper is a union-free regular expression:
+tags, repeats, optional groups and text slots, without alternatives.
+
+Every slot of a page is looked up in its host's wrapper, which decides:
+- text that is constant on ``CONSTANT_PAGES`` distinct pages or more, and on ``SHARE`` or more of the host's, goes;
+- blocks of links in repeated groups that are links for the most part go; inside article and main only if so many
+  of the host's pages have the group;
+- menus, headers, footers, sidebars, forms and what is hidden go, by tag and role; adverts, notices, comments and the like by
+  words of class, id and role, unless the wrapper shows the element to be the host's body: over half of its variable
+  text, not a repeated group of elements. Words that are subjects of articles too (``_TOPICS``) count only where the
+  wrapper shows the element to be constant, to be links for the most part, or to repeat a group of elements;
+- where a page has an article or main element, only slots in there are left. If all would go as constant, it stays.
+Pages of equal html or equal slots are one page of their host here. Blocks keep the page's order; nothing is cut.
 
 Scale: pages meet in their own task first, so a host has one small structure per task, whatever its pages; these are
-aligned by host in two steps, ``FAN`` parts first, so that no task gets a hot host's pages. A structure grows with the
-host's kinds of markup, not with its pages. Wrappers join the pages by host, broadcast if their measured size is small.
-
-Null html is empty and gives empty text. A null or unusable url has no host: its page is read without a wrapper. Repeated
-rows, null page_ids and cut-off pages are read as they are: an open tag at the end is markup, an open element ends there.
-Extra columns are ignored; an empty table gives no rows.
+aligned by host in two steps, ``FAN`` parts first, so that no task gets a hot host's pages. A structure is bounded: a node
+with more than ``WIDTH`` kinds of children forgets their classes and ids, as the whole does beyond ``NODES`` nodes; elements
+below ``DEPTH`` levels count as their ancestor's there. That makes a wrapper coarser; texts stay whole. Wrappers join the pages
+by host, broadcast if their measured size is small.
+
+Null html is empty and gives empty text. A null or unusable url has no host: its page is its own wrapper, without
+constants, and outside article and main every block of links goes. Repeated rows, null page_ids and cut-off pages are read as they are: an open tag at the end is markup, an open
+element ends there. Very long and very deep pages are read whole. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +44,7 @@ from pyspark.sql import functions as F
 from tallystone.llm._shared import Scratch
 
 CONSTANT_PAGES, SHARE, FAN = 3, 0.5, 64
+RUN, WIDTH, NODES, DEPTH = 4, 64, 4096, 48
 
 # Names of HTML elements, and words of classes, ids and roles.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -44,19 +52,20 @@ _VOID = frozenset("area base basefont br col embed frame hr img input keygen lin
 _DROPPED = frozenset("applet audio button canvas datalist head iframe math noembed noframes noscript object option optgroup script select style svg template textarea title video".split())
 _RAW = frozenset("script style textarea title noscript iframe noframes noembed template svg math".split())
 _ASIDE = frozenset("aside nav footer form menu dialog search".split())
-_PARTS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus feedback footer gdpr legal masthead menu modal nav navbar navigation newsletter notice notification overlay pagination paywall popup promo promoted promotion recommended related reply replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+_PARTS = frozenset("ad ads adbox adsense advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar newsletter notification overlay pagination paywall popup promo promoted replies respond share sharing sidebar skip sponsor sponsored subscribe toolbar topbar widget widgets".split())
+_TOPICS = frozenset("advertising copyright disclaimer discussion feedback legal navigation notice promotion recommended related reply social subscription".split())
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 _ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*)(?:>|(?=<)|\Z)|</[^>]*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PIECES = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Slot:
-    """One block's text: its path of keys, whether it stands apart from the main text, and how much of it is links."""
+    """One block's text: its path of keys, whether tags show it to stand apart from the main text, and how much of it is links."""
 
     __slots__ = ("path", "apart", "article", "text", "linked")
 
@@ -64,22 +73,30 @@ class Slot:
         self.path, self.apart, self.article, self.text, self.linked = path, apart, article, text, linked
 
 
-def _described(tag: str, raw: str, in_article: bool) -> tuple[str, bool]:
-    """A tag's key in the wrapper, and whether what it holds stands apart."""
-    key, apart = tag, tag in _ASIDE or (tag == "header" and not in_article)
+def _described(tag: str, raw: str, in_article: bool) -> tuple[str, bool, bool]:
+    """A tag's key in the wrapper, whether tag, role or state set apart what it holds, and whether it is the main text by role."""
+    key, apart, main = tag, tag in _ASIDE or (tag == "header" and not in_article), tag in ("article", "main")
     if "=" in raw or "hidden" in raw:
         for name, *values in _ATTRIBUTE.findall(raw):
-            value, name = next((v for v in values if v), ""), name.lower()
+            name = name.lower()
             if name == "hidden":
-                apart = apart or not re.search(r"[\w-]hidden|hidden[\w-]", raw)
-            elif name == "role":
-                apart = apart or value.strip().lower() in _ROLES
-            else:
-                found = _PIECES.findall(_CAMEL.sub(" ", value).lower())
-                apart = apart or (tag not in ("html", "body", "article", "main") and not _PARTS.isdisjoint(found))
-                if found:
-                    key += ("." if name == "class" else "#") + "-".join(found)
-    return key, apart
+                apart = True
+            elif name in ("class", "id", "role"):
+                value = next((v for v in values if v), "")
+                if name == "role":
+                    value = value.strip().lower()
+                    apart, main = apart or value in _ROLES, main or value == "main"
+                else:
+                    found = _PIECES.findall(_CAMEL.sub(" ", value).lower())
+                    if found:
+                        key += ("." if name == "class" else "#") + "-".join(found)
+    return key, apart, main
+
+
+def _words(key: str) -> set[str]:
+    """Class and id words of a key; a page's outermost elements and its main text are not judged by theirs."""
+    tag, *words = re.split(r"[.#-]", key)
+    return set() if tag in ("html", "body", "article", "main") else set(words)
 
 
 def _clean(pieces: list[str]) -> str:
@@ -101,7 +118,7 @@ def slots(page: str) -> list[Slot]:
             text = _clean(pieces)
             if text:
                 _, _, apart, article = stack[-1] if stack else ("", "", False, False)
-                out.append(Slot(tuple(x[1] for x in stack), apart, article, text, len(_clean(linked))))
+                out.append(Slot(tuple(x[1] for x in stack[:DEPTH]), apart, article, text, len(_clean(linked))))
             pieces.clear()
             linked.clear()
         link = 0
@@ -163,9 +180,8 @@ def slots(page: str) -> list[Slot]:
                 elif stack[k][0] in _SCOPES[tag]:
                     break
         above = stack[-1] if stack else ("", "", False, False)
-        key, apart = _described(tag, m[3], above[3])
-        article = above[3] or tag in ("article", "main") or 'role="main"' in m[3]
-        stack.append((tag, key, apart or above[2], article))
+        key, apart, main = _described(tag, m[3], above[3])
+        stack.append((tag, key, apart or above[2], above[3] or main))
     flush()
     return out
 
@@ -182,6 +198,7 @@ def _after(page: str, at: int, tag: str) -> int:
 
 
 # A wrapper's node is [key, pages, repeated, optional, text, letters, linked, children]. text: None, a constant's hash, or "*".
+# The key of a group of several tags is "(" and theirs.
 
 
 def _node(key: str) -> list:
@@ -189,7 +206,7 @@ def _node(key: str) -> list:
 
 
 def structure(found: list[Slot]) -> list:
-    """A page's slots as a tree; siblings of one key that follow each other are one repeated group."""
+    """A page's slots as a tree; siblings that repeat, alone or as a run, are one repeated group."""
     root = _node("")
     trail, last = [root], ()
     for slot in found:
@@ -211,42 +228,126 @@ def structure(found: list[Slot]) -> list:
         mark = xxhash.xxh3_64_hexdigest(slot.text)
         here[4] = mark if here[4] is None else here[4] if here[4] == mark else "*"
         here[5] += len(slot.text)
-        here[6] += slot.linked
-    return root
-
-
-def align(a: list, b: list) -> list:
-    """The union-free expression of both: merges what matches, in order; what only one has is optional."""
-    out = [a[0], a[1] + b[1], a[2] or b[2], a[3] or b[3], b[4] if a[4] is None else a[4] if b[4] is None or a[4] == b[4] else "*", a[5] + b[5], a[6] + b[6], []]
+        here[6] += len(slot.text) if slot.apart else slot.linked
+    order = [root]
+    for node in order:
+        order += node[7]
+    for node in reversed(order):
+        node[7] = _folded(node[7])
+    return _bounded(root)
+
+
+def _keys(nodes: list[list]) -> list[str]:
+    return [k[0] for k in nodes]
+
+
+def _folded(kids: list[list]) -> list[list]:
+    """Children of one element with their repeats aligned: one tag, or a run of several, becomes a repeated group."""
+    out: list[list] = []
+    for k in kids:
+        if out and out[-1][0] == k[0]:
+            out[-1] = align(out[-1], k, same=True)
+            out[-1][2] = True
+        else:
+            out.append(k)
+    for n in range(2, RUN + 1):
+        i = 0
+        while i + 2 * n <= len(out):
+            keys = _keys(out[i : i + n])
+            if keys == _keys(out[i + n : i + 2 * n]):
+                group = _group(out[i : i + n])
+                while _keys(out[i + n : i + 2 * n]) == keys:
+                    group = align(group, _group(out[i + n : i + 2 * n]), same=True)
+                    del out[i + n : i + 2 * n]
+                group[2] = True
+                out[i : i + n] = [group]
+            i += 1
+    return _general(out) if len(out) > WIDTH else out
+
+
+def _group(nodes: list[list]) -> list:
+    """One turn of a group of several tags."""
+    return ["(" + " ".join(_keys(nodes)) + ")", max(k[1] for k in nodes), False, False, None, 0, 0, nodes]
+
+
+def _met(nodes: list[list], groups: list[list]) -> list[list]:
+    """``nodes`` with each run that is a turn of one of the other side's groups made that group."""
+    for g in groups:
+        keys, i = _keys(g[7]), 0
+        while g[0] not in _keys(nodes) and i + len(keys) <= len(nodes):
+            if _keys(nodes[i : i + len(keys)]) == keys:
+                nodes = [*nodes[:i], _group(nodes[i : i + len(keys)]), *nodes[i + len(keys) :]]
+            i += 1
+    return nodes
+
+
+def _general(kids: list[list]) -> list[list]:
+    """Children by tag alone, each once."""
+    out: dict[str, list] = {}
+    waiting = kids[::-1]
+    while waiting:
+        k = waiting.pop()
+        if k[0].startswith("("):
+            waiting += k[7][::-1]
+            continue
+        tag = re.split("[.#]", k[0])[0]
+        k = [tag, *k[1:]]
+        if tag in out:
+            out[tag] = align(out[tag], k, same=True)
+            out[tag][2] = True
+        else:
+            out[tag] = k
+    return list(out.values())
+
+
+def _bounded(wrapper: list) -> list:
+    """The same expression, coarser if it has more than ``NODES`` nodes: without classes and ids, then without depth."""
+    depth = 2 * DEPTH
+    while True:
+        levels = [[wrapper]]
+        while levels[-1]:
+            levels.append([k for node in levels[-1] for k in node[7]])
+        if sum(map(len, levels)) <= NODES:
+            return wrapper
+        for level in reversed(levels[:depth]):
+            for node in level:
+                node[7] = _general(node[7])
+        for node in levels[depth] if depth < len(levels) else ():
+            order = [node]
+            for k in order:
+                order += k[7]
+            node[4] = next((k[4] for k in order if k[4] is not None), None) if len({k[4] for k in order} - {None}) < 2 else "*"
+            node[5:] = sum(k[5] for k in order), sum(k[6] for k in order), []
+        depth //= 2
+
+
+def align(a: list, b: list, same: bool = False) -> list:
+    """The union-free expression of both: merges what matches, in order; what only one has is optional. ``same``: turns of one page's group."""
+    text = b[4] if a[4] is None else a[4] if b[4] is None or a[4] == b[4] else "*"
+    out = [a[0], max(a[1], b[1]) if same else a[1] + b[1], a[2] or b[2], a[3] or b[3], text, a[5] + b[5], a[6] + b[6], []]
     x, y = a[7], b[7]
+    if _keys(x) == _keys(y):
+        out[7] = [align(p, q, same) for p, q in zip(x, y, strict=True)]
+        return out
+    x, y = _met(x, [k for k in y if k[0].startswith("(")]), _met(y, [k for k in x if k[0].startswith("(")])
     kids: list[list] = []
     i = j = 0
-    if [k[0] for k in x] == [k[0] for k in y]:
-        kids = [align(p, q) for p, q in zip(x, y, strict=True)]
-        i, j = len(x), len(y)
-    else:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for p in range(len(x) - 1, -1, -1):
-            for q in range(len(y) - 1, -1, -1):
-                best[p][q] = best[p + 1][q + 1] + 1 if x[p][0] == y[q][0] else max(best[p + 1][q], best[p][q + 1])
-        while i < len(x) and j < len(y):
-            if x[i][0] == y[j][0]:
-                kids.append(align(x[i], y[j]))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                kids.append([*x[i][:3], True, *x[i][4:]])
-                i += 1
-            else:
-                kids.append([*y[j][:3], True, *y[j][4:]])
-                j += 1
-    kids += [[*k[:3], True, *k[4:]] for k in x[i:] + y[j:]]
-    for k in kids:  # the mismatch is a repeat if it brings like groups together
-        if out[7] and out[7][-1][0] == k[0]:
-            pages = max(out[7][-1][1], k[1])
-            out[7][-1] = align(out[7][-1], k)
-            out[7][-1][1], out[7][-1][2] = pages, True
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for p in range(len(x) - 1, -1, -1):
+        for q in range(len(y) - 1, -1, -1):
+            best[p][q] = best[p + 1][q + 1] + 1 if x[p][0] == y[q][0] else max(best[p + 1][q], best[p][q + 1])
+    while i < len(x) and j < len(y):
+        if x[i][0] == y[j][0]:
+            kids.append(align(x[i], y[j], same))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            kids.append([*x[i][:3], True, *x[i][4:]])
+            i += 1
         else:
-            out[7].append(k)
+            kids.append([*y[j][:3], True, *y[j][4:]])
+            j += 1
+    kids += [[*k[:3], True, *k[4:]] for k in x[i:] + y[j:]]
+    out[7] = _folded(kids)
     return out
 
 
@@ -254,56 +355,91 @@ def expression(node: list) -> str:
     """The wrapper as text: tags, #text or a constant, ( )+ for repeats and ( )? for optional groups."""
     inner = "".join(expression(k) for k in node[7])
     own = "" if node[4] is None else "#text" if node[4] == "*" else "#constant"
-    body = f"<{node[0]}>{own}{inner}</>" if node[0] else own + inner
+    body = f"<{node[0]}>{own}{inner}</>" if node[0] and not node[0].startswith("(") else own + inner
     return f"({body})" + ("*" if node[2] and node[3] else "+" if node[2] else "?") if node[2] or node[3] else body
 
 
-def facts(wrapper: list) -> dict[tuple[str, ...], list]:
-    """Of each path with text: its constant or "*", pages that have it, letters, letters of links, whether it is in a repeated group."""
-    out: dict[tuple[str, ...], list] = {}
-
-    def walk(node: list, path: tuple[str, ...], repeated: bool) -> None:
-        if node[4] is not None:
-            f = out.setdefault(path, [node[4], 0, 0, 0, False])
-            f[0] = f[0] if f[0] == node[4] else "*"
-            f[1:] = max(f[1], node[1]), f[2] + node[5], f[3] + node[6], f[4] or repeated
-        for k in node[7]:
-            walk(k, (*path, k[0]), repeated or k[2])
-
-    walk(wrapper, (), False)
-    return out
-
-
-def _general(pages: int, wrapper: list) -> bool:
-    return pages >= CONSTANT_PAGES and pages >= SHARE * wrapper[1]
-
-
-def template_paths(wrapper: list) -> set[tuple[str, ...]]:
-    """Paths whose text is the host's own: constant on enough of its pages."""
-    return {p for p, (text, pages, *_) in facts(wrapper).items() if text != "*" and _general(pages, wrapper)}
-
-
-def link_groups(wrapper: list) -> dict[tuple[str, ...], bool]:
-    """Paths in repeated groups that are links for the most part, and whether enough of the host's pages have them."""
-    return {p: _general(pages, wrapper) for p, (_, pages, letters, linked, repeated) in facts(wrapper).items() if repeated and linked * 2 > letters}
+#: What a wrapper says of a slot, the weakest first.
+KEEP, LINKS, COMMON_LINKS, CONSTANT, APART = range(5)
+
+
+class Wrapper:
+    """What a host's expression says of its pages' slots."""
+
+    def __init__(self, expression: list):
+        self.pages = expression[1]
+        self.known: dict[tuple[str, ...], int] = {}
+        self.root: dict = {}
+        order = [expression]
+        for node in order:
+            order += node[7]
+        # what each element holds: letters that vary and are no links, letters of links, whether it repeats a group of elements
+        held: dict[int, tuple[int, int, bool]] = {}
+        for node in reversed(order):
+            inner = [held[id(k)] for k in node[7]]
+            own = 0 if node[4] is None or self._constant(node) else max(0, node[5] - node[6])
+            lists = any(x[2] for x in inner) or any(k[2] and k[7] for k in node[7])
+            held[id(node)] = own + sum(x[0] for x in inner), node[6] + sum(x[1] for x in inner), lists
+        body = held[id(expression)][0] / 2
+        waiting = [(expression, self.root, False, False)]
+        while waiting:
+            node, place, repeated, apart = waiting.pop()
+            if not node[0].startswith("("):
+                own, linked, lists = held[id(node)]
+                words = _words(node[0])
+                apart = apart or not _PARTS.isdisjoint(words) and (own <= body or node[2] or lists)
+                apart = apart or not _TOPICS.isdisjoint(words) and (not own or linked > own or lists)
+                place[""] = min(place.get("", APART), self._says(node, repeated, apart))
+            for k in node[7]:
+                waiting.append((k, place if k[0].startswith("(") else place.setdefault(k[0], {}), repeated or k[2], apart))
+
+    def _common(self, node: list) -> bool:
+        return node[1] >= CONSTANT_PAGES and node[1] >= SHARE * self.pages
+
+    def _constant(self, node: list) -> bool:
+        return node[4] not in (None, "*") and self._common(node)
+
+    def _says(self, node: list, repeated: bool, apart: bool) -> int:
+        if apart:
+            return APART
+        if repeated and node[6] * 2 > node[5]:
+            return COMMON_LINKS if self._common(node) else LINKS
+        return CONSTANT if self._constant(node) else KEEP
+
+    def says(self, path: tuple[str, ...]) -> int:
+        found = self.known.get(path)
+        if found is None:
+            place, exact = self.root, True
+            for key in path:
+                below = place.get(key)
+                exact = exact and below is not None
+                below = below or place.get(re.split("[.#]", key)[0])
+                if below is None:
+                    break
+                place = below
+            found = place.get("", KEEP)
+            if not exact and any(not _PARTS.isdisjoint(_words(k)) for k in path):
+                found = APART  # a coarse wrapper has no words to judge
+            if len(self.known) >= 1 << 14:
+                self.known.clear()
+            self.known[path] = found
+        return found
 
 
 def extract(page: str | None, wrapper: list | None = None) -> str:
     """Main text of a page, given its host's wrapper."""
-    return _extract(page, None if wrapper is None else (template_paths(wrapper), link_groups(wrapper)))
+    return _extract(page, wrapper and Wrapper(wrapper))
 
 
-def _extract(page: str | None, known: tuple[set, dict] | None) -> str:
-    found = [s for s in slots(page or "") if not s.apart]
-    inside = [s for s in found if s.article]
-    if known is None:
-        found = inside or [s for s in found if s.linked * 2 <= len(s.text)]
-    else:
-        own, links = known
-        # an article's lists of links are its own unless the host's pages have them in general
-        left = [s for s in inside or found if s.linked * 2 <= len(s.text) or not (links.get(s.path) if inside else s.path in links)]
-        found = [s for s in left if s.path not in own] or left or inside
-    return "\n\n".join(s.text for s in found)
+def _extract(page: str | None, wrapper: Wrapper | None) -> str:
+    every = slots(page or "")
+    alone, wrapper = wrapper is None, wrapper or Wrapper(structure(every))
+    found = [(s, what) for s in every if not s.apart and (what := wrapper.says(s.path)) != APART]
+    inside = [x for x in found if x[0].article]
+    # an article's lists of links are its own unless the host's pages have them in general
+    links = (COMMON_LINKS,) if inside else (KEEP, LINKS, COMMON_LINKS) if alone else (LINKS, COMMON_LINKS)
+    left = [(s, what) for s, what in inside or found if what not in links or s.linked * 2 <= len(s.text)]
+    return "\n\n".join(s.text for s, _ in [x for x in left if x[1] != CONSTANT] or left or inside)
 
 
 def host(url: Column) -> Column:
@@ -326,13 +462,13 @@ def wrappers(scratch: Scratch, pages: DataFrame) -> DataFrame:
                     continue
                 seen.add(mark)
                 found = structure(texts)
-                held[site] = align(held[site], found) if site in held else found
+                held[site] = _bounded(align(held[site], found)) if site in held else found
         yield _batch(list(held), [json.dumps(x, separators=(",", ":")) for x in held.values()])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         out = None
         for x in sorted(table.column("wrapper").to_pylist()):
-            out = json.loads(x) if out is None else align(out, json.loads(x))
+            out = json.loads(x) if out is None else _bounded(align(out, json.loads(x)))
         return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(out, separators=(",", ":"))]})
 
     kind = "host string, wrapper string"
@@ -357,7 +493,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     rows = rows.join(scratch.small(found, "wrappers"), host(F.col("url")) == F.col("site"), "left").select("page_id", "url", "wrapper", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, tuple[set, dict] | None] = {None: None}
+        known: dict[str | None, Wrapper | None] = {None: None}
         for batch in batches:
             texts = []
             for wrapper, page in zip(batch.column(2), batch.column(3), strict=True):
@@ -365,7 +501,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
                 if key not in known:
                     if len(known) > 256:
                         known = {None: None}
-                    known[key] = template_paths(read := json.loads(key)), link_groups(read)
+                    known[key] = Wrapper(json.loads(key))
                 texts.append(_extract(page.as_py(), known[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -422,14 +422,25 @@ def test_extract(page, text):
     assert html_extraction.extract(page) == text
 
 
+def wrapper_of(*pages):
+    both = html_extraction.structure(html_extraction.slots(pages[0]))
+    for page in pages[1:]:
+        both = html_extraction.align(both, html_extraction.structure(html_extraction.slots(page)))
+    return both
+
+
 def test_wrapper():
-    a = html_extraction.structure(html_extraction.slots("<div><p>one<p>two</div><div class=end>same</div>"))
-    b = html_extraction.structure(html_extraction.slots("<div><h2>t</h2><p>x</div><div class=end>same</div>"))
-    both = html_extraction.align(a, b)
-    assert html_extraction.expression(both) == "<div>(<h2>#constant</>)?(<p>#text</>)+</><div.end>#constant</>"
-    for _ in range(3):
-        both = html_extraction.align(both, b)
-    assert html_extraction.template_paths(both) == {("div", "h2"), ("div.end",)} or html_extraction.template_paths(both) == {("div.end",), ("div", "h2")}
+    a, b = "<div><p>one<p>two</div><div class=end>same</div>", "<div><h2>t</h2><p>x</div><div class=end>same</div>"
+    assert html_extraction.expression(wrapper_of(a, b)) == "<div>(<h2>#constant</>)?(<p>#text</>)+</><div.end>#constant</>"
+    both = html_extraction.Wrapper(wrapper_of(a, b, b, b, b))
+    assert [both.says(p) for p in (("div", "h2"), ("div.end",), ("div", "p"))] == [html_extraction.CONSTANT, html_extraction.CONSTANT, html_extraction.KEEP]
+
+
+def test_groups_of_several_tags():
+    lists = ["<dl>" + "".join(f"<dt>t{i}{k}<dd>d{i}{k}" for k in range(i)) + "</dl>" for i in (3, 1, 2)]
+    assert html_extraction.expression(wrapper_of(*lists)) == "<dl>(<dt>#text</><dd>#text</>)+</>"
+    news = ["".join(f"<h2>h{i}{k}</h2>" + f"<p>p{i}{k}</p>" * n for k, n in enumerate(x)) for i, x in enumerate([(1, 2, 1), (1,), (3, 1)])]
+    assert html_extraction.expression(wrapper_of(*news)) == "(<h2>#text</>(<p>#text</>)+)+"
 
 
 def test_main_text(spark):
@@ -466,6 +477,63 @@ def test_copies_and_links_outside_main(spark):
     assert main_texts(spark, pages) == [f"Title {i}\n\ntext {i}" for i in range(4)]
 
 
+def test_deep_wide_and_repeated_pages(spark):
+    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
+    assert html_extraction.extract(deep) == "deep" and main_texts(spark, [deep, deep.replace("deep", "low"), deep])[1] == "low"
+    pages = ["<body>" + "".join(f"<div class=x{'abcdefghij'[i]}{''.join('abcdefghij'[int(c)] for c in str(k))}><p>text {i} {k}</p></div>" for k in range(3000)) + "<div class=sidebar>menu</div>" for i in range(4)]
+    wrapper = wrapper_of(*pages)
+    nodes = [wrapper]
+    for n in nodes:
+        nodes += n[7]
+    assert len(nodes) < html_extraction.WIDTH
+    assert main_texts(spark, pages)[2] == "\n\n".join(f"text 2 {k}" for k in range(3000))
+    copy = '<div class="post"><p>all there is</p></div>'
+    assert main_texts(spark, [copy] * 3) == ["all there is"] * 3
+    assert html_extraction.extract("<p>" + "word " * 500_000) == " ".join(["word"] * 500_000)
+
+
+def test_words_of_classes_are_evidence_only(spark):
+    assert html_extraction.extract('<article><p>a</p><section id="discussion"><p>Results <p>more</section></article>') == "a\n\nResults\n\nmore"
+    assert html_extraction.extract('<article><div data-id="comments"><p>text</div></article>') == "text"
+    assert html_extraction.extract('<article title="x class=ad"><p>text</article>') == "text"
+    remarks = "".join(f"<div class=c><b>u{k}</b><p>I think {k}</div>" for k in range(3))
+    assert html_extraction.extract(f"<article><p>a</p><section id=discussion>{remarks}</section></article>") == "a"
+    assert html_extraction.extract(f"<p>a</p><div class=comments>{remarks * 9}</div>") == "a"
+    # the host's body, whatever its name
+    assert main_texts(spark, [f"<div class=widget-body><p>long text of page {i}</p></div><div class=ad>buy {i}</div>" for i in range(4)]) == [f"long text of page {i}" for i in range(4)]
+
+
+def random_site(rng, article):
+    """Pages of one random template, and their main texts."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    line = lambda: " ".join(word() for _ in range(rng.randrange(4, 20)))
+    box, lead, foot, links = word(), line(), line(), [word() for _ in range(4)]
+    out = []
+    for _ in range(8):
+        blocks, body = [line()], []
+        body.append(f"<h1>{blocks[0]}</h1>")
+        for _ in range(rng.randrange(1, 6)):
+            kind = rng.randrange(3)
+            new = [line() for _ in range(rng.randrange(1, 4))]
+            body.append(["".join(f"<p>{x}</p>" for x in new), "<ul>" + "".join(f"<li>{x}" for x in new) + "</ul>", "<dl>" + "".join(f"<dt>{x}<dd>{x}" for x in new) + "</dl>"][kind])
+            blocks += [y for x in new for y in ([x, x] if kind == 2 else [x])]
+        tag = "article" if article else "div"
+        menu = "".join(f"<li><a href=x>{x}</a>" for x in links)
+        remarks = "".join(f"<div class=one><b>{word()}</b><p>{line()}</div>" for _ in range(rng.randrange(4)))
+        out.append((f"<body><div class={word() if rng.random() < 0.1 else 'zz'}><ul>{menu}</ul></div><div class=lead>{lead}</div><{tag} class=q{box}>{''.join(body)}</{tag}><div class=comments>{remarks}</div><p class=end>{foot}</p>", "\n\n".join(blocks)))
+    return out
+
+
+def test_random_sites(spark):
+    rng = random.Random(9)
+    sites = [random_site(rng, k % 2) for k in range(24)]
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", page) for k, site in enumerate(sites) for i, (page, _) in enumerate(site)]
+    got = {r.page_id: r.text for r in html_extraction.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {100 * k + i: text for k, site in enumerate(sites) for i, (_, text) in enumerate(site)}
+    # without their wrappers pages keep what is the host's own
+    assert all(html_extraction.extract(page) != text for page, text in sites[0])
+
+
 # 10
 
 
