@@ -5,15 +5,18 @@ of ``[^\x20\x09-\x0D]``, A-Z lower-cased.
 
 Suffixes are kept only at minimisers: of every ``least - GRAM + 1`` consecutive runs of ``GRAM`` words the one with the
 least hash (of equal ones the last). A shared passage has the same runs in both texts, so it has a minimiser in common.
-1. The kept suffixes are sorted by their first ``GRAM`` words; those without an equal neighbour of another text go.
-2. A suffix left over is extended to the left, word by word, as far as its run is the minimiser of the ``least`` words
-   that begin there. Each of a text's windows of ``least`` words has one minimiser, so it arises once. These extended
-   suffixes are sorted by their first ``least`` words (a 64-bit hash of them) and compared with their neighbours.
-3. Windows that match follow one another through a text and make up the passages: this extends a match to the right.
+1. Kept suffixes whose first ``GRAM`` words no other text has at a kept place go; the others get their words back: to the left as far
+   as windows of ``least`` words begin that have this minimiser, to the right to the end of the last of these windows.
+2. They are dealt to tasks by ranges of the hash of those first words and sorted there by their words. The common prefix of neighbours
+   in this order says how far each agrees to the right with any other.
+3. To the left they are extended word by word: after i words those that agree in all of them and, by the order of step 2, in
+   ``least - i`` words to the right are one window of ``least`` words. It counts if two texts have it. Words are compared one by one, by
+   hashes of 64 bits each, so that other windows can't pass for equal ones by a hash of the whole.
+4. Windows that follow one another through a text make up its passages.
 
-In steps 1 and 2 the order among equal suffixes is of no account, only whether two texts are among them; so the
-comparison of neighbours is a least and a greatest text per key, taken on each executor before the shuffle. A passage in
-a third of all texts is thus one row per task, and no pairs arise. Texts are read again only where step 1 left something.
+A run of first words that more than ``GROUP`` suffixes have is hot, and its suffixes are not brought together: its windows are counted on each
+executor first, by hashes of 128 bits, as a least and a greatest text, and joined back from tables in storage, which adaptive
+execution splits. So no task gets a common passage whole, and no pairs arise. Texts are read again only where step 1 left something.
 
 Equal texts are one text of several documents: all their words repeat, if they are ``least`` at least, and it is
 searched once. Repeats inside one text don't count. Null and empty texts have none. Rows with equal id and text are one
@@ -33,6 +36,8 @@ from tallystone.llm import _words as words
 from tallystone.llm._shared import Scratch
 
 LEAST, GRAM = 50, 8
+#: Suffixes of one run that are compared in one task, and suffixes that a task takes at a time.
+GROUP, CHUNK = 4096, 1 << 15
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -84,26 +89,132 @@ def _kept(least: int, gram: int):
     return run
 
 
-def _extended(least: int, gram: int):
-    """Windows whose minimiser is a wanted suffix: (mark, start, window)."""
+def _ranges(flat: np.ndarray, first: np.ndarray, size: np.ndarray, step: int = 1) -> pa.ListArray:
+    """Lists flat[first], flat[first + step], ... of the given sizes."""
+    off = np.append(0, np.cumsum(size))
+    at = np.repeat(first, size) + step * (np.arange(off[-1]) - np.repeat(off[:-1], size))
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat[at].view(np.int64)))
+
+
+def _contexts(least: int, gram: int):
+    """Wanted suffixes with their words: (mark, lo, hi, start, key, hot, left, right); of hot ones two hashes of each window instead."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            wanted = batch.column(2)
-            facts = [batch.column(k).to_pylist() for k in (0, 3, 4)]
-            parts: list[pa.RecordBatch] = []
+            off_places, places = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            place, hot = (places.field(k).to_numpy(zero_copy_only=False) for k in ("place", "hot"))
             for row, data, off in words.spans(batch.column(1)):
                 hashes, begins = words.word_hashes(data, off)
                 found = minimisers(hashes, begins, least, gram)
-                runs = words._runs(hashes, least)
-                for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
-                    places = wanted[row + i].values.to_numpy() + a
-                    at = np.flatnonzero(np.isin(found[a:b], places)) + a
-                    if len(at):
-                        same = [pa.repeat(pa.scalar(x[row + i], pa.int64()), len(at)) for x in facts]
-                        parts.append(pa.RecordBatch.from_arrays([same[0], pa.array((at - a).astype(np.int32)), pa.array(runs[at].view(np.int64)), same[1], same[2]], ["mark", "start", "window", "lo", "hi"]))
-            if parts:
-                yield from pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=1 << 16)
+                part = slice(off_places[row], off_places[row + len(off) - 1])
+                wanted = place[part] + np.repeat(begins[:-1], np.diff(off_places[row : row + len(off)]))
+                is_hot = np.zeros(len(hashes), bool)
+                is_hot[wanted[hot[part]]] = True
+                keep = np.zeros(len(hashes) + 1, bool)
+                keep[wanted] = True
+                starts = np.flatnonzero(keep[found])  # -1 finds the last, which is never wanted
+                if not len(starts):
+                    continue
+                at = found[starts]
+                new = np.append(True, at[1:] != at[:-1])
+                first, at = starts[new], at[new]
+                last = np.append(starts[np.flatnonzero(new)[1:] - 1], starts[-1])
+                owner = np.searchsorted(begins, at, "right") - 1
+                runs = words._runs(hashes, gram)
+                twins = [words._runs(h, least) for h in (hashes, words.mix(hashes + np.uint64(1)))] if is_hot.any() else []
+                for common in (False, True):
+                    mine = np.flatnonzero(is_hot[at] == common)
+                    if not len(mine):
+                        continue
+                    f, l, p, o = first[mine], last[mine], at[mine], owner[mine]
+                    facts = [batch.column(k).take(pa.array(o + row)) for k in (0, 3, 4)]
+                    lists = [_ranges(x, f, l - f + 1) for x in twins] if common else [_ranges(hashes, p - 1, p - f, -1), _ranges(hashes, p, l + least - p)]
+                    columns = [*facts, pa.array((f - begins[o]).astype(np.int32)), pa.array(runs[p].view(np.int64)), pa.array(np.full(len(mine), common)), *lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["mark", "lo", "hi", "start", "key", "hot", "left", "right"])
+
+    return run
+
+
+def _matrix(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows, filled up with 0, and their lengths."""
+    off, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    size = np.diff(off)
+    out = np.zeros((len(size), max(1, size.max(initial=0))), np.int64)
+    inside = np.arange(out.shape[1])[None, :] < size[:, None]
+    out[inside] = flat[off[0] : off[-1]]
+    return out, size
+
+
+def repeated(table: pa.Table, least: int) -> pa.RecordBatch:
+    """Runs of windows that two texts have: (mark, first, last, lo, hi), of suffixes (mark, lo, hi, start, key, left, right) sorted by key and right."""
+    table = table.combine_chunks()
+    get = lambda c: table.column(c).chunk(0)
+    mark, start, key = (get(c).to_numpy() for c in ("mark", "start", "key"))
+    ids = [get(c).fill_null(x).to_numpy() for c, x in (("lo", np.iinfo(np.int64).max), ("hi", np.iinfo(np.int64).min))]
+    (left, before), (right, after) = _matrix(get("left")), _matrix(get("right"))
+    m = len(mark)
+    same = (right[1:] == right[:-1]) & (np.arange(right.shape[1])[None, :] < np.minimum(after[1:], after[:-1])[:, None])
+    prefix = np.append(0, np.where(key[1:] == key[:-1], np.logical_and.accumulate(same, axis=1).sum(1), 0))  # of neighbours
+    windows = before + after - least + 1
+    twice = np.zeros((m, windows.max() + 1), bool)
+    bounds = [np.zeros(twice.shape, np.int64) for _ in ids]
+    alike = np.cumsum(np.append(0, key[1:] != key[:-1]))  # those that agree in i words to the left
+    live = np.arange(m)
+    for i in range(before.max() + 1):
+        if i:
+            live = live[before[live] >= i]
+            word = left[live, i - 1]
+            order = np.lexsort((word, alike[live]))
+            a, w = alike[live][order], word[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]))[: len(order)]
+            live = live[order]
+            alike[live] = np.cumsum(new)
+            some = ~(new & np.append(new[1:], True)[: len(order)])
+            live = live[some]  # who has no like has no window in common from here on
+        here = live[i >= before[live] - windows[live] + 1]
+        if not len(here):
+            if not len(live):
+                break
+            continue
+        to_right = np.cumsum(prefix < least - i)
+        code = alike[here] * (m + 1) + to_right[here]
+        order = np.argsort(code, kind="stable")
+        here, code = here[order], code[order]
+        begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        size = np.diff(np.append(begin, len(code)))
+        two = np.repeat(np.minimum.reduceat(mark[here], begin) != np.maximum.reduceat(mark[here], begin), size)
+        at = before[here] - i
+        twice[here[two], at[two]] = True
+        for held, x, least_or_most in zip(bounds, ids, (np.minimum, np.maximum), strict=True):
+            held[here[two], at[two]] = np.repeat(least_or_most.reduceat(x[here], begin), size)[two]
+    edge = np.zeros((m, 1), bool)
+    row, begin = np.nonzero(twice & ~np.hstack([edge, twice[:, :-1]]))
+    _, end = np.nonzero(twice & ~np.hstack([twice[:, 1:], edge]))
+    lo, hi = (x[row, begin] for x in bounds)
+    none = lo > hi  # no text of these has an id
+    columns = [pa.array(mark[row]), pa.array((start[row] + begin).astype(np.int32)), pa.array((start[row] + end).astype(np.int32)), pa.array(lo, mask=none), pa.array(hi, mask=none)]
+    return pa.RecordBatch.from_arrays(columns, ["mark", "first", "last", "lo", "hi"])
+
+
+def _compared(least: int, chunk: int):
+    """``repeated`` of a task's sorted suffixes, as many at a time as ``chunk`` and a run hold."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n < chunk:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last run may go on
+            if cut:
+                yield repeated(table.slice(0, cut), least)
+            held, n = table.slice(cut).to_batches(), len(key) - cut
+        if n:
+            yield repeated(pa.Table.from_batches(held), least)
 
     return run
 
@@ -123,26 +234,36 @@ def passages(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int
     texts = holders.groupBy("mark").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("n_words").alias("n_words"))
     texts = scratch.keep(texts, "texts")
     suffixes = kept.where(F.size("keys") > 0).dropDuplicates(["mark"]).select("mark", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("mark", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
-    shared = suffixes.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("key")
-    wanted = suffixes.join(shared, "key").groupBy("mark").agg(F.collect_list("place").alias("places"))
+    shared = suffixes.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    shared = scratch.keep(shared.select("key", (F.col("n") > GROUP).alias("hot")), "shared")
+    wanted = suffixes.join(scratch.small(shared, "shared"), "key").groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("place", "hot"))).alias("places"))
     wanted = wanted.join(texts.select("mark", F.col("least").alias("lo"), F.col("most").alias("hi")), "mark").select(F.col("mark").alias("m"), "lo", "hi", "places")
     wanted = scratch.keep(wanted, "wanted")
     again = docs.join(scratch.small(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("lo")) & (F.xxhash64("text") == F.col("m"))).select(F.col("m").alias("mark"), "text", "places", "lo", "hi")
-    windows = scratch.keep(again.mapInArrow(_extended(least, gram), "mark long, start int, window long, lo long, hi long"), "windows")
-    both = windows.groupBy("window").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("a <> b").select("window", "lo", "hi")
-    met = scratch.keep(windows.select("mark", "start", "window").join(both, "window").select("mark", "start", "lo", "hi").distinct(), "met")
+    found = again.mapInArrow(_contexts(least, gram), "mark long, lo long, hi long, start int, key long, hot boolean, left array<long>, right array<long>")
+    found = scratch.keep(found, "contexts")
+    ordered = found.where("not hot").drop("hot").repartitionByRange("key").sortWithinPartitions("key", "right")
+    runs = ordered.mapInArrow(_compared(least, CHUNK), "mark long, first int, last int, lo long, hi long")
+
+    windows = found.where("hot").select("mark", "lo", "hi", "start", F.posexplode(F.arrays_zip("left", "right")).alias("at", "w"))
+    windows = windows.select("mark", "lo", "hi", (F.col("start") + F.col("at")).alias("start"), F.col("w.left").alias("w1"), F.col("w.right").alias("w2"))
+    both = windows.groupBy("w1", "w2").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("a <> b").select("w1", "w2", "lo", "hi")
+    both = scratch.small(scratch.keep(both, "both"), "both")
+    common = windows.drop("lo", "hi").join(both, ["w1", "w2"]).select("mark", F.col("start").alias("first"), F.col("start").alias("last"), "lo", "hi")
+    # a text whose document has repeated rows was read as often
+    met = scratch.keep(runs.union(common).repartition("mark").distinct(), "met")
 
     copied = texts.where("docs > 1")
     # windows that overlap or touch make one stretch
-    own = Window.partitionBy("mark").orderBy("start")
-    fresh = (F.col("start") > F.lag("start", 1, -least - 1).over(own) + least).cast("int")
+    own = Window.partitionBy("mark").orderBy("first")
+    fresh = (F.col("first") > F.lag("last", 1, -least - 1).over(own) + least).cast("int")
     spans = met.join(copied.select("mark"), "mark", "left_anti").withColumn("at", F.sum(fresh).over(own))
-    spans = spans.groupBy("mark", "at").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.min(F.struct("start", "lo", "hi")).alias("f"))
+    spans = spans.groupBy("mark", "at").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min(F.struct("first", "lo", "hi")).alias("f"))
     spans = spans.select("mark", "first", (F.col("last") + least - F.col("first")).alias("n"), "f.lo", "f.hi")
-    begin = met.where("start = 0").select("mark", F.col("lo").alias("l"), F.col("hi").alias("h"))
+    begin = met.where("first = 0").select("mark", F.col("lo").alias("l"), F.col("hi").alias("h"))
     whole = copied.join(begin, "mark", "left").select("mark", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("n"), F.coalesce("l", "least").alias("lo"), F.coalesce("h", "most").alias("hi"))
     found = scratch.keep(spans.union(whole), "found")
-    scratch.drop("windows", "wanted", "met", "texts")
+    scratch.drop("shared", "wanted", "contexts", "both", "met", "texts")
     rows = kept.where(F.col("n_words") >= least).select("mark", "doc_id").distinct().join(found, "mark")
     other = F.when(F.col("doc_id").eqNullSafe(F.col("lo")), F.col("hi")).otherwise(F.col("lo"))
     return rows.select("doc_id", F.col("first").cast("long").alias("first_word"), F.col("n").cast("long").alias("n_words"), other.alias("other_doc_id"))

@@ -401,6 +401,30 @@ def test_passages(spark):
     assert {(r.doc_id, r.n_words) for r in nulls} == {(None, 60), (1, 60)}
 
 
+@pytest.mark.parametrize(("group", "chunk"), [(4096, 1 << 15), (0, 1), (3, 7)])
+def test_passages_among_few_words(spark, monkeypatch, group, chunk):
+    """Few words, so that runs have many likes that agree to the left or to the right only; hot runs and cut chunks."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rng = random.Random(11)
+    stock = [[f"v{rng.randrange(6)}" for _ in range(40)] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            a = rng.randrange(30)
+            w += rng.choice(stock)[a : a + rng.randrange(3, 25)] + [f"v{rng.randrange(9)}" for _ in range(rng.randrange(3))]
+        rows.append((i, " ".join(w), "s"))
+    for least, gram in ((12, 4), (9, 3), (7, 7)):
+        got = suffix_dedup.passages(spark, documents(spark, rows), least, gram).collect()
+        want = brute_passages(rows, least)
+        assert {(r.doc_id, r.first_word, r.n_words) for r in got} == want and len(got) == len(want) > 100
+        texts = {i: split(t) for i, t, _ in rows}
+        for r in got:
+            first = texts[r.doc_id][r.first_word : r.first_word + least]
+            assert r.other_doc_id != r.doc_id and any(texts[r.other_doc_id][k : k + least] == first for k in range(len(texts[r.other_doc_id])))
+
+
 # 9
 
 PAGES = [
