@@ -26,6 +26,8 @@ RATIO = 0.1
 #: A line must be on so many pages; small sites have no other evidence.
 MIN_PAGES = 5
 _BAD, _SITE = "__tallystone_bad", "__tallystone_site"
+#: Names of the counts, which no column of the pages has.
+LINES, DROPPED = "__tallystone_n_lines", "__tallystone_n_dropped"
 
 
 def _key(line: Column) -> Column:
@@ -48,7 +50,7 @@ def boilerplate(pages: DataFrame, site: str = "source", ratio: float = RATIO, mi
 
 
 def drop_boilerplate(spark: SparkSession, pages: DataFrame, site: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
-    """The pages, all columns, with boilerplate lines gone from ``text``; ``counts`` adds n_lines and n_dropped."""
+    """The pages, all columns, with boilerplate lines gone from ``text``; ``counts`` adds the columns ``LINES`` and ``DROPPED``."""
     scratch = Scratch(spark, "line-dedup")
     found = scratch.keep(boilerplate(pages, site, ratio, min_pages).select(F.col("site").alias(_SITE), F.col("lines").alias(_BAD)), "boilerplate")
     out = pages.join(scratch.small(found, "boilerplate"), pages[site] == found[_SITE], "left")
@@ -57,5 +59,5 @@ def drop_boilerplate(spark: SparkSession, pages: DataFrame, site: str = "source"
     kept = F.when(F.col(_BAD).isNull(), lines).otherwise(kept)
     columns = [F.array_join(kept, "\n").alias(c) if c == "text" else F.col(c) for c in pages.columns]
     if counts:
-        columns += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), (F.coalesce(F.size(lines), F.lit(0)) - F.coalesce(F.size(kept), F.lit(0))).cast("long").alias("n_dropped")]
+        columns += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(LINES), (F.coalesce(F.size(lines), F.lit(0)) - F.coalesce(F.size(kept), F.lit(0))).cast("long").alias(DROPPED)]
     return out.select(columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallystone.llm import decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, oracle, quality, suffix_dedup, token_counts, warc
 from tallystone.llm._shared import Scratch, source
@@ -12,7 +13,7 @@ from tallystone.llm._shared import Scratch, source
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that more than a tenth of their source's documents share."""
     found = line_dedup.drop_boilerplate(spark, source(spark, sf_dir, "documents"), counts=True)
-    return found.select("doc_id", "text", "n_lines", "n_dropped")
+    return found.select("doc_id", "text", F.col(line_dedup.LINES).alias("n_lines"), F.col(line_dedup.DROPPED).alias("n_dropped"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

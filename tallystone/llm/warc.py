@@ -5,11 +5,13 @@ SHA-256. ``records(page_id, address, warc_header, http_header)`` has a row for e
 header blocks. Of records with equal payloads of ``least_bytes`` or more, that with the greatest page_id is the
 response and the others are revisits of it; records with smaller payloads are responses all.
 
-The digest is verified: writing fails if one address has payloads of two lengths or SHA-1s, reading fails if stored
-bytes don't have their address or a record's own digest. Payload bytes are shuffled once, after equal ones of a task
-have been reduced to one, so neither a hot payload nor its copies meet in a task. All else is narrow.
+The digest is verified: writing fails if one address has payloads of two lengths or SHA-1s; reading rebuilds the records and fails
+if stored bytes don't have their address, or a record's bytes not its own length and digest. Payload bytes are shuffled
+once to be written, after equal ones of a task have been reduced to one, and once to meet the headers of their
+responses; revisits meet figures only. So neither a hot payload nor its copies meet in a task.
 
-Null html is an empty payload. A null page_id is less than all others and yields no page field; a null url no target.
+Null html is an empty payload. A null page_id is less than all others and yields no page field; a null url no target. A url is
+kept exactly: a header can't hold line ends, so one that has some stands in ``X-Target-URI-Base64`` as well.
 Of equal (page_id, url, payload) rows one is the response and the others revisit it. Extra columns are ignored. An
 empty table gives an archive without records.
 """
@@ -43,6 +45,11 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(text, r"[\r\n]+", " ")
 
 
+def _exact(text: Column) -> Column:
+    """What ``_clean`` would alter, in base64."""
+    return F.when(_clean(text) != text, F.base64(F.encode(text, "UTF-8")))
+
+
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE) -> None:
     """Writes one record for each row of ``pages(page_id, url, html)`` to the archive in ``folder``."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -72,6 +79,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = DATE)
         _field("WARC-Type", F.col("kind")),
         _field("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("copy"))),
         _field("WARC-Target-URI", _clean(F.col("url"))),
+        _field("X-Target-URI-Base64", _exact(F.col("url"))),
         _field("WARC-Date", F.lit(date)),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         _field("WARC-Refers-To", F.when(revisit, record_id(F.col("top.page_id"), F.col("top.url"), F.lit(1)))),
@@ -93,33 +101,53 @@ def _payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _value(name: str) -> Column:
-    found = F.regexp_extract(F.decode("warc_header", "UTF-8"), rf"\r\n{name}: ([^\r\n]*)", 1)
-    return F.when(found != "", found)
+    """A header's field, null if it isn't there."""
+    head = F.decode("warc_header", "UTF-8")
+    return F.when(F.contains(head, F.lit(f"{_END}{name}: ")), F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)", 1))
+
+
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, address, warc_header, record): the exact bytes of each record as it stands in a WARC file, put together again.
+
+    A revisit has no payload, so it needs no join; responses meet theirs by address.
+    """
+    found = spark.read.parquet(f"{folder}/records")
+    parts = [F.col("warc_header"), F.col("http_header"), F.col("payload"), F.lit(b"\r\n\r\n")]
+    kind = _value("WARC-Type")
+    responses = found.where(kind == "response").join(_payloads(spark, folder), "address", "left")
+    responses = responses.withColumn("payload", F.coalesce("payload", F.raise_error(F.concat(F.lit("no payload "), "address")).cast("binary")))
+    revisits = found.where(kind == "revisit").withColumn("payload", F.lit(b""))
+    return responses.select("page_id", "address", "warc_header", F.concat(*parts).alias("record")).union(revisits.select("page_id", "address", "warc_header", F.concat(*parts).alias("record")))
+
+
+def payload_of(record: Column) -> Column:
+    """The payload of a response record's bytes: what follows its two header blocks, without the record's end."""
+    block = F.substring_index(F.decode(record, "ISO-8859-1"), _END * 2, 2)
+    first = F.length(block) + 5  # one byte is one character there
+    return F.substring(record, first, F.octet_length(record) - first - 3)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """What the archive says of each record, held against its payload's bytes.
+    """What the archive's rebuilt records say, held against their bytes.
 
-    (page_id, url, record_id, record_type, refers_to, payload_bytes, payload_digest); the payload's figures are of the
-    full payload, for revisits too. Digests are taken of each payload once, before the join, which moves no bytes; a
-    record's Content-Length is held against its HTTP header and payload. ``records`` puts the bytes together.
+    (page_id, url, record_id, record_type, refers_to, payload_bytes, payload_digest). Of each record Content-Length is
+    held against its bytes; of responses digest and length are taken of the payload cut out of the record. The figures of a
+    revisit are those of its response; they join by address, narrow.
     """
-    facts = _payloads(spark, folder).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    records = spark.read.parquet(f"{folder}/records").select(
-        "address", _value("X-Page-ID").cast("long").alias("page_id"), _value("WARC-Target-URI").alias("url"), _value("WARC-Record-ID").alias("record_id"), _value("WARC-Type").alias("record_type"),
-        _value("X-Refers-To-Page-ID").cast("long").alias("refers_to"), F.substring_index(_value("WARC-Payload-Digest"), ":", -1).alias("own"),
-        _value("Content-Length").cast("long").alias("length"), F.octet_length("http_header").cast("long").alias("http_bytes"),
+    rebuilt = records(spark, folder).select(
+        "address", _value("X-Page-ID").cast("long").alias("page_id"), F.coalesce(F.decode(F.unbase64(_value("X-Target-URI-Base64")), "UTF-8"), _value("WARC-Target-URI")).alias("url"),
+        _value("WARC-Record-ID").alias("record_id"), _value("WARC-Type").alias("record_type"), _value("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
+        F.substring_index(_value("WARC-Payload-Digest"), ":", -1).alias("own"), _value("Content-Length").cast("long").alias("length"),
+        (F.octet_length("record") - F.octet_length("warc_header") - 4).cast("long").alias("bytes"),
+        F.when(_value("WARC-Type") == "response", payload_of(F.col("record"))).alias("payload"),
     )
-    found = records.join(facts, "address", "left")
-    block = F.col("http_bytes") + F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
+    rebuilt = rebuilt.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))}).drop("payload")
+    scratch = Scratch(spark, "warc-read")
+    rebuilt = scratch.keep(rebuilt, "rebuilt")
+    facts = rebuilt.where("record_type = 'response'").groupBy("address").agg(F.first("payload_bytes").alias("b"), F.first("payload_digest").alias("d"))
+    found = rebuilt.join(facts, "address", "left")
     which = F.coalesce("record_id", F.lit("?"))
-    digest = F.when(F.col("own") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("record without its payload: "), which)))
-    digest = F.when(F.col("length") == block, digest).otherwise(F.raise_error(F.concat(F.lit("record of another length: "), which)))
-    return found.select("page_id", "url", "record_id", "record_type", "refers_to", "payload_bytes", digest.alias("payload_digest"))
-
-
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, record, payload): the exact bytes of each record as it stands in a WARC file, and its full payload."""
-    found = spark.read.parquet(f"{folder}/records").join(_payloads(spark, folder), "address")
-    block = F.when(_value("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return found.select("page_id", F.concat("warc_header", "http_header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    digest = F.coalesce("payload_digest", "d")
+    digest = F.when(F.col("own") == digest, digest).otherwise(F.raise_error(F.concat(F.lit("record without its payload: "), which)))
+    digest = F.when(F.col("length") == F.col("bytes"), digest).otherwise(F.raise_error(F.concat(F.lit("record of another length: "), which)))
+    return found.select("page_id", "url", "record_id", "record_type", "refers_to", F.coalesce("payload_bytes", "b").alias("payload_bytes"), digest.alias("payload_digest"))

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from tallystone.llm import _words, decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, quality, suffix_dedup, token_counts, warc
 from tallystone.llm._shared import Scratch, components
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, node string, mark string, id string, a string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, node string, mark string, id string, a string, n_lines string, n_dropped string"
 
 
 def documents(spark, rows):
     """Rows (doc_id, text, source); further columns have the names that operators use within."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", "y", "z", "w") for i, t, s in rows], DOC)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", "y", "z", "w", "l", "d") for i, t, s in rows], DOC)
 
 
 def split(text):
@@ -84,9 +84,11 @@ def test_components(spark):
 def test_line_dedup(spark):
     rows = [(i, f"menu\n own {i}\n\nmenu \r", "s") for i in range(6)] + [(6, "own", "s"), (7, None, "s"), (8, "", "s"), (9, "menu\nx", None), (10, "menu\nrare", "t"), (10, "menu\nrare", "t")]
     got = line_dedup.drop_boilerplate(spark, documents(spark, rows), counts=True)
-    assert got.columns[:9] == documents(spark, []).columns
+    assert got.columns[:-2] == documents(spark, []).columns and {r.n_lines for r in got.collect()} == {"l"}
+    long = line_dedup.drop_boilerplate(spark, documents(spark, [(i, f"menu\n{i} " + "word " * 200_000 + "\nx" * 50_000, "s") for i in range(5)]), counts=True).collect()
+    assert all(r.text == f"{r.doc_id} " + "word " * 200_000 and r[line_dedup.DROPPED] == 50_001 for r in long)
     want = [(i, f" own {i}\n", 4, 2) for i in range(6)] + [(6, "own", 1, 0), (7, None, 0, 0), (8, "", 1, 0), (9, "menu\nx", 2, 0), (10, "menu\nrare", 2, 0), (10, "menu\nrare", 2, 0)]
-    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == sorted(want, key=lambda x: x[0])
+    assert sorted((r.doc_id, r.text, r[line_dedup.LINES], r[line_dedup.DROPPED]) for r in got.collect()) == sorted(want, key=lambda x: x[0])
     assert line_dedup.drop_boilerplate(spark, documents(spark, [])).count() == 0
 
 
@@ -103,18 +105,28 @@ def test_warc(spark, tmp_path):
     want = [(0, "revisit", 2, 4, sha("<p>x")), (1, "revisit", 2, 4, sha("<p>x")), (2, "response", None, 4, sha("<p>x")), (3, "revisit", 4, 0, sha("")), (4, "response", None, 0, sha("")), (5, "response", None, 100_000, sha("é" * 50_000)), (5, "revisit", 5, 100_000, sha("é" * 50_000)), (6, "response", None, 5, sha("other"))]
     assert got == sorted(want, key=str)
     assert spark.read.parquet(f"{folder}/payloads").count() == 4
+    texts = {(i or 0, u): (h or "").encode() for i, u, h in rows}
     for r in warc.records(spark, folder).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
         assert head.startswith(b"WARC/1.1\r\n") and len(rest) == int(fields[b"Content-Length"]) + 4
         if fields[b"WARC-Type"] == b"response":
-            assert rest.partition(b"\r\n\r\n")[2][:-4] == bytes(r.payload)
+            assert rest.partition(b"\r\n\r\n")[2][:-4] == next(h for (i, _), h in texts.items() if i == (r.page_id or 0))
     warc.write(pages, folder, least_bytes=5)
     assert {r.record_type for r in warc.read(spark, folder).where("payload_bytes < 5").collect()} == {"response"}
     warc.write(pages.limit(0), folder)
     assert warc.read(spark, folder).count() == 0
 
 
+def test_warc_keeps_urls(spark, tmp_path):
+    rows = [(1, "http://a/\nb", "x"), (2, "", "y"), (3, None, "z\r\n\r\nz\r\n"), (4, "http://é/?a=%20 b ", "\r\n\r\n"), (5, "\r\n", "w")]
+    folder = f"file://{tmp_path}/a"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = warc.read(spark, folder)
+    assert sorted((r.page_id, r.url, r.payload_bytes) for r in got.collect()) == [(i, u, len(h)) for i, u, h in rows]
+    assert sorted((r.page_id, bytes(r.p).decode()) for r in warc.records(spark, folder).select("page_id", warc.payload_of(F.col("record")).alias("p")).collect()) == [(i, h) for i, _, h in rows]
+
+
 def test_warc_length(spark, tmp_path):
     folder = f"file://{tmp_path}/a"
     warc.write(spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string"), folder)
@@ -262,6 +274,25 @@ def test_embedding_blocks(spark, monkeypatch):
     assert all(got[i].n_links == 299 and got[i].component_id == 0 for i in range(300)) and all(got[i].n_links == 0 for i in range(300, 350))
 
 
+def test_embedding_magnitudes(spark):
+    rows = [(1, [1e-200, 0.0], 0), (2, [1.0, 10.0], 0), (3, [1e200, 2e200], 1), (4, [2e200, 4e200], 1), (5, [1e-310, 2e-310], 1), (6, [1.7e308, 1.7e308], 2), (7, [1.7e308, -1.7e308], 2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), 7: (0, 7)}
+
+
+def test_embedding_split_lists(spark, monkeypatch):
+    """Lists of two and three pivots give what whole lists give."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 12))
+    rows = [(i, (base[i % 12] + rng.normal(size=12) * 0.15).tolist(), i % 2) for i in range(600)] + [(700 + i, [1.0 + i / 9, 1.0], 0) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = sorted(map(tuple, embedding_dedup.near_duplicates(spark, df).collect()))
+    assert sum(r[1] for r in want) > 1000
+    for split in (20, 1):
+        monkeypatch.setattr(embedding_dedup, "SPLIT", split)
+        assert sorted(map(tuple, embedding_dedup.near_duplicates(spark, df).collect())) == want
+
+
 # 6
 
 
@@ -301,6 +332,13 @@ def test_contamination(spark, items):
     assert decontamination.contamination(spark, documents(spark, []), bench).count() == 0
 
 
+def test_item_ids_with_commas(spark):
+    items = [("a,b", "one two"), ("a", "three four"), ("b", "three four"), ("", "five six"), (None, "seven eight"), ("c", "alpha")]
+    rows = [(1, "one two three four", "s"), (2, "three four", "s"), (3, "five six", "s"), (4, "seven eight", "s"), (5, "five six alpha seven eight", "s")]
+    got = decontamination.contamination(spark, documents(spark, rows), spark.createDataFrame(items, "item_id string, text string")).drop("mark").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_contamination(rows, items)
+
+
 # 7
 
 
