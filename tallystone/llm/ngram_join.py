@@ -8,8 +8,9 @@ A partner of a set of n shingles shares at least T = ceil(percent * n / 100) of
 list. As in DivideSkip, a set's lists fall into short ones, which are merged, and L long ones, which are only
 probed by binary search: a partner must occur in at least T - L of the short lists. This is done twice.
 
-Between groups, over all data: one fixed order of all shingles puts those without frequent words first, then goes by
-the sum of their frequent words' weights, then by hash. The first n - T + c lists in that order are merged, the rest
+Between groups, over all data: one fixed order of all shingles puts those with long lists last, then goes by the sum of their
+frequent words' weights, then by hash. Which lists are long is counted over all documents, for the first 2 (n - T + c)
+shingles of each in the order that frequent words give. The first n - T + c lists in that order are merged, the rest
 are long (c is MERGED, MERGED_PERCENT of n if that is more, and at most T). Spark's external sort merges, spilling where
 a heap would fill memory. The order affects the cost only; with any order every pair that links shares c merged lists.
 
@@ -22,7 +23,9 @@ a quarter are lists where the other's is; or else at least half are lists where
 by itself.
 
 Nothing is sampled or capped. Frequent words are those of at least ``FREQUENT`` of all documents; there are at most
-(mean distinct words of a document) / FREQUENT of them, which bounds the table that is sent to the executors.
+(mean distinct words of a document) / FREQUENT of them. Long lists are those of more than ``LONG`` documents, or of so many more
+that there are ``LONG_LISTS`` of them at most. This bounds the tables that are sent to the executors; a long list beyond
+that bound is merged like a short one, so it costs time, not links.
 
 Null or empty texts have no shingles and a component of their own. Rows with equal doc_id but different texts are
 different documents. A component's id is its least doc_id; null ids are passed over and the id is null only if a
@@ -49,8 +52,12 @@ MERGED, MERGED_PERCENT = 5, 3
 BLOCK = 256
 #: A group with so many classes in a list is met there as a whole.
 CROWD = 16
+#: Documents of a list beyond which it is long, and long lists that are known as such.
+LONG, LONG_LISTS = 16, 1 << 20
 #: DivideSkip's weight of a probe against a step of the merge.
 PROBE = 0.0085
+#: Weight of a long list, beyond any sum of frequent words' weights.
+_LAST = np.int32(1 << 20)
 
 
 def overlap(n, percent: int):
@@ -127,10 +134,14 @@ def _node(shingles: np.ndarray) -> int:
     return int(words.mix(np.bitwise_xor.reduce(words.mix(shingles + np.uint64(len(shingles))), keepdims=True) + np.add.reduce(shingles * words._ODD[0])).view(np.int64)[0])
 
 
-def described(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """(doc_id, mark, n_shingles, node, prefix): a hash of the text, the set's size, its class, and the shingles whose lists are merged."""
+def described(docs: DataFrame, n: int, percent: int, known, times: int = 1) -> DataFrame:
+    """(doc_id, mark, n_shingles, node, prefix): a hash of the text, the set's size, its class, and the shingles whose lists are merged.
+
+    ``known``: broadcast frequent words with their weights, and shingles with long lists. The prefix is ``times`` as long as it must be.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, long = known.value
         for batch in rows:
             sizes, nodes, prefixes = [], [], []
             for _, hashes, begins in _batches(batch.column(2)):
@@ -146,10 +157,13 @@ def described(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                     size = len(found)
                     sizes.append(size)
                     nodes.append(_node(found))
-                    reach = size - overlap(size, percent) + merged(size, percent)
+                    reach = times * (size - overlap(size, percent) + merged(size, percent))
                     # a set that can have no partner but its equals needs no lists
                     if size and overlap(size + 1, percent) <= size:
-                        rank = np.argsort(per_word[a + order], kind="stable")
+                        weight_of = per_word[a + order]
+                        if len(long):
+                            weight_of = weight_of + _LAST * (long[np.minimum(np.searchsorted(long, found), len(long) - 1)] == found)
+                        rank = np.argsort(weight_of, kind="stable")
                         prefixes.append(found[rank[:reach]])
                     else:
                         prefixes.append(found[:0])
@@ -158,6 +172,24 @@ def described(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, prefix array<long>")
 
 
+def long_lists(scratch: Scratch, docs: DataFrame, n: int, percent: int, frequent) -> np.ndarray:
+    """Sorted shingles with long lists, the longest ``LONG_LISTS`` or fewer."""
+    none = np.zeros(0, np.uint64)
+    found = described(docs, n, percent, scratch.spark.sparkContext.broadcast((frequent, none)), times=2)
+    held = found.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > LONG)
+    held = scratch.keep(held, "long")
+    steps = held.groupBy(F.floor(F.log2("held")).alias("power")).agg(F.count("*").alias("lists"), F.min("held").alias("least")).orderBy(F.desc("power")).collect()
+    least, lists = None, 0
+    for r in steps:  # 64 rows at most
+        lists += r.lists
+        if lists > LONG_LISTS:
+            break
+        least = r.least
+    tokens = none if least is None else np.sort(held.where(F.col("held") >= least).select("token").toArrow().column("token").to_numpy().view(np.uint64))
+    scratch.drop("long")
+    return tokens
+
+
 def _probe(percent: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -287,7 +319,8 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_words(docs)
-    rows = scratch.keep(described(docs, shingle, percent, frequent), "rows")
+    known = spark.sparkContext.broadcast((frequent, long_lists(scratch, docs, shingle, percent, frequent)))
+    rows = scratch.keep(described(docs, shingle, percent, known), "rows")
     nodes = rows.where("n_shingles > 0").select("doc_id", "node")
     postings = rows.where("size(prefix) > 0").dropDuplicates(["node"]).select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
     heads = postings.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
