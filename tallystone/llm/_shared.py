@@ -7,14 +7,16 @@ they cut the lineage, and a lost executor costs a re-read, not a recomputation o
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-#: A side is broadcast only if its files, as measured, are no larger than this; else Spark shuffles both sides.
-BROADCAST_BYTES = 16 << 20
+#: A side is broadcast only if its rows, as measured when they were written, take no more than this in memory.
+BROADCAST_BYTES = 96 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -41,29 +43,45 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _bytes(field: StructField) -> Column:
+    """What a column takes in a row of Spark's memory format, about."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return 16 + F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (StringType, BinaryType)):
+            return 24 + F.coalesce(F.aggregate(column, F.lit(0), lambda acc, x: acc + 16 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+        return 24 + F.coalesce(F.size(column), F.lit(0)) * (8 + 16 * len(inner) if isinstance(inner, StructType) else 8)
+    return F.lit(8 + 8 * len(kind) if isinstance(kind, StructType) else 8)
+
+
 class Scratch:
-    """Intermediate tables of one call, each under its own name in the shared folder."""
+    """Intermediate tables of one call, each under its own name in the shared folder, with figures measured as they are written."""
 
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tallystone/{operator}-{uuid.uuid4().hex}"
+        self.figures: dict[str, dict] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes the rows once and reads them back; what follows no longer depends on how they were made."""
-        path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def keep(self, df: DataFrame, name: str, *figures: Column) -> DataFrame:
+        """Writes the rows once and reads them back; what follows no longer depends on how they were made.
 
-    def size(self, name: str) -> int:
-        p, fs = _path(self.spark, self.path(name))
-        return fs.getContentSummary(p).getLength()
+        ``figures``: further aggregates over the rows to take on the way, by their names, to ``self.figures[name]``.
+        """
+        path, seen = self.path(name), Observation()
+        width = functools.reduce(Column.__add__, (_bytes(f) for f in df.schema), F.lit(16))
+        measured = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(width.cast("long")).alias("bytes"), *figures)
+        measured.write.mode("overwrite").parquet(path)
+        self.figures[name] = seen.get
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def small(self, df: DataFrame, name: str) -> DataFrame:
         """``df``, which ``keep`` gave for ``name``, with a broadcast hint if its measured size allows it."""
-        return F.broadcast(df) if self.size(name) <= BROADCAST_BYTES else df
+        return F.broadcast(df) if (self.figures[name]["bytes"] or 0) <= BROADCAST_BYTES else df
 
     def drop(self, *names: str) -> None:
         for name in names:
@@ -93,23 +111,30 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def digest(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    # links and their hashes, taken as they are written
+    marks = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("marks")
+
+    def digest(name: str) -> tuple:
+        found = scratch.figures[name]
+        return found["rows"], found["marks"]
 
-    current = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    before, step = digest(current), 0
+    current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    current, step = scratch.keep(current, f"{name}-0", marks), 0
+    before = digest(f"{name}-0")
     while before[0]:
-        out = both(current)
-        least = out.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = out.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both(current).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both(current).join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.greatest("b", "m").alias("x"), F.least("b", "m").alias("y")).where("x <> y")
         small = small.select(F.col("x").alias("a"), F.col("y").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         step += 1
-        current = scratch.keep(small, f"{name}-{step}")
+        current = scratch.keep(small, f"{name}-{step}", marks)
         scratch.drop(f"{name}-{step - 1}")
-        after = digest(current)
+        after = digest(f"{name}-{step}")
         if after == before:
             break
         before = after
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()) if before[0] else spark.createDataFrame([], current.schema).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if not before[0]:
+        return spark.createDataFrame([], current.schema).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -295,7 +295,7 @@ def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFr
     """``wanted``, distinct by its column node, with each class's set, made again from one of its documents."""
     ids = nodes.join(wanted.select("node"), "node", "left_semi").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
     one = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rows")).alias("m"))
-    one = scratch.keep(one.select("node", F.col("m.doc_id").alias("id"), F.col("m.rows").alias("rows")).join(wanted, "node"), name)
+    one = scratch.keep(one.select("node", F.col("m.doc_id").alias("id"), F.col("m.rows").alias("rows")).join(wanted, "node"), name, F.max("rows").alias("most"))
     text = docs.join(scratch.small(one, name), F.col("doc_id").eqNullSafe(F.col("id")))
     columns = [c for c in one.columns if c not in ("id", "rows", "node")]
 
@@ -306,8 +306,8 @@ def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFr
 
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in one.schema if f.name in columns)
     sets = text.select(F.col("node").alias("want"), "text", *columns).mapInArrow(run, f"want long, node long, set array<long>{kinds}").where("want = node").drop("want")
-    repeated = one.agg(F.max("rows")).first()[0]  # rows of equal id and set would come twice
-    return sets.dropDuplicates(["node"]) if repeated and repeated > 1 else sets
+    # rows of equal id and set would come twice
+    return sets.dropDuplicates(["node"]) if (scratch.figures[name]["most"] or 0) > 1 else sets
 
 
 def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -347,7 +347,9 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     big = crowds.where(F.col("held") >= CROWD).select("token", F.col("grp").alias("crowd"), "lo", "hi")
     drawn = named.join(big, "token").where(of_size).groupBy("node", "crowd").agg(F.count("*").alias("shared"), F.min(F.least("n", "lo")).alias("s"))
     drawn = scratch.keep(drawn.where(enough("s", "floor({c} / 4) + 1")).select(F.col("node").alias("a"), F.col("crowd").alias("b")), "drawn")
-    groups = scratch.keep(components(scratch, stars.union(drawn), "group").withColumnRenamed("root", "grp"), "groups-2")
+    groups = first
+    if scratch.figures["drawn"]["rows"]:
+        groups = scratch.keep(components(scratch, stars.union(drawn), "group").withColumnRenamed("root", "grp"), "groups-2")
 
     few = crowds.where(F.col("held") < CROWD).select("token", "grp")
     few = scratch.keep(named.join(few, ["token", "grp"]), "few")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm import decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, oracle, quality, suffix_dedup, token_counts, warc
+from tallystone.llm import pipeline as stages
 from tallystone.llm._shared import Scratch, source
 
 
@@ -68,8 +68,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages of ``corpus_pipeline`` over the documents."""
-    return corpus_pipeline.run(spark, sf_dir)
+    """All stages over the documents."""
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_source_mixing, op4_quality_classifier, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_html_extraction, op10_token_counts, pipeline)}

@@ -36,8 +36,8 @@ from tallystone.llm import _words as words
 from tallystone.llm._shared import Scratch
 
 LEAST, GRAM = 50, 8
-#: Suffixes of one run that are compared in one task, and suffixes that a task takes at a time.
-GROUP, CHUNK = 4096, 1 << 15
+#: Suffixes of one run that are compared in one task (in some seconds and 200 MB), and suffixes that a task takes at a time.
+GROUP, CHUNK = 1 << 16, 1 << 15
 _POSITION = np.uint64((1 << 24) - 1)
 
 
