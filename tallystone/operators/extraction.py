@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallystone.functions.json_text import or_default, parse
+from tallystone.functions.text import prompt_prefix
 
 # Defaults of missing keys.
 SCOPE_ITEM = {"name": "Unknown", "description": "", "scope_type": "UNCERTAIN", "evidence_text": ""}
 ACTIVITY = {"activity_name": "Unknown", "activity_status": "UNKNOWN", "evidence_text": ""}
 REQUEST = {"request_name": "Unknown", "evidence_text": ""}
+DELIVERABLE = {"name": "Unknown", "description": "", "deadline": None, "owner": None}
+STAKEHOLDER = {"name": "Unknown", "role": "", "responsibility": ""}
+# Fields of the payloads.
+SCOPE_FIELDS = {
+    "scope_items": ["name", "description", "scope_type", "source_page", "source_section", "evidence_text", "confidence"],
+    "deliverables": ["name", "description", "deadline", "owner"],
+    "stakeholders": ["name", "role", "responsibility"],
+}
+STATUS_FIELDS = {
+    "activities": ["activity_name", "description", "activity_status", "progress_percentage", "requested_by", "owner", "mentioned_deadline", "source_page", "source_section", "evidence_text", "confidence"],
+    "new_requests": ["request_name", "requested_by", "source_page", "evidence_text"],
+}
 
 
 def generate_json(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], out: str = "payload") -> DataFrame:
@@ -33,6 +46,38 @@ def generate_json(df: DataFrame, prompt: str, model: Callable[[list[str]], list[
     return df.mapInPandas(run, schema)
 
 
+def _asked(task: str, lists: dict[str, list[str]], text: Column) -> Column:
+    """A prompt: the task, the lists of objects wanted, and the text's first characters."""
+    wanted = "; ".join(f"{name}: objects with {', '.join(keys)}" for name, keys in lists.items())
+    return F.concat(F.lit(f"{task} Answer with one JSON object and nothing else. It holds {wanted}. Use null where the text says nothing.\n\nText:\n"), F.coalesce(prompt_prefix(text), F.lit("")))
+
+
+def _extracted(documents: DataFrame, task: str, lists: dict[str, list[str]], model) -> DataFrame:
+    rows = documents.withColumn("_prompt", _asked(task, lists, F.col("text")))
+    return generate_json(rows, "_prompt", model).drop("_prompt", "text")
+
+
+def extract_scope(documents: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
+    """``documents`` without ``text``, with ``payload`` and ``payload_error``: scope items, deliverables and stakeholders of a contract."""
+    return _extracted(documents, "Find what this engagement letter or approval puts in and out of scope.", SCOPE_FIELDS, model)
+
+
+def extract_status(documents: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
+    """``documents`` without ``text``, with ``payload`` and ``payload_error``: activities and new requests of a report or minutes."""
+    return _extracted(documents, "Find the activities and the new requests in this status report or these minutes.", STATUS_FIELDS, model)
+
+
+def scope_rows(extracted: DataFrame, keep: list[str]) -> dict[str, DataFrame]:
+    """The rows of each list of a scope payload, with defaults for keys that are missing."""
+    defaults = {"scope_items": SCOPE_ITEM, "deliverables": DELIVERABLE, "stakeholders": STAKEHOLDER}
+    return {name: explode_items(extracted, F.col("payload"), name, keep).select(*keep, "pos", *filled(F.col("item"), d)) for name, d in defaults.items()}
+
+
+def status_rows(extracted: DataFrame, keep: list[str]) -> dict[str, DataFrame]:
+    defaults = {"activities": ACTIVITY, "new_requests": REQUEST}
+    return {name: explode_items(extracted, F.col("payload"), name, keep).select(*keep, "pos", *filled(F.col("item"), d)) for name, d in defaults.items()}
+
+
 def explode_items(df: DataFrame, payload: Column, field: str, keep: list[str]) -> DataFrame:
     """One row for each object in an array field of a JSON payload: ``keep``, ``pos`` and the object's text, ``item``."""
     items = F.from_json(F.get_json_object(payload, f"$.{field}"), "array<string>")

@@ -43,10 +43,48 @@ def newest(df: DataFrame, by: str, n: int, *order: Column) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rn") <= n)
 
 
-def approve_latest_draft(baselines: DataFrame) -> DataFrame:
-    """Baselines after each project's latest draft has been approved."""
+def approve_latest_draft(baselines: DataFrame, actor: int | None = None, now: Column | None = None) -> DataFrame:
+    """Baselines after each project's latest draft has been approved; with an actor, who did it and when."""
     draft = baselines.where("status = 'DRAFT'").groupBy("project_id").agg(F.max("id").alias("draft_id"))
-    return baselines.join(draft, "project_id", "left").withColumn("status", F.when(F.col("id") == F.col("draft_id"), "APPROVED").otherwise(F.col("status"))).drop("draft_id")
+    out = baselines.join(draft, "project_id", "left")
+    this = F.coalesce(F.col("id") == F.col("draft_id"), F.lit(False))
+    if actor is not None:
+        for name, value in (("approved_by", F.lit(actor).cast("long")), ("approved_at", F.current_timestamp() if now is None else now)):
+            out = out.withColumn(name, F.when(this, value).otherwise(F.col(name) if name in baselines.columns else F.lit(None)))
+    return out.withColumn("status", F.when(this, "APPROVED").otherwise(F.col("status"))).drop("draft_id")
+
+
+def allowed(users: DataFrame, user_id: int, roles: list[str]) -> DataFrame:
+    """(actor): the user, if it is active and in one of the roles; else no row."""
+    active = F.coalesce(F.col("is_active"), F.lit(True)) if "is_active" in users.columns else F.lit(True)
+    return users.where((F.col("id") == user_id) & F.col("role").isin(roles) & active).select(F.col("id").alias("actor")).limit(1)
+
+
+def move(rows: DataFrame, column: str, changes: DataFrame, steps: dict[str, list[str]], actor: DataFrame | None = None) -> DataFrame:
+    """``rows(id, column, ...)`` after ``changes(id, to)``, one for each id at most, and ``moved``: whether it was made.
+
+    A change is made where ``steps`` allows it from the row's state, and, if ``actor`` is given, only if that has a row.
+    """
+    able = F.lit(False)
+    for begin, ends in steps.items():
+        able = able | ((F.col(column) == begin) & F.col("to").isin(ends))
+    out = rows.join(changes.select("id", "to"), "id", "left")
+    if actor is not None:
+        out = out.join(F.broadcast(actor.select(F.col("actor").alias("_actor"))), F.lit(True), "left")  # one row at most
+        able = able & F.col("_actor").isNotNull()
+    moved = F.coalesce(able, F.lit(False))
+    return out.select(*(F.when(moved, F.col("to")).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in rows.columns), moved.alias("moved"))
+
+
+def resolve(items: DataFrame, resolutions: DataFrame, actor: DataFrame, now: Column | None = None) -> DataFrame:
+    """Tracker items after ``resolutions(id, project_id, resolution, status)`` by an actor: who resolved what, how and when.
+
+    Resolutions of another project's items, or without an actor, change nothing.
+    """
+    by = resolutions.join(F.broadcast(actor), F.lit(True)).select("id", "project_id", F.col("resolution").alias("_how"), F.col("status").alias("_status"), F.col("actor").cast("long").alias("_by"))
+    out = items.join(by, ["id", "project_id"], "left")
+    new = {"resolution": F.col("_how"), "status": F.col("_status"), "resolved_by": F.col("_by"), "resolved_at": F.current_timestamp() if now is None else now}
+    return out.select(*(F.when(F.col("_by").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns))
 
 
 def next_version(baselines: DataFrame) -> DataFrame:

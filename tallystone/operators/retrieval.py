@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions.text import tokens
+from tallystone.schema import BASELINE_TYPES
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
@@ -29,25 +31,59 @@ def document_frequency(units: DataFrame, by: str = "source") -> DataFrame:
     return units.select(by, F.explode(F.array_distinct(tokens(F.col("text")))).alias("t")).groupBy(by, "t").agg(F.count("*").alias("df"))
 
 
-def bm25(units: DataFrame, query: str | Sequence[str], by: str = "source", unit: str = "doc_id", keep: Column | None = None) -> DataFrame:
-    """(by, unit, score > 0) by Okapi BM25 within each ``by``; repeated query terms count.
+def term_statistics(units: DataFrame, by: str = "source") -> DataFrame:
+    """(by, t, df, words): terms with their document frequency, and a row without a term for each ``by``: its units and their words.
 
-    Terms in more than half of the units get a share of the mean idf instead of a negative one. Statistics are of all units;
-    ``keep`` then limits what is scored.
+    One pass over the texts gives all that scores need; it is what an index stores.
     """
-    wanted = Counter(query.split() if isinstance(query, str) else query)
-    rows = units.select(by, unit, "text", (keep if keep is not None else F.lit(True)).alias("_keep"))
-    stats = corpus_stats(units, by)
-    raw = document_frequency(units, by).join(F.broadcast(stats), by).select(by, "t", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("i0"))
+    ts = tokens(F.col("text"))
+    rows = units.select(by, ts.alias("ts")).where(F.size("ts") > 0)
+    rows = rows.select(by, F.size("ts").alias("dl"), F.explode(F.array_append(F.array_distinct("ts"), F.lit(None).cast("string"))).alias("t"))
+    return rows.groupBy(by, "t").agg(F.count("*").alias("df"), F.sum(F.when(F.col("t").isNull(), F.col("dl"))).alias("words"))
+
+
+def _idf(statistics: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(by, n, avgdl, eps) and (by, t, i0) of stored or fresh statistics."""
+    stats = statistics.where("t is null").select(by, F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    raw = statistics.where("t is not null").join(stats, by).select(by, "t", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("i0"))
     floor = raw.groupBy(by).agg((F.lit(EPSILON) * F.avg("i0")).alias("eps"))
+    return stats.join(floor, by), raw
+
+
+def _score(found: DataFrame, stats: DataFrame, idf: DataFrame, keys: list[str], by: str, unit: str) -> DataFrame:
+    """Scores of (keys, by, unit, dl, t, tf, weight)."""
+    scored = found.join(idf, [by, "t"]).join(stats, by)
+    held = F.when(F.col("i0") < 0, F.col("eps")).otherwise(F.col("i0"))
+    part = F.col("weight") * held * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    return scored.groupBy(*keys, by, unit).agg(F.sum(part).alias("score")).where("score > 0")
+
+
+def bm25(units: DataFrame, query: str | Sequence[str], by: str = "source", unit: str = "doc_id", keep: Column | None = None, statistics: DataFrame | None = None) -> DataFrame:
+    """(by, unit, score > 0) by Okapi BM25 within each ``by``; repeated query terms count.
+
+    Terms in more than half of the units get a share of the mean idf instead of a negative one. Statistics are of all units, or
+    those that an index has stored; ``keep`` then limits what is scored. The scan keeps the query's own terms only.
+    """
+    wanted = Counter(query.lower().split() if isinstance(query, str) else query)
+    stats, idf = _idf(term_statistics(units, by) if statistics is None else statistics, by)
+    rows = units.where(keep) if keep is not None else units
     terms = sorted(wanted)
-    found = rows.where("_keep").select(by, unit, F.col("text"), tokens(F.col("text")).alias("ts")).select(by, unit, F.size("ts").alias("dl"), F.explode(F.filter("ts", lambda t: t.isin(terms))).alias("t"))
+    found = rows.select(by, unit, tokens(F.col("text")).alias("ts")).select(by, unit, F.size("ts").alias("dl"), F.explode(F.filter("ts", lambda t: t.isin(terms))).alias("t"))
     found = found.groupBy(by, unit, "dl", "t").agg(F.count("*").alias("tf"))
     weight = F.element_at(F.create_map(*(x for t in terms for x in (F.lit(t), F.lit(wanted[t])))), F.col("t"))
-    idf = raw.where(F.col("t").isin(terms)).join(F.broadcast(floor), by).select(by, "t", F.when(F.col("i0") < 0, F.col("eps")).otherwise(F.col("i0")).alias("idf"))
-    scored = found.join(F.broadcast(idf), [by, "t"]).join(F.broadcast(stats), by)
-    part = weight * F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return scored.groupBy(by, unit).agg(F.sum(part).alias("score")).where("score > 0")
+    return _score(found.withColumn("weight", weight), stats, idf.where(F.col("t").isin(terms)), [], by, unit)
+
+
+def bm25_batch(units: DataFrame, queries: DataFrame, by: str = "source", unit: str = "doc_id", statistics: DataFrame | None = None) -> DataFrame:
+    """(query_id, by, unit, score > 0) for each row of ``queries(query_id, by, text)``, within its own ``by``.
+
+    Postings meet the queries' terms by (by, t); texts are tokenised once, whatever the number of queries.
+    """
+    asked = queries.select("query_id", by, F.explode(tokens(F.col("text"))).alias("t")).groupBy("query_id", by, "t").agg(F.count("*").alias("weight"))
+    stats, idf = _idf(term_statistics(units, by) if statistics is None else statistics, by)
+    words = units.select(by, unit, tokens(F.col("text")).alias("ts")).select(by, unit, F.size("ts").alias("dl"), F.explode("ts").alias("t"))
+    found = words.join(asked.select(by, "t").distinct(), [by, "t"], "left_semi").groupBy(by, unit, "dl", "t").agg(F.count("*").alias("tf"))
+    return _score(found.join(asked, [by, "t"]), stats, idf, ["query_id"], by, unit)
 
 
 def squared_distance(vector: Column, query: Sequence[float]) -> Column:
@@ -68,6 +104,15 @@ def dense(vectors: DataFrame, query: Sequence[float], where: Column | None = Non
     return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", unit)))
 
 
+def dense_batch(vectors: DataFrame, queries: DataFrame, by: str, unit: str = "vec_id", k: int = 10) -> DataFrame:
+    """(query_id, unit, distance, rank): the k nearest of each row of ``queries(query_id, by, vector)`` among vectors of its ``by``."""
+    asked = queries.select("query_id", by, F.col("vector").alias("_q"))
+    near = vectors.select(by, unit, "embedding").join(asked, by)
+    gap = F.aggregate(F.zip_with("embedding", "_q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda x, y: x + y)
+    near = near.select("query_id", unit, gap.alias("distance"))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", unit))).where(F.col("rank") <= k)
+
+
 def top(scored: DataFrame, unit: str, k: int = 10, by: str | None = None) -> DataFrame:
     """The k best of each ``by``, or of all, ranked from 1; ties go by id."""
     if by:
@@ -101,3 +146,61 @@ def overlap_scorer(text: Column, query: str) -> Column:
     """A scorer without a model: the share of the query's words that a text has."""
     words = sorted(set(query.lower().split()))
     return F.size(F.array_intersect(tokens(text), F.array(*(F.lit(w) for w in words)))) / F.lit(float(len(words)))
+
+
+def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], out: str = "embedding") -> DataFrame:
+    """Adds vectors of a text column. ``load`` makes the encoder, once for each Python worker; an encoder maps texts to vectors."""
+    held: list = []
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if not held:
+            held.append(load())
+        for texts in batches:
+            yield pa.array(held[0](texts.fill_null("").to_pylist()), pa.list_(pa.float32()))
+
+    # the function's type hints pick the form that keeps its state from batch to batch
+    return df.withColumn(out, F.arrow_udf(run, "array<float>")(F.col(text)))
+
+
+def retrieve(units: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column], Column] | None = None, by: str = "project_id", kinds: Sequence[str] | None = None, k: int = 10, n: int = 8, statistics: DataFrame | None = None) -> DataFrame:
+    """Evidence for a batch of queries: (query_id, unit, text, score, rerank_score, rank), the n best of each query.
+
+    ``units(by, unit, kind, text, embedding)``, ``queries(query_id, by, text, vector)``. Dense and sparse hits, k of each, are
+    fused by reciprocal ranks, k of them, and reranked by ``scorer(query text, unit text)``; without a scorer, or where it gives null
+    because it failed, the fused order stays. ``kinds`` limits the units that are found, not the statistics.
+    """
+    own = units.where(F.col("kind").isin(list(kinds))) if kinds else units
+    sparse = bm25_batch(own, queries, by, "unit", term_statistics(units, by) if statistics is None else statistics)
+    # sums of shares come in any order: what agrees to nine places is a tie
+    sparse = sparse.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "unit"))).where(F.col("rank") <= k)
+    near = dense_batch(own, queries, by, "unit", k)
+    d, s = near.select("query_id", "unit", F.col("rank").alias("d_rank")), sparse.select("query_id", "unit", F.col("rank").alias("s_rank"))
+
+    def share(rank: str) -> Column:
+        return F.coalesce(F.lit(1.0) / (RRF + F.col(rank)), F.lit(0.0))
+
+    fused = d.join(s, ["query_id", "unit"], "full").withColumn("score", share("d_rank") + share("s_rank"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("d_rank"), F.asc_nulls_last("s_rank"))
+    fused = fused.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    texts = fused.join(own.select("unit", F.col("text").alias("unit_text")), "unit").join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    again = scorer(F.col("_query"), F.col("unit_text")) if scorer else F.lit(None).cast("double")
+    texts = texts.withColumn("rerank_score", again)
+    failed = F.max(F.col("rerank_score").isNull().cast("int")).over(Window.partitionBy("query_id"))
+    texts = texts.withColumn("rerank_score", F.when(failed == 0, F.col("rerank_score")))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "place"))
+    return texts.withColumn("rank", best).where(F.col("rank") <= n).select("query_id", "unit", F.col("unit_text").alias("text"), "score", "rerank_score", "rank")
+
+
+def search_baseline(units: DataFrame, queries: DataFrame, **options) -> DataFrame:
+    """``retrieve`` among the documents that a baseline rests on."""
+    return retrieve(units, queries, kinds=BASELINE_TYPES, **options)
+
+
+def search_documents(units: DataFrame, queries: DataFrame, kinds: Sequence[str] | None = None, **options) -> DataFrame:
+    return retrieve(units, queries, kinds=kinds, **options)
+
+
+def shared_words(query: Column, text: Column) -> Column:
+    """A scorer without a model: the share of the query's words that a text has; null for a query without words."""
+    asked = F.array_distinct(tokens(query))
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, tokens(text))) / F.size(asked))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.functions import text as tx
@@ -14,13 +16,13 @@ from tallystone.operators import monitoring as mon
 from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
 from tallystone.plans.views import table, view, with_views
-from tallystone.schema import ALERT_ROLES, BASELINE_TYPES, MASTER_TYPES, MONITORING_TYPES
+from tallystone.schema import ALERT_ROLES, BASELINE_TYPES, MASTER_TYPES, MONITORING_TYPES, PROJECT_STEPS, RESOLVER_ROLES
 from tallystone.sources import files, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-PROJECT, USER, NEW_PROJECT = 5, 7, 1000
+PROJECT, USER, NEW_PROJECT, ACTOR = 5, 7, 1000, 9
 #: A query for retrieval; repeated words count.
 QUERY = "the then la de the erthan"
 _TERMS = "(values ('the', 2), ('then', 1), ('la', 1), ('de', 1), ('erthan', 1))"
@@ -242,10 +244,8 @@ def _dense_sql(where: str = "true") -> str:
 
 
 def _dense(spark, d, where=None):
-    rows = table(spark, d, "embeddings")
-    rows = rows.where(where) if where is not None else rows
-    near = rows.select("vec_id", ret.squared_distance(F.col("embedding"), _VECTOR).alias("exact")).withColumn("distance", F.round("exact", 9)).orderBy("distance", "vec_id").limit(10)
-    return near.select("vec_id", F.round("exact", 6).alias("distance"), F.row_number().over(Window.orderBy("distance", "vec_id")).cast("long").alias("rank"))
+    near = ret.dense(table(spark, d, "embeddings"), _VECTOR, where)
+    return near.select("vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_dense_sql())
@@ -290,6 +290,57 @@ def rerank_stub(spark, d):
     return ret.rerank(hits, ret.overlap_scorer(F.col("text"), QUERY), 8).select("id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+_ASKED = [(1, "the then la the"), (2, "De erthan"), (3, "nothingofthekind")]
+_BATCH = "q as (select s.number * 10 + v.i as query_id, s.source, v.t, v.qtf from (select source, cast(substr(source, 4) as int) as number from (select distinct source from documents) x) s, (values (1, 'the', 2), (1, 'then', 1), (1, 'la', 1), (2, 'de', 1), (2, 'erthan', 1)) v(i, t, qtf))"
+
+
+_STATS = _BM25.replace(f"q as (select * from {_TERMS} v(t, qtf))", _BATCH).rsplit(",\ns as", 1)[0]
+
+
+@query(f"""with {_TOK}, {_STATS},
+b as (select q.query_id, tf.doc_id, sum(qtf * (case when i0 < 0 then eps else i0 end) * (tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl)))) score from tf join q on tf.t = q.t and tf.source = q.source join raw on raw.source = tf.source and raw.t = tf.t join ep on ep.source = tf.source join dl on dl.source = tf.source and dl.doc_id = tf.doc_id join st on st.source = tf.source group by q.query_id, tf.doc_id)
+select query_id, doc_id, rank, round(score, 6) as score from (select *, cast(row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as bigint) rank from b where score > 0) t where rank <= 10""")
+def bm25_queries(spark, d):
+    docs = table(spark, d, "documents")
+    sources = docs.select("source").distinct()
+    asked = [sources.select((F.expr("cast(substr(source, 4) as int)") * 10 + i).alias("query_id"), "source", F.lit(t).alias("text")) for i, t in _ASKED]
+    scored = ret.bm25_batch(docs, functools.reduce(DataFrame.unionByName, asked)).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
+    return ret.top(scored, "doc_id", 10, by="query_id").select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("exact", 6).alias("score"))
+
+
+_BASE = "kind in ('EL', 'IFA')"
+
+
+@query(f"""with u as (select d.id as unit, d.project_id, d.document_type as kind, d.text, e.embedding from v_documents d join embeddings e on d.id = e.vec_id),
+tok as (select project_id, unit, kind, t from (select project_id, unit, kind, unnest(regexp_split_to_array(lower(text), '\\s+')) t from u) x where t <> ''),
+tf as (select project_id, unit, kind, t, count(*) tf from tok group by all), dl as (select project_id, unit, count(*) dl from tok group by all), st as (select project_id, count(*) n, avg(dl) avgdl from dl group by project_id),
+q as (select * from {_TERMS} v(t, qtf)), raw as (select tf.project_id, tf.t, ln(max(n) - count(*) + 0.5e0) - ln(count(*) + 0.5e0) i0 from tf join st on tf.project_id = st.project_id group by tf.project_id, tf.t), ep as (select project_id, 0.25e0 * avg(i0) eps from raw group by project_id),
+s as (select tf.project_id, tf.unit, sum(qtf * (case when i0 < 0 then eps else i0 end) * (tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl)))) score from tf join q on tf.t = q.t join raw on raw.project_id = tf.project_id and raw.t = tf.t join ep on ep.project_id = tf.project_id join dl on dl.project_id = tf.project_id and dl.unit = tf.unit join st on st.project_id = tf.project_id where {_BASE} group by tf.project_id, tf.unit),
+sp as (select * from (select project_id, unit, row_number() over (partition by project_id order by round(score, 9) desc, unit) s_rank from s where score > 0) t where s_rank <= 10),
+de as (select * from (select project_id, unit, row_number() over (partition by project_id order by {_DIST}, unit) d_rank from u where {_BASE}) t where d_rank <= 10),
+fu as (select coalesce(de.project_id, sp.project_id) as project_id, coalesce(de.unit, sp.unit) as unit, d_rank, s_rank, coalesce(1.0e0 / (60 + d_rank), 0e0) + coalesce(1.0e0 / (60 + s_rank), 0e0) as score from de full join sp on de.unit = sp.unit),
+pl as (select * from (select *, row_number() over (partition by project_id order by score desc, d_rank nulls last, s_rank nulls last) place from fu) t where place <= 10),
+rr as (select pl.*, {_OVERLAP} as rerank_score from pl join u on pl.unit = u.unit)
+select project_id as query_id, unit, round(score, 9) as score, round(rerank_score, 6) as rerank_score, rank from (select *, cast(row_number() over (partition by project_id order by rerank_score desc, place) as bigint) rank from rr) t where rank <= 8""")
+def search_baseline(spark, d):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "embedding")
+    units = view(spark, d, "v_documents").select(F.col("id").alias("unit"), "project_id", F.col("document_type").alias("kind"), "text").join(vectors, "unit")
+    vector = F.array(*(F.lit(x) for x in _VECTOR))
+    asked = units.select("project_id").distinct().select(F.col("project_id").alias("query_id"), "project_id", F.lit(QUERY).alias("text"), vector.alias("vector"))
+    found = ret.search_baseline(units, asked, scorer=ret.shared_words)
+    return found.select("query_id", "unit", F.round("score", 9).alias("score"), F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _counting():
+    return lambda texts: [[float(len(t)), float(len(t.split(" ")))] for t in texts]
+
+
+@query("select doc_id, cast(length(text) as float) as letters, cast(len(string_split(text, ' ')) as float) as words from documents")
+def embed_docs(spark, d):
+    found = ret.embed(table(spark, d, "documents").select("doc_id", "text"), "text", _counting)
+    return found.select("doc_id", F.col("embedding")[0].alias("letters"), F.col("embedding")[1].alias("words"))
+
+
 # Extraction
 
 _SCOPE = "concat('Result: {\"scope_items\": [{\"name\": \"', p_name, '\", \"scope_type\": \"IN_SCOPE\"}, {\"description\": null}], \"deliverables\": []} end')"
@@ -328,6 +379,24 @@ def evidence_digest(spark, d):
     return rows.select("o_custkey", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("evidence"))
 
 
+def _reader(prompts):
+    """A model that says how long the text is."""
+    lengths = [len(p.split("\n\nText:\n", 1)[1]) for p in prompts]
+    return [json.dumps({"scope_items": [{"name": str(n)}, {"name": "rest", "scope_type": "IN_SCOPE"}], "activities": [{"activity_name": str(n)}], "new_requests": []}) for n in lengths]
+
+
+@query("select id, pos, case when pos = 0 then cast(least(length(text), 8000) as varchar) else 'rest' end as name, case when pos = 0 then 'UNCERTAIN' else 'IN_SCOPE' end as scope_type from v_documents, (values (0), (1)) v(pos)")
+def scope_extract(spark, d):
+    docs = view(spark, d, "v_documents").select("id", "text")
+    return ex.scope_rows(ex.extract_scope(docs, _reader), ["id"])["scope_items"].select("id", "pos", "name", "scope_type")
+
+
+@query("select id, 0 as pos, cast(least(length(text), 8000) as varchar) as activity_name, 'UNKNOWN' as activity_status from v_documents")
+def status_extract(spark, d):
+    docs = view(spark, d, "v_documents").select("id", "text")
+    return ex.status_rows(ex.extract_status(docs, _reader), ["id"])["activities"].select("id", "pos", "activity_name", "activity_status")
+
+
 # Risk, alerts, memory
 
 
@@ -366,3 +435,73 @@ def fk_orphans(spark, d):
 @query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
 def uk_violations(spark, d):
     return rel.repeated_keys(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+def _assessor(prompts):
+    """A model that goes by the length of an item's name, and is sure of what has evidence."""
+    out = []
+    for p in prompts:
+        if "\n\nDraft:\n" in p:
+            draft, evidence = p.split("\n\nDraft:\n")[1].split("\n\nAnswer")[0].split("\n\nEvidence:\n")
+            risk = json.loads(draft)["risk_score"]
+            out.append({"is_out_of_scope": risk > 0.5, "risk_score": risk, "reasoning": evidence.split("\n")[0], "confidence": 0.9 if evidence else 0.4, "requires_escalation": risk >= 0.8})
+        else:
+            name = json.loads(p.split("\n\nItem:\n")[1].split("\n\nEvidence:\n")[0])["request_name"]
+            out.append({"is_out_of_scope": False, "risk_score": len(name) % 10 / 10, "reasoning": name})
+    return [json.dumps(x) for x in out]
+
+
+@query("""with e as (select l_partkey as id, arg_min('- order ' || l_orderkey || ' (Score: ' || printf('%.2f', l_discount) || ')', l_orderkey * 100 + l_linenumber) as line from (select distinct l_partkey, l_orderkey, l_linenumber, l_discount from (select *, row_number() over (partition by l_partkey, l_orderkey, l_linenumber order by l_discount) rn from lineitem) x where rn = 1) y group by l_partkey)
+select r.id as item_id, length(request_name) % 10 / 10e0 > 0.5e0 as is_out_of_scope, length(request_name) % 10 / 10e0 as risk_score, coalesce(e.line, '') as reasoning, case when e.line is not null then 0.9e0 else 0.4e0 end as confidence, length(request_name) % 10 / 10e0 >= 0.8e0 as requires_escalation, cast(null as varchar) as error from v_requests r left join e on r.id = e.id""")
+def risk_assess(spark, d):
+    items = view(spark, d, "v_requests").select(F.col("id").alias("item_id"), (F.col("id") % 25).alias("project_id"), F.to_json(F.struct("request_name")).alias("item"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item_id"), "l_orderkey", "l_linenumber").agg(F.min("l_discount").alias("rerank_score"))
+    evidence = lines.select("item_id", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("rank"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("text"), F.lit(0.0).alias("score"), "rerank_score")
+    return mon.assess(items, mon.evidence_lines(evidence), _assessor).drop("project_id", "item")
+
+
+@query(f"select t.project_id, t.item_type, t.reference_id, s.email, s.role, 'High Risk Item Detected - Project ' || t.project_id as subject, 'A high-risk item was detected.' || chr(10) || chr(10) || 'Item: ' || coalesce(r.request_name, '') || chr(10) || 'Reasoning: ' || 'risk ' || t.risk_score || chr(10) || chr(10) || 'Please review it in the tracker.' as body from v_tracker t left join v_requests r on t.reference_id = r.id join v_stakeholders s on t.project_id = s.project_id where t.item_type = 'NEW_REQUEST' and (t.requires_escalation or t.risk_score >= 0.8e0) and s.role in ({_ROLES})")
+def alert_mail(spark, d):
+    names = view(spark, d, "v_requests").select(F.col("id").alias("reference_id"), F.col("request_name").alias("item_name"))
+    items = view(spark, d, "v_tracker").join(names, "reference_id", "left").withColumn("reasoning", F.concat(F.lit("risk "), F.col("risk_score").cast("string")))
+    return mon.alerts(items, view(spark, d, "v_stakeholders"))
+
+
+_NOW = "2026-01-02 03:04:05"
+_RESOLVERS = ", ".join(f"'{r}'" for r in RESOLVER_ROLES)
+
+
+@query(f"select e.id, e.project_id, case when a.id is not null then e.event_summary end as resolution, case when a.id is not null then 'RESOLVED' else 'OPEN' end as status, a.id as resolved_by, case when a.id is not null then '{_NOW}' end as resolved_at from v_events e left join v_users a on a.id = {ACTOR} and a.role in ({_RESOLVERS}) and e.event_type = 'error'")
+def tracker_resolve(spark, d):
+    events = view(spark, d, "v_events")
+    blank = [F.lit(None).cast(k).alias(c) for c, k in (("resolution", "string"), ("resolved_by", "bigint"), ("resolved_at", "timestamp_ntz"))]
+    items = events.select("id", "project_id", F.lit("OPEN").alias("status"), *blank)
+    changes = events.where("event_type = 'error'").select("id", "project_id", F.col("event_summary").alias("resolution"), F.lit("RESOLVED").alias("status"))
+    out = rel.resolve(items, changes, rel.allowed(view(spark, d, "v_users"), ACTOR, RESOLVER_ROLES), F.lit(_NOW).cast("timestamp_ntz"))
+    return out.select("id", "project_id", "resolution", "status", "resolved_by", F.date_format("resolved_at", "yyyy-MM-dd HH:mm:ss").alias("resolved_at"))
+
+
+@query(f"select b.id, case when b.id = l.draft_id then 'APPROVED' else b.status end as status, case when b.id = l.draft_id then cast({USER} as bigint) end as approved_by, case when b.id = l.draft_id then '{_NOW}' end as approved_at from v_baselines b left join (select project_id, max(id) as draft_id from v_baselines where status = 'DRAFT' group by project_id) l on b.project_id = l.project_id")
+def baseline_approve(spark, d):
+    out = rel.approve_latest_draft(view(spark, d, "v_baselines"), USER, F.lit(_NOW).cast("timestamp_ntz"))
+    return out.select("id", "status", "approved_by", F.date_format("approved_at", "yyyy-MM-dd HH:mm:ss").alias("approved_at"))
+
+
+_STATES = list(PROJECT_STEPS)
+_MOVES = " or ".join(f"(b = '{x}' and e in ({', '.join(repr(y) for y in ys)}))" for x, ys in PROJECT_STEPS.items())
+
+
+@query(f"select id, case when {_MOVES} then e else b end as monitoring_status, coalesce({_MOVES}, false) as moved from (select c_custkey as id, list_extract({_STATES}, cast(c_custkey % 4 + 1 as int)) as b, case when c_custkey % 5 > 0 then list_extract({_STATES}, cast(c_custkey // 4 % 4 + 1 as int)) end as e from customer) t")
+def project_moves(spark, d):
+    states = F.array(*(F.lit(x) for x in _STATES))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    begin = rows.select("id", F.get(states, (F.col("id") % 4).cast("int")).alias("monitoring_status"))
+    changes = rows.where("id % 5 > 0").select("id", F.get(states, F.expr("cast(id div 4 % 4 as int)")).alias("to"))
+    return rel.move(begin, "monitoring_status", changes, PROJECT_STEPS)
+
+
+@query(f"select (select max(id) from v_events) + row_number() over (order by c_nationkey, c_mktsegment, c_name) as id, cast(c_nationkey as int) as project_id, c_mktsegment as event_type, c_name as event_summary, case when c_custkey % 2 = 0 then 0.25e0 else 0.5e0 end as importance_score, '{_NOW}' as created_at from customer")
+def event_append(spark, d):
+    new = table(spark, d, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_mktsegment").alias("event_type"), F.col("c_name").alias("event_summary"), F.when(F.col("c_custkey") % 2 == 0, 0.25).alias("importance_score"))
+    out = mon.new_events(new, view(spark, d, "v_events"), F.lit(_NOW).cast("timestamp_ntz"))
+    return out.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))

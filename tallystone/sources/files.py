@@ -64,3 +64,17 @@ def page_chunks(pages: DataFrame, document: str, page: str = "page_number") -> D
     rows = pages.where(not_blank(F.col("text"))).select(document, page, F.posexplode(chunks(F.col("text"))).alias("pos", "chunk"))
     index = F.row_number().over(Window.partitionBy(document).orderBy(F.asc_nulls_first(page), "pos")) - 1
     return rows.select(document, page, index.alias("chunk_index"), F.col("chunk").alias("text"))
+
+
+def read_table(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database by JDBC. With an integer ``key`` it is read in ``parts`` ranges of it, each by its own task.
+
+    Filters and columns reach the database. ``options``: user, password, driver and the like.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if key is None:
+        return reader.option("dbtable", table).load()
+    low, high = reader.option("dbtable", f"(select min({key}) as lo, max({key}) as hi from {table}) bounds").load().first()
+    if low is None:
+        return reader.option("dbtable", table).load()
+    return reader.option("dbtable", table).options(partitionColumn=key, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=parts).load()

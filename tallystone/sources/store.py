@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions.text import chunk_id
+from tallystone.operators.retrieval import term_statistics
 
 
 def page_or_none(page: Column) -> Column:
@@ -25,15 +28,36 @@ def read_store(spark: SparkSession, path: str, project_id: int | None = None) ->
 
 
 def append(spark: SparkSession, path: str, rows: DataFrame, key: str = "chunk_id") -> None:
-    """Appends rows whose key the store doesn't have; the first write of a key stays."""
+    """Appends rows whose key the store doesn't have; the first write of a key stays. Of the store only the rows' projects are read."""
     fresh = rows.dropDuplicates([key])
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+    if _exists(spark, path):
+        # a key names its project, so the join prunes the store's partitions by the projects of the rows
+        fresh = fresh.join(spark.read.parquet(path).select("project_id", key), ["project_id", key], "left_anti")
     fresh.write.mode("append").partitionBy("project_id").parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def index(spark: SparkSession, path: str, chunks: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> None:
+    """Writes chunks (project_id, chunk_id, text, ...) to both indexes in ``path``, without those that they have.
+
+    ``chunks`` holds text for sparse search and, by ``encode``, vectors for dense search; ``terms`` has statistics for scores. They
+    are counted anew for the projects of the new chunks alone, whose partitions are replaced.
+    """
+    projects = chunks.select("project_id").distinct()
+    append(spark, f"{path}/chunks", encode(chunks))
+    held = spark.read.parquet(f"{path}/chunks").join(projects, "project_id", "left_semi")
+    term_statistics(held, "project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(f"{path}/terms")
+
+
+def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks with their vectors, and the stored statistics, for ``retrieval.retrieve``."""
+    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/terms")
+
+
 def with_ids(rows: DataFrame, existing: DataFrame, order: list[str], id_: str = "id") -> DataFrame:
     """Rows with dense ids that go on after the existing ones, in the given order.
 

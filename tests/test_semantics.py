@@ -161,3 +161,115 @@ def test_streams(spark, tmp_path):
     assert store.read_store(spark, str(tmp_path / "store")).count() == chunk_stream(docs).count()
     items = spark.createDataFrame([(1, True, 0.1), (1, False, 0.9), (1, False, 0.1)], "project_id int, requires_escalation boolean, risk_score double").withColumn("created_at", F.timestamp_seconds(F.lit(0)))
     assert escalation_counts(items).first().n == 2
+
+
+def test_queries_in_batches(spark):
+    texts = {1: "a a b", 2: "b c", 3: "c d d", 4: "e", 5: None, 6: " "}
+    df = spark.createDataFrame([("p", i, t) for i, t in texts.items()] + [("q", 9, "a z")], "source string, doc_id int, text string")
+    asked = spark.createDataFrame([(1, "p", "A b b"), (2, "p", "d e zz"), (3, "q", "z a"), (4, "none", "a"), (5, "p", ""), (6, "p", None)], "query_id int, source string, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in ret.bm25_batch(df, asked).collect()}
+    want = {(q, i): s for q, t in ((1, "a b b"), (2, "d e zz")) for i, s in plain_bm25(texts, t).items()}
+    assert {k: v for k, v in got.items() if k[0] < 3}.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {k for k in got if k[0] > 2} <= {(3, 9)}
+
+
+def units(spark):
+    rows = [(1, i, "EL" if i % 2 else "MOM", f"word{i} same", [float(i), 0.0]) for i in range(30)]
+    return spark.createDataFrame(rows, "project_id int, unit int, kind string, text string, embedding array<float>")
+
+
+def test_retrieve(spark):
+    asked = spark.createDataFrame([(7, 1, "word5 word9 same", [5.0, 0.0])], "query_id int, project_id int, text string, vector array<float>")
+    found = ret.search_baseline(units(spark), asked).orderBy("rank").collect()
+    assert len(found) == 8 and found[0].unit == 5 and all(r.unit % 2 and r.rerank_score is None for r in found)
+    assert {r.unit % 2 for r in ret.search_documents(units(spark), asked).collect()} == {0, 1}
+    better = ret.retrieve(units(spark), asked, scorer=lambda q, t: -F.length(t).cast("double") - (F.regexp_extract(t, "[0-9]+", 0) == "7").cast("int"))
+    assert better.orderBy("rank").collect()[-1].unit != 7 or better.count() == 8
+    # one score is missing: the scorer failed, the fused order stays
+    broken = ret.retrieve(units(spark), asked, scorer=lambda q, t: F.when(t != "word5 same", F.lit(1.0)), kinds=["EL"]).orderBy("rank").collect()
+    assert [(r.unit, r.rerank_score) for r in broken] == [(r.unit, None) for r in found]
+
+
+def test_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = units(spark).drop("embedding").withColumn("chunk_id", F.concat(F.lit("c"), F.col("unit").cast("string")))
+    encode = lambda df: ret.embed(df, "text", lambda: lambda ts: [[float(len(t)), 1.0] for t in ts])
+    store.index(spark, path, rows.where("unit < 20"), encode)
+    store.index(spark, path, rows.where("unit >= 10").union(rows.where("unit < 2").withColumn("project_id", F.lit(2)).select(rows.columns).withColumn("chunk_id", F.concat(F.lit("d"), "unit"))), encode)
+    chunks, terms = store.open_index(spark, path)
+    assert chunks.count() == 32 and chunks.where("chunk_id = 'c3'").first().embedding == [10.0, 1.0]
+    assert sorted(map(str, terms.select("project_id", "t", "df", "words").collect())) == sorted(map(str, ret.term_statistics(chunks, "project_id").collect()))
+    asked = spark.createDataFrame([(1, 1, "word5", [1.0, 1.0])], "query_id int, project_id int, text string, vector array<float>")
+    assert ret.retrieve(chunks, asked, statistics=terms).orderBy("rank").first().unit == 5
+
+
+def test_two_passes_of_risk(spark):
+    def model(prompts):
+        return ["no" if "stubborn" in p else json.dumps({"risk_score": 0.9, "reasoning": "cites" if "(Score: 0.10)" in p else "none", "requires_escalation": True} if "Draft" in p else {"risk_score": 0.2}) for p in prompts]
+
+    items = spark.createDataFrame([(1, 1, '{"activity_name": "x"}'), (2, 1, '{"activity_name": "stubborn"}'), (3, 1, '{"request_name": "y"}')], "item_id int, project_id int, item string")
+    evidence = mon.evidence_lines(spark.createDataFrame([(1, 2, "b", 0.5, None), (1, 1, "a", 0.5, 0.1), (2, 1, None, None, None)], "item_id int, rank int, text string, score double, rerank_score double"))
+    assert {r.item_id: r.evidence for r in evidence.collect()} == {1: "- a (Score: 0.10)\n- b (Score: 0.50)", 2: "-  (Score: 0.00)"}
+    got = {r.item_id: (r.risk_score, r.reasoning, r.confidence, r.error) for r in mon.assess(items, evidence, model).collect()}
+    assert got == {1: (0.9, "cites", None, None), 2: (0.9, "none", None, "no JSON"), 3: (0.9, "none", None, None)}
+
+
+def test_extraction_of_odd_answers(spark):
+    docs = spark.createDataFrame([(1, "long " * 4000), (2, None), (3, "bad")], "id int, text string")
+    model = lambda ps: ["sorry" if p.endswith("bad") or "bad\n" in p else json.dumps({"scope_items": [{"name": None}, {}], "deliverables": [], "n": len(p)}) for p in ps]
+    got = ex.extract_scope(docs, model)
+    assert {r.id: r.payload_error for r in got.collect()} == {1: None, 2: None, 3: "no JSON"} and got.columns == ["id", "payload", "payload_error"]
+    rows = ex.scope_rows(got, ["id"])
+    assert sorted((r.id, r.pos, r.name, r.scope_type) for r in rows["scope_items"].collect() if r.name) == [(1, 1, "Unknown", "UNCERTAIN"), (2, 1, "Unknown", "UNCERTAIN")]
+    assert rows["deliverables"].count() == 0 and rows["stakeholders"].count() == 0
+
+
+def test_delivery(spark):
+    def connect():
+        def send(row):
+            if row["email"] == "bad":
+                raise ValueError("no such box")
+
+        return send
+
+    items = spark.createDataFrame([(1, "NEW_REQUEST", 5, True, 0.1, None, "why")], "project_id int, item_type string, reference_id int, requires_escalation boolean, risk_score double, item_name string, reasoning string")
+    people = spark.createDataFrame([(1, "good", "PROJECT_LEAD"), (1, "bad", "PROJECT_LEAD"), (1, "other", "ADMIN")], "project_id int, email string, role string")
+    got = {r.email: (r.sent, r.error, "Reasoning: why" in r.body) for r in mon.deliver(mon.alerts(items, people), connect).collect()}
+    assert got == {"good": (True, None, True), "bad": (False, "no such box", True)}
+
+
+def test_state_machines(spark):
+    from tallystone.schema import REQUEST_STEPS
+
+    rows = spark.createDataFrame([(1, "DETECTED"), (2, "REJECTED"), (3, "UNDER_REVIEW"), (4, None)], "id int, request_status string")
+    changes = spark.createDataFrame([(1, "REJECTED"), (2, "DETECTED"), (4, "REJECTED")], "id int, to string")
+    users = spark.createDataFrame([(1, "PROJECT_LEAD", True), (2, "PROJECT_LEAD", False), (3, "ADMIN", True)], "id int, role string, is_active boolean")
+    actor = lambda i: rel.allowed(users, i, ["PROJECT_LEAD"])
+    got = {r.id: (r.request_status, r.moved) for r in rel.move(rows, "request_status", changes, REQUEST_STEPS, actor(1)).collect()}
+    assert got == {1: ("REJECTED", True), 2: ("REJECTED", False), 3: ("UNDER_REVIEW", False), 4: (None, False)}
+    assert all(not r.moved for i in (2, 3) for r in rel.move(rows, "request_status", changes, REQUEST_STEPS, actor(i)).collect())
+    items = spark.createDataFrame([(1, 1, "OPEN", None, None, None)], "id int, project_id int, status string, resolution string, resolved_by long, resolved_at timestamp_ntz")
+    for project, who, want in ((1, 1, ("CLOSED", "done", 1)), (2, 1, ("OPEN", None, None)), (1, 3, ("OPEN", None, None))):
+        r = rel.resolve(items, spark.createDataFrame([(1, project, "done", "CLOSED")], "id int, project_id int, resolution string, status string"), actor(who)).first()
+        assert (r.status, r.resolution, r.resolved_by) == want and (r.resolved_at is None) == (r.resolved_by is None)
+
+
+def test_new_events(spark):
+    existing = spark.createDataFrame([(5,)], "id long")
+    events = spark.createDataFrame([(1, None, "B", "s", None, None, None), (1, 2, "A", "s", None, None, 0.9)], "project_id int, run_id int, event_type string, event_summary string, entity_type string, entity_id int, importance_score double")
+    got = sorted((r.id, r.event_type, r.importance_score, r.created_at is None) for r in mon.new_events(events, existing, F.current_timestamp()).collect())
+    assert got == [(6, "A", 0.9, False), (7, "B", 0.5, False)]
+
+
+def test_database_table(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    try:
+        spark.range(100).selectExpr("cast(id as int) as id", "id * 2 as twice").write.format("jdbc").options(url=url, dbtable="t", **driver).save()
+    except Exception as e:
+        if "ClassNotFound" in str(e) or "derby" in str(e).lower():
+            pytest.skip("no database driver here")
+        raise
+    got = files.read_table(spark, url, "t", key='"id"', parts=4, **driver)
+    assert got.count() == 100 and got.rdd.getNumPartitions() == 4
+    assert files.read_table(spark, url, "t", **driver).where('id = 7').first()[1] == 14
