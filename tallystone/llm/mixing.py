@@ -114,7 +114,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: Callable[[Sequence[str |
     ``weights`` gets the sources in code point order, null last, and gives each one's weight.
     """
     scratch = Scratch(spark, "mixing")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09\x0A\x0B\x0C\x0D]+")), F.lit(0)).cast("long")
     sized = scratch.keep(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("tag")), "sized")
     found = {r.source: r for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()}
     names = sorted((s for s in found if s is not None)) + [None] * (None in found)

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tallystone.llm import _words, decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, quality, suffix_dedup, token_counts, warc
 from tallystone.llm._shared import Scratch, components
@@ -201,9 +202,115 @@ def test_mix(spark):
     assert mixing.mix(spark, documents(spark, [])).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def brute_mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def brute_mix(rows):
+    """The mix word by word: hashes by the xxhash library, seats by quotients, and every word's own block."""
+    h = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    sized = []
+    for i, t, s in rows:
+        tag = 42
+        for part in (None if i is None else i.to_bytes(8, "little", signed=True), None if t is None else t.encode(), mixing.SEED.to_bytes(4, "little")):
+            tag = tag if part is None else h(part, tag)
+        sized.append((i, s, len(split(t)), tag - (1 << 64) * (tag >> 63)))
+    names = sorted({s for _, s, _, _ in sized}, key=lambda s: (s is None, s))
+    sizes = [sum(n for _, s, n, _ in sized if s == x) for x in names]
+    goal = mixing.targets(sizes, mixing.cycle_weights(names))
+    cells = []
+    for at, s in enumerate(names):
+        own = [r for r in sized if r[1] == s]
+        parts = min(mixing.MAX_SHARDS, -(-len(own) // mixing.SHARD_ROWS))
+        held = {}
+        for r in own:
+            k = h(r[3].to_bytes(8, "little", signed=True), 42)
+            held.setdefault((k - (1 << 64) * (k >> 63)) % parts, []).append(r)
+        cells.append(held)
+    blocks = lambda own: -(-sum(r[2] for r in own) // mixing.BLOCK)
+    won = brute_sainte_lague(goal, round(sum(goal) / mixing.BLOCK), [3 * sum(blocks(x) for x in held.values()) for held in cells])
+    out = []
+    for at, (held, seats) in enumerate(zip(cells, won, strict=True)):
+        keys = sorted(held)
+        votes = [sum(r[2] for r in held[k]) for k in keys]
+        for k, quota in zip(keys, brute_sainte_lague(votes, seats, [3 * blocks(held[k]) for k in keys]), strict=True):
+            n = blocks(held[k])
+            seed = (mixing.SEED + (at << 32) + k) * 0x9E3779B97F4A7C15 & M64
+            first = sorted(range(n), key=lambda b: brute_mixed(b + seed & M64))[: quota % n if n else 0]
+            place = 0
+            for i, s, size, _ in sorted(held[k], key=lambda r: (r[3], r[0] or 0, r[2])):
+                taken = sum(quota // n + ((place + w) // mixing.BLOCK in first) for w in range(size))
+                place += size
+                out.append((i, s, size, sizes[at], goal[at], taken))
+    return sorted(out, key=str)
+
+
+def test_mix_word_by_word(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 40)
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, "", "x y", "w " * rng.randrange(90)]), rng.choice(["b", "a", "é", "Z", None])) for i in range(300)] + [(None, "x y z", "a"), (None, None, "a"), (7, "x " * 3000, "b"), (8, "q " * 70, "b"), (8, "q " * 70, "b")]
+    assert sorted((tuple(r) for r in mixing.mix(spark, documents(spark, rows)).collect()), key=str) == brute_mix(rows)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert sorted((tuple(r) for r in mixing.mix(spark, docs).collect()), key=str) == brute_mix([(r.doc_id, r.text, r.source) for r in docs.collect()])
+
+
 # 4
 
 
+def brute_score(text, model):
+    """Latent score of a text, word by word."""
+    data = (text or "").encode()
+    codes = lambda b: brute_mixed((b + 32 if 65 <= b < 91 else b) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & M64)
+    span = lambda w: brute_mixed(sum(codes(b) * pow(_words._BASE, i, 1 << 64) for i, b in enumerate(w)) + len(w) & M64)
+    hashed = {}
+    score = 0.0
+    found = re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", data)
+    for k in (0, *quality.PREFIXES):
+        counts = {}
+        for w in found:
+            w = w[:k] if k else w
+            if (w, k) not in hashed:
+                hashed[w, k] = (span(w) ^ (k << 60 & M64)) >> 64 - quality.BITS
+            counts[hashed[w, k]] = counts.get(hashed[w, k], 0) + 1
+        length = sum((1 + np.log(n)) ** 2 for n in counts.values()) ** 0.5
+        score += sum(model.weights[i] * (1 + np.log(n)) / length for i, n in counts.items())
+    plain, last = re.findall(rb"[^\x20\x09-\x0D]+", data), None
+    letter = lambda b: b >= 128 or chr(b).isalnum()
+    for w in plain:
+        mark = 0 if letter(w[-1]) else w[-1]
+        shape = ((mark * 2 + (len(w) > 1 and not letter(w[-2]))) * 2 + (len(w) > 1 and 65 <= w[1] < 91)) * 2 + (last is not None and w.lower() == last.lower())
+        score += model.weights[(1 << quality.BITS) + shape] / len(plain)
+        last = w
+    return score
+
+
+def test_scores_word_by_word(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    odd = documents(spark, [(900, None, "s"), (901, "", "s"), (902, "É ÉA aB.. aB.. x!", "s")]).select("doc_id", "text")
+    docs = docs.select("doc_id", "text").union(odd)
+    ratings = quality.ratings_of(labels)
+    model = quality.train(docs, ratings)
+    for r in quality.score(spark, docs, ratings).collect():
+        if len(r.text or "") < 4000:
+            tails = 1 / (1 + np.exp(model.thresholds - brute_score(r.text, model)))
+            q = r["__tallystone_quality"]
+            assert abs(q.expected_grade - tails.sum()) < 1e-4 and abs(q.tail_probability - tails[1]) < 1e-4 and q.keep == (q.tail_probability >= 0.5)
+
+
+def test_one_text_of_a_rated_id(spark):
+    rows = [(i, "good words here", "s") if i % 2 else (i, "bad%%% stuff%%%", "s") for i in range(40)] + [(i, "other text of this id", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    models = [quality.train(documents(spark, x).repartition(n), quality.ratings_of(labels)) for x, n in ((rows, 3), (rows[::-1], 7))]
+    assert (models[0].weights == models[1].weights).all() and (models[0].thresholds == models[1].thresholds).all()
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     row = np.repeat(np.arange(30), 4)
@@ -367,6 +474,27 @@ def test_ngram_join_edges(spark):
     assert ngram_join.join(spark, documents(spark, []), 3, 90).count() == 0
 
 
+@pytest.mark.parametrize(("crowd", "long", "seed"), [(2, 16, 1), (3, 2, 2), (4, 1, 3)])
+def test_groups_that_share_lists(spark, monkeypatch, crowd, long, seed):
+    """Small groups around sets that share some of their shingles, in both directions, at sizes where few shared lists decide."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(seed)
+    pools = [[f"p{k}w{i}" for i in range(40)] for k in range(4)]
+    sets, rows = {}, []
+    for i in range(90):
+        k = rng.randrange(4)
+        w = set(rng.sample(pools[k], rng.randrange(28, 40))) | set(rng.sample(pools[(k + 1) % 4], rng.randrange(0, 9)))
+        sets[i] = w
+        rows.append((i, " ".join(sorted(w, key=lambda x: rng.random())), "s"))
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert 10 < len(links) < 1500
+    want = closure(sets, links)
+    got = ngram_join.join(spark, documents(spark, rows), 1, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_blocks_and_crowds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "CROWD", 3)

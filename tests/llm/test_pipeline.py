@@ -57,3 +57,16 @@ def test_stages(spark):
     for s, t in zip(names, mixing.targets(sizes, mixing.cycle_weights(names)), strict=True):
         assert abs(sum(r.taken for r in after if r.source == s) - t) <= 3 * mixing.BLOCK
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, after))
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, no ratings, no items, and columns with names that operators use within."""
+    text = "here are some plain words of a text that is " + "as long as it must be " * 4
+    docs = [(1, text, "en", "s", 5, "x"), (1, text, "en", "s", 5, "x"), (2, None, None, None, None, None), (None, "", "en", None, 0, "x"), (3, text.upper(), "en", "t", 1, "y"), (None, "alone here", "en", "t", 1, "y")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, node string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.size) for r in got) == [("1", 34), ("2", 0), ("None", 0), ("None", 2)]
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
