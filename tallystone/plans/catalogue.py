@@ -15,7 +15,7 @@ from tallystone.operators import extraction as ex
 from tallystone.operators import monitoring as mon
 from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
-from tallystone.plans.views import table, view, with_views
+from tallystone.plans.views import folder, table, view, with_views
 from tallystone.schema import ALERT_ROLES, BASELINE_TYPES, MASTER_TYPES, MONITORING_TYPES, PROJECT_STEPS, RESOLVER_ROLES
 from tallystone.sources import files, store
 
@@ -505,3 +505,57 @@ def event_append(spark, d):
     new = table(spark, d, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_mktsegment").alias("event_type"), F.col("c_name").alias("event_summary"), F.when(F.col("c_custkey") % 2 == 0, 0.25).alias("importance_score"))
     out = mon.new_events(new, view(spark, d, "v_events"), F.lit(_NOW).cast("timestamp_ntz"))
     return out.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+# Stores and files
+
+
+def _chunk_index(spark, d):
+    """An index written in two batches that overlap."""
+    at = folder(spark, "index")
+    rows = view(spark, d, "v_documents").select("project_id", F.col("id").alias("document_id"), F.lit(None).cast("int").alias("page_number"), F.posexplode(tx.chunks(F.col("text"))).alias("chunk_index", "text"))
+    chunks = store.catalogue(rows)
+    for part in (chunks.where("project_id % 2 = 0"), chunks):
+        store.index(spark, at, part, lambda df: ret.embed(df, "text", _counting))
+    return store.open_index(spark, at)
+
+
+@query(f"select 'proj_' || project_id || '_doc_' || doc_id || '_chunk_' || chunk_index as chunk_id, cast(length(text) as float) as letters from ({_CHUNKS}) c")
+def index_chunks(spark, d):
+    return _chunk_index(spark, d)[0].select("chunk_id", F.col("embedding")[0].alias("letters"))
+
+
+@query(f"with tok as (select project_id, doc_id, chunk_index, unnest(regexp_split_to_array(lower(text), '\\s+')) t from ({_CHUNKS}) c) select project_id, t, count(distinct doc_id * 1000 + chunk_index) as df, cast(null as bigint) as words from tok where t <> '' group by project_id, t union all select project_id, null, count(distinct doc_id * 1000 + chunk_index), count(*) from tok where t <> '' group by project_id")
+def index_terms(spark, d):
+    return _chunk_index(spark, d)[1].select("project_id", "t", "df", "words")
+
+
+@query("select r_name as name from region where r_name is not null")
+def text_files(spark, d):
+    at = folder(spark, "texts")
+    table(spark, d, "region").select("r_name").coalesce(1).write.text(at)
+    return files.read_files(spark, at).where("processing_status = 'COMPLETED'").select(F.explode(F.split("text", "\n")).alias("name")).where("name <> ''")
+
+
+def _stubborn(prompts):
+    """A model that gives JSON to even ids at once, to ids of three when asked again, and to others never."""
+    out = []
+    for p in prompts:
+        n = int(p.split()[0])
+        out.append(json.dumps({"n": n}) if n % 2 == 0 or (n % 3 == 0 and "valid JSON" in p) else "I would rather not")
+    return out
+
+
+@query("select c_custkey as id, case when c_custkey % 2 = 0 or c_custkey % 3 = 0 then cast(c_custkey as varchar) end as n, case when c_custkey % 2 <> 0 and c_custkey % 3 <> 0 then 'no JSON' end as payload_error from customer")
+def json_retry(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.col("c_custkey").cast("string"), F.lit(" please")).alias("prompt"))
+    return ex.generate_json(rows, "prompt", _stubborn).select("id", F.get_json_object("payload", "$.n").alias("n"), "payload_error")
+
+
+@query("select 'nation' as name, cast(0 as bigint) as n union all select 'region', count(*) from region")
+def truncated(spark, d):
+    at = {t: folder(spark, t) for t in ("nation", "region")}
+    for t, path in at.items():
+        table(spark, d, t).write.parquet(path)
+    store.truncate(spark, at, keep=("region",))
+    return functools.reduce(DataFrame.unionByName, (spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t, path in at.items()))
