@@ -99,6 +99,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, low))
 
 
+def one_of(value: Column, twin: str, what: str) -> Column:
+    """An aggregate's value, if all rows under one 64-bit key agree in a second hash; two things under one key end the job, not pass for one."""
+    return F.when(F.min(twin) == F.max(twin), value).otherwise(F.raise_error(F.lit(f"two {what} have one key")).cast("long"))
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges(a, b)``, two columns of one orderable type: ``(node, root)``, root the least node.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tallystone.llm._shared import Scratch, components
+from tallystone.llm._shared import Scratch, components, one_of
 
 COSINE = 0.93
 NEAR, SHARED = 10, 3
@@ -143,7 +143,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     valid = F.coalesce(F.col("v").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("node", F.when(valid, F.xxhash64("label", "v")))
     rows = scratch.keep(rows, "rows")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    nodes = rows.where("node is not null").withColumn("twin", F.xxhash64(F.lit(1), "v", "label"))
+    nodes = nodes.groupBy("node").agg(F.count("*").alias("n"), one_of(F.min("vec_id"), "twin", "vectors").alias("least"))
     nodes = scratch.keep(nodes, "nodes")
     distinct = rows.where("node is not null").dropDuplicates(["node"]).select("node", "label", F.size("v").alias("dim"), "v").join(nodes.select("node", "n"), "node")
     distinct = scratch.keep(distinct, "distinct")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm import _words as words
-from tallystone.llm._shared import Scratch, components
+from tallystone.llm._shared import Scratch, components, one_of
 
 #: A word is frequent if at least this share of the documents has it, and FEW of them at least.
 FREQUENT, FEW = 1 / 4000, 8
@@ -127,15 +127,16 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
 
 
-def _node(shingles: np.ndarray) -> int:
-    """A class's key: a hash of its sorted set."""
+def _node(shingles: np.ndarray, kind: int = 0) -> int:
+    """A class's key: a hash of its sorted set; ``kind`` 1: its twin, by which equal keys of different sets are told."""
     if not len(shingles):
         return 0
-    return int(words.mix(np.bitwise_xor.reduce(words.mix(shingles + np.uint64(len(shingles))), keepdims=True) + np.add.reduce(shingles * words._ODD[0])).view(np.int64)[0])
+    spread = words.mix(shingles + np.uint64(len(shingles)) + words._ODD[1] * np.uint64(kind))
+    return int(words.mix(np.bitwise_xor.reduce(spread, keepdims=True) + np.add.reduce(shingles * words._ODD[3 * kind])).view(np.int64)[0])
 
 
 def described(docs: DataFrame, n: int, percent: int, known, times: int = 1) -> DataFrame:
-    """(doc_id, mark, n_shingles, node, prefix): a hash of the text, the set's size, its class, and the shingles whose lists are merged.
+    """(doc_id, mark, n_shingles, node, twin, prefix): a hash of the text, the set's size, its class twice, and the shingles whose lists are merged.
 
     ``known``: broadcast frequent words with their weights, and shingles with long lists. The prefix is ``times`` as long as it must be.
     """
@@ -143,7 +144,7 @@ def described(docs: DataFrame, n: int, percent: int, known, times: int = 1) -> D
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, long = known.value
         for batch in rows:
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes, twins, prefixes = [], [], [], []
             for _, hashes, begins in _batches(batch.column(2)):
                 weight = _weights(hashes, frequent).astype(np.int32)
                 per_word = np.zeros(max(len(hashes) - n + 1, 0), np.int32)
@@ -157,6 +158,7 @@ def described(docs: DataFrame, n: int, percent: int, known, times: int = 1) -> D
                     size = len(found)
                     sizes.append(size)
                     nodes.append(_node(found))
+                    twins.append(_node(found, 1))
                     reach = times * (size - overlap(size, percent) + merged(size, percent))
                     # a set that can have no partner but its equals needs no lists
                     if size and overlap(size + 1, percent) <= size:
@@ -167,9 +169,9 @@ def described(docs: DataFrame, n: int, percent: int, known, times: int = 1) -> D
                         prefixes.append(found[rank[:reach]])
                     else:
                         prefixes.append(found[:0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(prefixes)], ["doc_id", "mark", "n_shingles", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), _lists(prefixes)], ["doc_id", "mark", "n_shingles", "node", "twin", "prefix"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, twin long, prefix array<long>")
 
 
 def long_lists(scratch: Scratch, docs: DataFrame, n: int, percent: int, frequent) -> np.ndarray:
@@ -321,7 +323,7 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     frequent = frequent_words(docs)
     known = spark.sparkContext.broadcast((frequent, long_lists(scratch, docs, shingle, percent, frequent)))
     rows = scratch.keep(described(docs, shingle, percent, known), "rows")
-    nodes = rows.where("n_shingles > 0").select("doc_id", "node")
+    nodes = rows.where("n_shingles > 0").select("doc_id", "node", "twin")
     postings = rows.where("size(prefix) > 0").dropDuplicates(["node"]).select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
     heads = postings.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
     lists = scratch.keep(postings.join(heads, "token"), "lists")
@@ -380,7 +382,7 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     more = scratch.keep(pairs.join(b, "b").join(a, "a").select("a", "b", "p", "q").mapInArrow(_probe(percent), "a long, b long"), "more")
     root = components(scratch, links.union(more), "component")
 
-    least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = nodes.groupBy("node").agg(one_of(F.min("doc_id"), "twin", "sets").alias("least"))
     least = least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = scratch.keep(least.join(of_root, "root").select("node", "root", "component_id"), "result")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.llm import _words as words
-from tallystone.llm._shared import Scratch
+from tallystone.llm._shared import Scratch, one_of
 
 LEAST, GRAM = 50, 8
 #: Suffixes of one run that are compared in one task (in some seconds and 200 MB), and suffixes that a task takes at a time.
@@ -72,7 +72,7 @@ def _kept(least: int, gram: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             counts, keys, places = [], [], []
-            for _, data, off in words.spans(batch.column(2)):
+            for _, data, off in words.spans(batch.column(3)):
                 hashes, begins = words.word_hashes(data, off)
                 found = minimisers(hashes, begins, least, gram)
                 runs = words._runs(hashes, gram)
@@ -84,7 +84,7 @@ def _kept(least: int, gram: int):
                     places.append((at - a).astype(np.int32))
             size = np.append(0, np.cumsum([len(x) for x in keys])).astype(np.int32)
             columns = [pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(x) if x else np.zeros(0, kind)).cast(to)) for x, kind, to in ((([k.view(np.int64) for k in keys]), np.int64, pa.int64()), (places, np.int32, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), *columns], ["doc_id", "mark", "n_words", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), *columns], ["doc_id", "mark", "twin", "n_words", "keys", "places"])
 
     return run
 
@@ -227,11 +227,11 @@ def passages(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int
     """
     scratch = Scratch(spark, "suffix-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    kept = scratch.keep(marked.mapInArrow(_kept(least, gram), "doc_id long, mark long, n_words long, keys array<long>, places array<int>"), "kept")
+    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.xxhash64(F.lit(1), "text").alias("twin"), "text")
+    kept = scratch.keep(marked.mapInArrow(_kept(least, gram), "doc_id long, mark long, twin long, n_words long, keys array<long>, places array<int>"), "kept")
 
-    holders = kept.where(F.col("n_words") >= least).select("mark", "n_words", "doc_id").distinct()
-    texts = holders.groupBy("mark").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("n_words").alias("n_words"))
+    holders = kept.where(F.col("n_words") >= least).select("mark", "twin", "n_words", "doc_id").distinct()
+    texts = holders.groupBy("mark").agg(F.count("*").alias("docs"), one_of(F.min("doc_id"), "twin", "texts").alias("least"), F.max("doc_id").alias("most"), F.max("n_words").alias("n_words"))
     texts = scratch.keep(texts, "texts")
     suffixes = kept.where(F.size("keys") > 0).dropDuplicates(["mark"]).select("mark", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("mark", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
     shared = suffixes.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count("*").alias("n")).where("lo <> hi")

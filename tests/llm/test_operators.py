@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tallystone.llm import _words, decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, quality, suffix_dedup, token_counts, warc
-from tallystone.llm._shared import Scratch, components
+from tallystone.llm._shared import Scratch, components, one_of
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, node string, mark string, id string, a string, n_lines string, n_dropped string"
 
@@ -79,6 +79,13 @@ def test_components(spark):
     assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long"), "c").count() == 0
 
 
+def test_two_things_under_one_key(spark):
+    rows = spark.createDataFrame([(1, 5, 10), (1, 5, 11), (2, 6, 12)], "node long, twin long, doc_id long")
+    assert {r.node: r.least for r in rows.groupBy("node").agg(one_of(F.min("doc_id"), "twin", "sets").alias("least")).collect()} == {1: 10, 2: 12}
+    with pytest.raises(Exception, match="two sets have one key"):
+        rows.union(spark.createDataFrame([(1, 7, 9)], rows.schema)).groupBy("node").agg(one_of(F.min("doc_id"), "twin", "sets").alias("least")).collect()
+
+
 # 1
 
 
