@@ -83,6 +83,10 @@ class Scratch:
         """``df``, which ``keep`` gave for ``name``, with a broadcast hint if its measured size allows it."""
         return F.broadcast(df) if (self.figures[name]["bytes"] or 0) <= BROADCAST_BYTES else df
 
+    def clear(self, *needed: str) -> None:
+        """Drops all tables but those that a result still reads."""
+        self.drop(*(self.figures.keys() - set(needed)))
+
     def drop(self, *names: str) -> None:
         for name in names:
             p, fs = _path(self.spark, self.path(name))

@@ -114,7 +114,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     named = hits.select("keys").distinct().select("keys", F.explode("keys").alias("ids_key")).join(sets, "ids_key").select("keys", F.explode_outer("ids").alias("id"))
     named = named.groupBy("keys").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("keys", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
     named = scratch.keep(hits.join(named, "keys").select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "n_hit", "n_items", "items_sha256"), "named")
-    scratch.drop("items", "prints", "spans", "span-keys", "met", "hits")
+    scratch.clear("named")
     counted = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = counted.join(scratch.small(named, "named"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

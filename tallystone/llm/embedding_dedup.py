@@ -202,7 +202,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     least = scratch.keep(named.groupBy("root").agg(F.min("least").alias("component")), "of-root")
     named = named.join(scratch.small(least, "of-root"), "root").join(counts, named["node"] == counts["a"], "left").select("node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "component")
     named = scratch.keep(named, "named")
-    scratch.drop("described", "distinct", "nodes", "links", "rooted", "of-root", *(f"lists-{k}" for k in range(1, need + 1)))
+    scratch.clear("rows", "named")
     out = rows.select("vec_id", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -489,6 +489,7 @@ def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages(page_id, url, html)``."""
     scratch = Scratch(spark, "html-extraction")
     found = scratch.keep(wrappers(scratch, pages), "wrappers").select(F.col("host").alias("site"), "wrapper")
+    scratch.clear("wrappers")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.join(scratch.small(found, "wrappers"), host(F.col("url")) == F.col("site"), "left").select("page_id", "url", "wrapper", "html")
 

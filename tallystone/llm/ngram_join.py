@@ -387,7 +387,7 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     least = scratch.keep(least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "least")
     of_root = scratch.keep(least.groupBy("root").agg(F.min("least").alias("component_id")), "of-root")
     of_node = scratch.keep(least.join(scratch.small(of_root, "of-root"), "root").select("node", "root", "component_id"), "result")
-    scratch.drop("lists", "stars", "groups", "mixed", "crowds", "drawn", "groups-2", "few", "pairs", "placed", "group-one", "pair-one", "pair-sets", "links", "more", "least", "of-root")
+    scratch.clear("rows", "result")
     out = rows.select("doc_id", "mark", "n_shingles", "node").join(of_node, "node", "left")
     return out.select("doc_id", "mark", "n_shingles", "node", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

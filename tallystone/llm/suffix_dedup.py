@@ -263,7 +263,7 @@ def passages(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int
     begin = met.where("first = 0").select("mark", F.col("lo").alias("l"), F.col("hi").alias("h"))
     whole = copied.join(begin, "mark", "left").select("mark", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("n"), F.coalesce("l", "least").alias("lo"), F.coalesce("h", "most").alias("hi"))
     found = scratch.keep(spans.union(whole), "found")
-    scratch.drop("shared", "wanted", "contexts", "both", "met", "texts")
+    scratch.clear("kept", "found")
     rows = kept.where(F.col("n_words") >= least).select("mark", "doc_id").distinct().join(found, "mark")
     other = F.when(F.col("doc_id").eqNullSafe(F.col("lo")), F.col("hi")).otherwise(F.col("lo"))
     return rows.select("doc_id", F.col("first").cast("long").alias("first_word"), F.col("n").cast("long").alias("n_words"), other.alias("other_doc_id"))
