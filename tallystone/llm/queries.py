@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, oracle, quality, suffix_dedup, token_counts, warc
+from tallystone.llm import collocations, decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, oracle, periodic_runs, quality, suffix_dedup, token_counts, toxic_spans, warc
 from tallystone.llm import pipeline as stages
 from tallystone.llm._shared import Scratch, source
 
@@ -67,10 +67,44 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, source(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document by a model of toxic words, learnt from two thirds of the labels."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs, labels = source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels")
+    found = toxic_spans.score(spark, docs, labels.where(~held_out))
+    score = F.col(toxic_spans.FOUND)["score"]
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score"), (score >= toxic_spans.TOXIC).cast("int").alias("predicted"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best collocations of each language, 2000 at most."""
+    return collocations.mine(spark, source(spark, sf_dir, "documents"))
+
+
+def _with_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, chosen by the id's checksum, the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.withColumn("n", F.nullif(F.size("w"), F.lit(0))).withColumn("a", F.col("g") % F.col("n"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1), lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    return rows.select("doc_id", F.when(F.col("n").isNotNull(), F.array_join(F.transform(places, lambda i: F.get("w", i)), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of each document's words, the strongest one, and digests of all runs and of the text without repeats."""
+    found = periodic_runs.periodic_runs(_with_period(source(spark, sf_dir, "documents"))).select("doc_id", f"{periodic_runs.FOUND}.*")
+    best = F.get("runs", "strongest")
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents."""
     return stages.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_source_mixing, op4_quality_classifier, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_html_extraction, op10_token_counts, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_source_mixing, op4_quality_classifier, op5_embedding_near_dedup, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_suffix_array_dedup, op9_html_extraction, op10_token_counts, op11_toxicity, op12_phrase_collocations, op13_periodic_runs, pipeline)}
 ORACLE_SQL = oracle.ORACLE_SQL
