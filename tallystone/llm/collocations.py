@@ -37,7 +37,7 @@ DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 28
 #: Bytes of text for each cell of a row of the sketch.
 BYTES_A_CELL = 16
 #: Cells of a block of the sketch, phrases whose cells a task holds before it ships them, and counted phrases that it holds.
-BLOCK, BUFFER, HELD = 1 << 16, 1 << 22, 1_500_000
+BLOCK, BUFFER, HELD = 1 << 16, 1 << 21, 500_000
 
 _U = np.uint64
 _ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -220,17 +220,21 @@ def _survivors(sketch, bits: int, longest: int):
                 waiting += tables
                 size += sum(t.num_rows for t in tables)
                 if size >= HELD:
-                    yield from _added(waiting).to_batches()
+                    yield from _added(waiting)
                     waiting, size = [], 0
         if waiting:
-            yield from _added(waiting).to_batches()
+            yield from _added(waiting)
 
     return run
 
 
-def _added(tables: list[pa.Table]) -> pa.Table:
+def _added(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
     held = pa.concat_tables(tables).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")])
-    return held.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
+    tables.clear()
+    held = held.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
+    yield from held.to_batches(max_chunksize=20_000)  # small ones, as Spark holds a batch beside its heap
+    del held
+    pa.default_memory_pool().release_unused()
 
 
 def frequent(spark: SparkSession, scratch: Scratch, docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
