@@ -15,9 +15,10 @@ from tallystone.operators import extraction as ex
 from tallystone.operators import monitoring as mon
 from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
-from tallystone.plans.views import folder, table, view, with_views
+from tallystone.plans.views import table, view, with_views
 from tallystone.schema import ALERT_ROLES, BASELINE_TYPES, MASTER_TYPES, MONITORING_TYPES, PROJECT_STEPS, RESOLVER_ROLES
-from tallystone.sources import files, store
+from tallystone.sources import files, postings, store
+from tallystone.sources.shared import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -308,6 +309,29 @@ def bm25_queries(spark, d):
     return ret.top(scored, "doc_id", 10, by="query_id").select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("exact", 6).alias("score"))
 
 
+def _postings(spark, d):
+    """An index of stored postings, appended to three times; the last append repeats units of the second."""
+    at = folder(spark, "postings")
+    rows = view(spark, d, "v_documents").select("project_id", F.col("id").alias("unit"), F.col("document_type").alias("kind"), "text")
+    for part in ("unit % 3 = 0", "unit % 3 = 1", "unit % 3 > 0"):
+        postings.append(spark, at, rows.where(part))
+    return at
+
+
+@query(ORACLE_SQL["bm25_queries"])
+def bm25_stored(spark, d):
+    projects = view(spark, d, "v_documents").select("project_id").distinct()
+    asked = [projects.select((F.col("project_id") * 10 + i).alias("query_id"), "project_id", F.lit(t).alias("text")) for i, t in _ASKED]
+    hits = postings.Search(spark, _postings(spark, d), functools.reduce(DataFrame.unionByName, asked), k=10).hits
+    return hits.select("query_id", F.col("unit").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"with {_TOK}, {_STATS} select cast(substr(st.source, 4) as int) as project_id, st.n, cast(round(st.n * st.avgdl) as bigint) as words, r.n_terms, round(ep.eps, 9) as eps from st join ep on st.source = ep.source join (select source, count(*) as n_terms from raw group by source) r on st.source = r.source")
+def postings_statistics(spark, d):
+    found = postings.statistics(spark, _postings(spark, d))
+    return found.select("project_id", "n", "words", "n_terms", F.round("eps", 9).alias("eps"))
+
+
 _BASE = "kind in ('EL', 'IFA')"
 
 
@@ -507,6 +531,13 @@ def event_append(spark, d):
     return out.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("select cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) + 1000 as bigint) as id, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem")
+def line_ids(spark, d):
+    lines = table(spark, d, "lineitem")
+    out = store.with_ids(lines, spark.createDataFrame([(1000,)], "id long"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return out.select("id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 # Stores and files
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +39,3 @@ def with_views(sql: str) -> str:
     if body.lower().startswith("with "):
         return f"with {', '.join(own)}, {body[5:]}" if own else body
     return f"with {', '.join(own)} {body}" if own else body
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder for tables that a query writes, in the shared one of the session; without that, a temporary one of a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/tallystone/{name}-{uuid.uuid4().hex}"
