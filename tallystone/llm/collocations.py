@@ -36,8 +36,8 @@ LEAST, LONGEST, INSIDE, TOP = 30, 4, 80, 2000
 DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 28
 #: Bytes of text for each cell of a row of the sketch.
 BYTES_A_CELL = 16
-#: Cells of a block of the sketch, phrases whose cells a task holds before it ships them, and counted phrases that it holds.
-BLOCK, BUFFER, HELD = 1 << 16, 1 << 21, 500_000
+#: Cells of a block of the sketch, phrases whose cells a task holds before it ships them, and phrases that wait to be added up and that it holds added up.
+BLOCK, BUFFER, WAITING, HELD = 1 << 16, 1 << 21, 400_000, 1_500_000
 
 _U = np.uint64
 _ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -219,21 +219,25 @@ def _survivors(sketch, bits: int, longest: int):
                     tables.append(pa.table({"lang": pa.DictionaryArray.from_arrays(pa.array(lang[where].astype(np.int32)), pa.array(names, pa.string())).dictionary_decode(), "phrase": text, "words": pa.array(np.full(len(where), n, np.int32)), "n": pa.array(count)}))
                 waiting += tables
                 size += sum(t.num_rows for t in tables)
-                if size >= HELD:
-                    yield from _added(waiting)
-                    waiting, size = [], 0
+                if size >= WAITING:
+                    waiting, size = [_added(waiting)], 0
+                    if waiting[0].num_rows >= HELD:
+                        yield from _shipped(waiting)
         if waiting:
-            yield from _added(waiting)
+            waiting = [_added(waiting)]
+            yield from _shipped(waiting)
 
     return run
 
 
-def _added(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+def _added(tables: list[pa.Table]) -> pa.Table:
     held = pa.concat_tables(tables).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")])
-    tables.clear()
-    held = held.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
-    yield from held.to_batches(max_chunksize=20_000)  # small ones, as Spark holds a batch beside its heap
-    del held
+    return held.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
+
+
+def _shipped(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """The rows of one table, which leaves the list, in small batches, as Spark holds a batch beside its heap."""
+    yield from tables.pop().to_batches(max_chunksize=20_000)
     pa.default_memory_pool().release_unused()
 
 

@@ -62,14 +62,18 @@ g as (select *, sum(fresh) over (partition by doc_id order by p) as part from o)
 a as (select doc_id, part, min(p) as first_word, max(p) + 50 - min(p) as n_words, arg_min(lo, p) as lo, arg_min(hi, p) as hi from g group by doc_id, part)
 select doc_id, first_word, n_words, case when doc_id = lo then hi else lo end as other_doc_id from a""",
     "op12_phrase_collocations": f"""
-with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
-w as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from p),
-g as (select lang, n, array_to_string(w[i:i + n - 1], ' ') as phrase from (select lang, w, n, unnest(range(1, len(w) - n + 2)) as i from w, (values (1), (2), (3), (4)) v(n) where len(w) >= n) x),
+with d as (select row_number() over () as id, coalesce(lang, 'und') as lang, regexp_split_to_array({_LOW}, '[.,;:!?\\x0A-\\x0D]') as ps from documents),
+p as (select id, lang, unnest(ps) as piece, generate_subscripts(ps, 1) as j from d),
+w as (select id, lang, j, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from p),
+x as (select id, lang, j, unnest(w) as w1, generate_subscripts(w, 1) as i from w),
+y as (select lang, w1, lead(w1, 1) over o as w2, lead(w1, 2) over o as w3, lead(w1, 3) over o as w4 from x window o as (partition by id, j order by i)),
+g as (select lang, 1 as n, w1 as phrase from y union all select lang, 2, w1 || ' ' || w2 from y where w2 is not null union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 from y where w3 is not null union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 from y where w4 is not null),
 f as (select lang, n as words, phrase, count(*) as a from g group by all),
 t as (select lang, sum(a) as n from f where words = 1 group by lang),
 c as (select *, string_split(phrase, ' ') as w from f where words > 1 and a >= 30),
-cuts as (select *, unnest(range(1, words)) as k from c),
-s as (select cuts.lang, cuts.phrase, cuts.a, k, x.a as l, y.a as r, cast(cuts.a as hugeint) * 2000000 // (x.a + y.a) as score from cuts join f x on x.lang = cuts.lang and x.phrase = array_to_string(w[1:k], ' ') join f y on y.lang = cuts.lang and y.phrase = array_to_string(w[k + 1:], ' ')),
+cuts as (select lang, phrase, a, k, lang || chr(1) || array_to_string(w[1:k], ' ') as l_key, lang || chr(1) || array_to_string(w[k + 1:], ' ') as r_key from (select *, unnest(range(1, words)) as k from c) x),
+keyed as (select lang || chr(1) || phrase as key, a as n from f where a >= 30),
+s as (select lang, phrase, a, k, x.n as l, y.n as r, cast(a as hugeint) * 2000000 // (x.n + y.n) as score from cuts join keyed x on x.key = l_key join keyed y on y.key = r_key),
 b as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as rn from s) x where rn = 1),
 sub as (select lang, phrase, max(a) as longer from (select lang, a, array_to_string(w[i:i + n - 1], ' ') as phrase from (select *, unnest(range(1, words - n + 2)) as i from c, (values (2), (3)) v(n) where n < words) x) y group by all),
 k as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank from b left join sub on b.lang = sub.lang and b.phrase = sub.phrase where not coalesce(100 * cast(longer as hugeint) >= 80 * cast(a as hugeint), false))
