@@ -36,6 +36,8 @@ LEAST, LONGEST, INSIDE, TOP = 30, 4, 80, 2000
 DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 28
 #: Bytes of text for each cell of a row of the sketch.
 BYTES_A_CELL = 16
+#: Bytes of text that one task of the second pass counts at most, where there are more tasks than two for each core.
+TASK_BYTES = 1 << 30
 #: Cells of a block of the sketch, phrases whose cells a task holds before it ships them, and phrases that wait to be added up and that it holds added up.
 BLOCK, BUFFER, WAITING, HELD = 1 << 16, 1 << 21, 400_000, 1_500_000
 
@@ -244,7 +246,8 @@ def _shipped(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
 def frequent(spark: SparkSession, scratch: Scratch, docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, words, n): exact counts of all phrases of ``least`` occurrences or more, and, without a phrase, of all words of each language."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    bits = width_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = width_bits(n_bytes)
     shares = texts.mapInArrow(_sketch(bits, longest, least), "slot int, offsets binary, counts binary")
     merged = shares.repartition("slot").mapInArrow(_merge(least), "slot int, bits binary")
     rows = [bytearray(1 << (bits - 3)) for _ in range(DEPTH)]
@@ -253,7 +256,9 @@ def frequent(spark: SparkSession, scratch: Scratch, docs: DataFrame, least: int
         at = (slot & 0xFFFF) * (BLOCK // 8)
         rows[slot >> 16][at : at + len(held)] = held
     sketch = spark.sparkContext.broadcast([bytes(r) for r in rows])
-    counted = texts.mapInArrow(_survivors(sketch, bits, longest), "lang string, phrase string, words int, n bigint")
+    # frequent phrases stand in nearly every task's texts: the more a task adds up, the less is shuffled
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
+    counted = texts.coalesce(tasks).mapInArrow(_survivors(sketch, bits, longest), "lang string, phrase string, words int, n bigint")
     exact = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull())
     return scratch.keep(exact, "frequent")
 
