@@ -40,3 +40,25 @@ def extension(name: Column) -> Column:
 
 def chunk_id(project: Column, document: Column, index: Column) -> Column:
     return F.concat(F.lit("proj_"), project.cast("string"), F.lit("_doc_"), document.cast("string"), F.lit("_chunk_"), index.cast("string"))
+
+
+def two_places(x: Column) -> Column:
+    """A double with two places as C prints it: the binary value is rounded, ties go to even digits.
+
+    Java rounds the shortest decimal text instead. The two differ only where that text ends in a 5 at the third place; there the exact
+    value, a whole number of 2**-60 (2**-50, 2**-40 for larger ones), is held against the tie.
+    """
+    x = x.cast("double")
+    plain = F.format_string("%.2f", x)
+    size = F.abs(x)
+    thousands = F.round(size * 1000).cast("bigint")
+    wide = "decimal(38,0)"
+    # the scaled value is a whole number below 2**63, so the cast to bigint is exact
+    scale = F.when(size < 4, F.lit(1 << 60)).when(size < 4096, F.lit(1 << 50)).otherwise(F.lit(1 << 40))
+    exact = (size * scale.cast("double")).cast("bigint").cast("decimal(19,0)").cast(wide) * F.lit(1000).cast("decimal(4,0)")
+    tie = thousands.cast("decimal(12,0)") * scale.cast("decimal(19,0)")
+    down = ((thousands - 5) / 10).cast("bigint")
+    cents = F.when(exact > tie, down + 1).when(exact < tie, down).otherwise(down + down % 2)
+    sign = F.when(x < 0, "-").otherwise("")
+    text = F.concat(sign, (cents / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when((size < 1e6) & x.cast("string").rlike(r"^-?\d+\.\d\d5$"), text).otherwise(plain)

@@ -60,6 +60,24 @@ def allowed(users: DataFrame, user_id: int, roles: list[str]) -> DataFrame:
     return users.where((F.col("id") == user_id) & F.col("role").isin(roles) & active).select(F.col("id").alias("actor")).limit(1)
 
 
+def permissions(users: DataFrame, gates: dict[str, list[str]]) -> DataFrame:
+    """(user_id, action) of everything that active users may do by their role."""
+    active = F.coalesce(F.col("is_active"), F.lit(True)) if "is_active" in users.columns else F.lit(True)
+    may = [F.when(F.col("role").isin(roles), F.lit(action)) for action, roles in gates.items()]
+    return users.where(active).select(F.col("id").alias("user_id"), F.explode(F.array_compact(F.array(*may))).alias("action"))
+
+
+def refused(attempts: DataFrame, users: DataFrame, gates: dict[str, list[str]]) -> DataFrame:
+    """``attempts(user_id, action, ...)`` with ``error``: an unknown user, one that is not active, a role that may not, an action without a gate; null where it may go on."""
+    active = F.coalesce(F.col("is_active"), F.lit(True)) if "is_active" in users.columns else F.lit(True)
+    able = F.lit(False)
+    for action, roles in gates.items():
+        able = able | ((F.col("action") == action) & F.col("_role").isin(roles))
+    known = users.select(F.col("id").alias("user_id"), F.col("role").alias("_role"), active.alias("_active"))
+    error = F.when(F.col("_active").isNull(), "unknown user").when(~F.col("_active"), "inactive user").when(~F.coalesce(able, F.lit(False)), "not permitted")
+    return attempts.join(known, "user_id", "left").select(*attempts.columns, error.alias("error"))
+
+
 def move(rows: DataFrame, column: str, changes: DataFrame, steps: dict[str, list[str]], actor: DataFrame | None = None) -> DataFrame:
     """``rows(id, column, ...)`` after ``changes(id, to)``, one for each id at most, and ``moved``: whether it was made.
 

@@ -204,3 +204,32 @@ def shared_words(query: Column, text: Column) -> Column:
     """A scorer without a model: the share of the query's words that a text has; null for a query without words."""
     asked = F.array_distinct(tokens(query))
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, tokens(text))) / F.size(asked))
+
+
+def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A scorer for ``retrieve`` from a model of (queries, texts), made once for each Python worker; what it raises on is null, and ends nothing.
+
+    A batch that fails is scored pair by pair, so that only the pairs at fault lose their score; their queries keep the fused order.
+    """
+    held: list = []
+
+    def one(query: str, text: str) -> float | None:
+        try:
+            return float(held[0]([query], [text])[0])
+        except Exception:  # the missing score says so
+            return None
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for queries, texts in batches:
+            asked, found = queries.fill_null("").to_pylist(), texts.fill_null("").to_pylist()
+            try:
+                if not held:
+                    held.append(load())
+                scores = [float(x) for x in held[0](asked, found)]
+                if len(scores) != len(found):
+                    raise ValueError("a score for each pair")
+            except Exception:
+                scores = [one(q, t) if held else None for q, t in zip(asked, found, strict=True)]
+            yield pa.array(scores, pa.float64())
+
+    return lambda query, text: F.arrow_udf(run, "double")(query, text)

@@ -16,9 +16,10 @@ from tallystone.operators import monitoring as mon
 from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
 from tallystone.plans.views import table, view, with_views
-from tallystone.schema import ALERT_ROLES, BASELINE_TYPES, MASTER_TYPES, MONITORING_TYPES, PROJECT_STEPS, RESOLVER_ROLES
-from tallystone.sources import files, postings, store
+from tallystone.schema import ALERT_ROLES, BASELINE_TYPES, GATES, MASTER_TYPES, MONITORING_TYPES, PROJECT_STEPS, REQUEST_STEPS, RESOLVER_ROLES
+from tallystone.sources import answers, files, postings, store, vectors
 from tallystone.sources.shared import folder
+from tallystone.streaming import documents, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -332,6 +333,21 @@ def postings_statistics(spark, d):
     return found.select("project_id", "n", "words", "n_terms", F.round("eps", 9).alias("eps"))
 
 
+_PAIR = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (cast(z[1] as double) - cast(z[2] as double)) * (cast(z[1] as double) - cast(z[2] as double))))"
+
+
+@query(f"select query_id, vec_id, round(distance, 6) as distance, rank from (select *, cast(row_number() over (partition by query_id order by round(distance, 9), vec_id) as bigint) as rank from (select q.vec_id as query_id, e.vec_id, {_PAIR} as distance from embeddings q join embeddings e on e.label % 2 = q.label % 2 and e.label > 1 where q.vec_id % 100 = 0) t) u where rank <= 10")
+def vector_lists(spark, d):
+    at = folder(spark, "vectors")
+    rows = table(spark, d, "embeddings").select((F.col("label") % 2).alias("by"), F.col("vec_id").alias("unit"), F.col("label").cast("string").alias("kind"), "embedding")
+    vectors.fit(spark, at, rows)
+    for part in ("unit % 2 = 0", "unit % 2 = 1"):
+        vectors.append(spark, at, rows.where(part))
+    asked = rows.where("unit % 100 = 0").select(F.col("unit").alias("query_id"), "by", F.col("embedding").alias("vector"))
+    hits = vectors.Search(spark, at, asked, where=F.col("kind").cast("int") > 1).hits
+    return hits.select("query_id", F.col("unit").alias("vec_id"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 _BASE = "kind in ('EL', 'IFA')"
 
 
@@ -355,6 +371,26 @@ def search_baseline(spark, d):
     return found.select("query_id", "unit", F.round("score", 9).alias("score"), F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _faulty():
+    """A model that likes short texts, and fails on queries that name an odd number."""
+
+    def score(queries, texts):
+        if any(int(q.rsplit(" ", 1)[1]) % 2 for q in queries):
+            raise RuntimeError("no model")
+        return [1 / (1 + len(t)) for t in texts]
+
+    return score
+
+
+@query(f"""with u as (select id as unit, project_id, length(text) as n, row_number() over (partition by project_id order by id) as place, embedding from v_documents d join embeddings e on d.id = e.vec_id),
+de as (select * from (select project_id, unit, n, row_number() over (partition by project_id order by {_DIST}, unit) place from u) t where place <= 10)
+select project_id as query_id, unit, cast(row_number() over (partition by project_id order by case when project_id % 2 = 0 then n end, place) as bigint) as rank from de qualify rank <= 8""")
+def rerank_failing(spark, d):
+    units = view(spark, d, "v_documents").select(F.col("id").alias("unit"), "project_id", F.col("document_type").alias("kind"), "text").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "embedding"), "unit")
+    asked = units.select("project_id").distinct().select(F.col("project_id").alias("query_id"), "project_id", F.concat(F.lit("zzzz "), (F.col("project_id") + 1_000_000).cast("string")).alias("text"), F.array(*(F.lit(x) for x in _VECTOR)).alias("vector"))
+    return ret.search_documents(units, asked, scorer=ret.model_scorer(_faulty)).select("query_id", "unit", F.col("rank").cast("long").alias("rank"))
+
+
 def _counting():
     return lambda texts: [[float(len(t)), float(len(t.split(" ")))] for t in texts]
 
@@ -524,6 +560,38 @@ def project_moves(spark, d):
     return rel.move(begin, "monitoring_status", changes, PROJECT_STEPS)
 
 
+_REQUEST_STATES = [*REQUEST_STEPS, "APPROVED_CHANGE", "REJECTED"]
+_REQUEST_MOVES = " or ".join(f"(b = '{x}' and e in ({', '.join(repr(y) for y in ys)}))" for x, ys in REQUEST_STEPS.items())
+
+
+@query(f"select id, case when {_REQUEST_MOVES} then e else b end as request_status, coalesce({_REQUEST_MOVES}, false) as moved from (select id, list_extract({_REQUEST_STATES}, cast(id % 4 + 1 as int)) as b, case when id % 5 > 0 then list_extract({_REQUEST_STATES}, cast(id // 4 % 4 + 1 as int)) end as e from v_requests) t")
+def request_moves(spark, d):
+    states = F.array(*(F.lit(x) for x in _REQUEST_STATES))
+    rows = view(spark, d, "v_requests").select("id")
+    begin = rows.select("id", F.get(states, (F.col("id") % 4).cast("int")).alias("request_status"))
+    changes = rows.where("id % 5 > 0").select("id", F.get(states, F.expr("cast(id div 4 % 4 as int)")).alias("to"))
+    return rel.move(begin, "request_status", changes, REQUEST_STEPS)
+
+
+_GATE_ROWS = ", ".join(f"('{a}', '{r}')" for a, rs in GATES.items() for r in rs)
+
+
+@query(f"select u.id as user_id, g.action from v_users u join (values {_GATE_ROWS}) g(action, role) on u.role = g.role where u.id % 3 <> 0")
+def permissions(spark, d):
+    return rel.permissions(view(spark, d, "v_users").withColumn("is_active", F.col("id") % 3 != 0), GATES)
+
+
+_GATED = " or ".join(f"(action = '{a}' and role in ({', '.join(repr(r) for r in rs)}))" for a, rs in GATES.items())
+_ACTIONS = [*GATES, "delete_project"]
+
+
+@query(f"select event_id, user_id, action, case when role is null then 'unknown user' when user_id % 3 = 0 then 'inactive user' when not ({_GATED}) then 'not permitted' end as error from (select e.*, u.role from (select event_id, user_id, list_extract({_ACTIONS}, cast(event_id % {len(_ACTIONS)} + 1 as int)) as action from events) e left join v_users u on e.user_id = u.id) t")
+def gate_attempts(spark, d):
+    actions = F.array(*(F.lit(x) for x in _ACTIONS))
+    attempts = table(spark, d, "events").select("event_id", "user_id", F.get(actions, (F.col("event_id") % len(_ACTIONS)).cast("int")).alias("action"))
+    return rel.refused(attempts, view(spark, d, "v_users").withColumn("is_active", F.col("id") % 3 != 0), GATES)
+
+
 @query(f"select (select max(id) from v_events) + row_number() over (order by c_nationkey, c_mktsegment, c_name) as id, cast(c_nationkey as int) as project_id, c_mktsegment as event_type, c_name as event_summary, case when c_custkey % 2 = 0 then 0.25e0 else 0.5e0 end as importance_score, '{_NOW}' as created_at from customer")
 def event_append(spark, d):
     new = table(spark, d, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_mktsegment").alias("event_type"), F.col("c_name").alias("event_summary"), F.when(F.col("c_custkey") % 2 == 0, 0.25).alias("importance_score"))
@@ -583,6 +651,68 @@ def json_retry(spark, d):
     return ex.generate_json(rows, "prompt", _stubborn).select("id", F.get_json_object("payload", "$.n").alias("n"), "payload_error")
 
 
+def _moody():
+    """A client that counts the words of a prompt, answers in prose first if there are many, and fails on every seventh length."""
+
+    def ask(prompt):
+        lines = prompt.split("\n")
+        n = len(lines[0].split(" "))
+        if n % 7 == 0:
+            raise RuntimeError(f"overloaded by {n}")
+        return "Let me see" if n % 5 == 0 and len(lines) == 1 else json.dumps({"n": n})
+
+    return ask
+
+
+@query("select conv_id, turn, case when n % 7 <> 0 then cast(n as varchar) end as n, case when n % 7 = 0 then 'overloaded by ' || n end as error from (select conv_id, turn, len(string_split(replace(text, chr(10), ' '), ' ')) as n from conversations) t")
+def answers_resumed(spark, d):
+    """Half of the prompts are asked in a first run, as if it had been cut short; the second asks for the rest and what failed."""
+    at = folder(spark, "answers")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "\n", " ").alias("prompt"))
+    for part in ("conv_id % 2 = 0", "true"):
+        answers.ask(spark, at, rows.where(part), "prompt", _moody, as_json=True, batch=50_000)
+    out = answers.answered(spark, at, rows, "prompt")
+    return out.select("conv_id", "turn", F.get_json_object("payload", "$.n").alias("n"), F.col("payload_error").alias("error"))
+
+
+def _picky():
+    def send(row):
+        if row["email"].startswith("supplier#000000003"):
+            raise ConnectionError("mailbox full")
+
+    return send
+
+
+@query(f"select project_id, item_type, reference_id, email, not starts_with(email, 'supplier#000000003') as sent, case when starts_with(email, 'supplier#000000003') then 'mailbox full' end as error from (select distinct t.project_id, t.item_type, t.reference_id, s.email from v_tracker t join v_stakeholders s on t.project_id = s.project_id where t.item_type = 'NEW_REQUEST' and t.risk_score >= 0.99e0 and s.role in ({_ROLES})) x")
+def alert_ledger(spark, d):
+    """Alerts of the highest risk as two batches of which the second repeats the first; each is sent once."""
+    at = folder(spark, "ledger")
+    outbox = mon.alerts(view(spark, d, "v_tracker").where("risk_score >= 0.99"), view(spark, d, "v_stakeholders"))
+    for number, part in enumerate(("project_id % 2 = 0", "true")):
+        ledger.send_batch(outbox.where(part), number, at, _picky)
+    found = ledger.ledger(spark, at).withColumn("a", F.from_json("alert", outbox.schema))
+    return found.select("a.project_id", "a.item_type", "a.reference_id", "a.email", "sent", "error")
+
+
+@query("select project_id, doc_id as document_id, case when doc_id % 4 = 3 or (doc_id % 4 = 1) then 'FAILED' else 'COMPLETED' end as processing_status, case doc_id % 4 when 3 then 'Unsupported file format' when 1 then 'not a document' end as error_message, case when doc_id % 4 in (0, 2) then strlen(coalesce(text, '')) end as n_bytes from (select doc_id, cast(substr(source, 4) as bigint) as project_id, text from documents) t")
+def document_machine(spark, d):
+    """Documents landed as files of four types and followed by a stream in two runs; the parsers are the caller's."""
+    at = folder(spark, "machine")
+    name = F.concat(F.lit("file"), F.col("doc_id").cast("string"), F.element_at(F.array(*(F.lit(x) for x in (".txt", ".docx", ".TXT", ".md"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    rows = table(spark, d, "documents").select(F.expr("cast(substr(source, 4) as bigint)").alias("project_id"), F.col("doc_id").alias("document_id"), name.alias("document_name"), F.lit("EL").alias("document_type"), F.lit(USER).cast("long").alias("uploaded_by"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+    def refuse(_):
+        raise ValueError("not a document")
+
+    for part in ("document_id % 2 = 0", "document_id % 2 = 1"):
+        documents.land(rows.where(part), f"{at}/landed")
+        documents.start_documents(spark, f"{at}/landed", f"{at}/states", f"{at}/checkpoint", {".docx": refuse}).awaitTermination()
+    found = spark.read.parquet(f"{at}/states")
+    last = documents.final_states(found).select("project_id", "document_id", "processing_status", "error_message", "storage_key")
+    texts = found.where("text is not null").groupBy("storage_key").agg(F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
+    return last.join(texts, "storage_key", "left").select(F.col("project_id").cast("long").alias("project_id"), "document_id", "processing_status", "error_message", "n_bytes")
+
+
 @query("select 'nation' as name, cast(0 as bigint) as n union all select 'region', count(*) from region")
 def truncated(spark, d):
     at = {t: folder(spark, t) for t in ("nation", "region")}
