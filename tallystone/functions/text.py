@@ -46,7 +46,7 @@ def two_places(x: Column) -> Column:
     """A double with two places as C prints it: the binary value is rounded, ties go to even digits.
 
     Java rounds the shortest decimal text instead. The two differ only where that text ends in a 5 at the third place; there the exact
-    value, a whole number of 2**-60 (2**-50, 2**-40 for larger ones), is held against the tie.
+    value, a whole number of 2**-60 (2**-50, 2**-40 for larger ones), is held against the tie. From a million on Java's rounding stays.
     """
     x = x.cast("double")
     plain = F.format_string("%.2f", x)

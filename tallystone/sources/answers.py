@@ -8,11 +8,11 @@ rows has many times is asked once. Failed prompts are rows with an error; they a
 from __future__ import annotations
 
 import json
-import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as TooLate
 from datetime import datetime, timezone
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,8 +33,8 @@ def http_client(url: str, model: str, timeout: float = TIMEOUT) -> Callable[[],
     def connect() -> Client:
         def ask(prompt: str) -> str:
             body = json.dumps({"model": model, "prompt": prompt, "stream": False}).encode()
-            request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
-            with urllib.request.urlopen(request, timeout=timeout) as reply:
+            request = Request(url, body, {"Content-Type": "application/json"})
+            with urlopen(request, timeout=timeout) as reply:
                 return json.load(reply).get("response", "")
 
         return ask
