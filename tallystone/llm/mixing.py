@@ -3,9 +3,11 @@ r"""Mixing sources to target weights by Sainte-Lague apportionment of equal bloc
 Every word run ``[^\x20\x09-\x0D]+`` counts one. Sources have weights; their targets share ``share`` of all words in
 proportion, but none takes more than ``most`` times what it has: the excess is shared again by weight among the others.
 Targets become whole blocks of ``block`` words by highest quotients target / (2k + 1); each source's blocks go to its
-shards in the same way, by the shards' words. In a shard the documents stand in seeded order and their words form
-blocks; a quota of q of n blocks takes every block q // n times and, by seeded choice, q % n blocks once more. What
-a document gives is what its words have in those blocks, so it never gives more than ``most`` times its size.
+shards in the same way, by the shards' words. What whole blocks leave of a target, because targets are no whole blocks and a shard's last
+block may be short, is added to or taken from the quotas of the source's largest shards, word by word: a source gives its target, rounded. In a
+shard the documents stand in seeded order and their words form blocks; a quota takes all words as often as it holds them all, and then
+blocks by seeded choice, the last of them in part. What a document gives is what its words have in those blocks, so it
+never gives more than ``most`` times its size.
 
 Scale: a narrow table of sizes is written once; texts are never shuffled. The driver sees one row for each source (the
 mix's own specification has as many) and one for each shard, of which a source has 4096 at most; a shard is a hash
@@ -52,7 +54,8 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MOST,
         for i in full:
             out[i] = float(most * sizes[i])
         left -= sum(out[i] for i in full)
-        free = [i for i in free if out[i] == 0.0 and i not in set(full)]
+        done = set(full)
+        free = [i for i in free if i not in done]
     return out
 
 
@@ -88,23 +91,37 @@ def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int] | None
     return won
 
 
+def fill(goal: float, sizes: Sequence[int], seats: Sequence[int], block: int = BLOCK, most: int = MOST) -> list[int]:
+    """Words that each shard of a source gives: its seats' blocks, with the words that these miss of the goal, or have too many, at the largest shards."""
+    held = [min(k * block, most * n) for k, n in zip(seats, sizes, strict=True)]
+    gap = round(goal) - sum(held)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        if not gap:
+            break
+        step = min(gap, most * sizes[i] - held[i]) if gap > 0 else -min(-gap, held[i])
+        held[i] += step
+        gap -= step
+    return held
+
+
 def taken(sizes: np.ndarray, quota: int, block: int, seed: int) -> np.ndarray:
-    """Words that each document of a shard gives, in the given order, for a quota of blocks."""
+    """Words that each document of a shard gives, in the given order, for a quota of words."""
     total = int(sizes.sum())
     n = -(-total // block)
     if not n:
         return np.zeros(len(sizes), np.int64)
-    every, more = divmod(quota, n)
+    every, more = divmod(quota, total)
     ranks = words.mix(np.arange(n, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
-    chosen = np.zeros(n, bool)
-    if more:
-        chosen[np.argpartition(ranks, more - 1)[:more]] = True
+    order = np.argsort(ranks, kind="stable")
     length = np.full(n, block, np.int64)
     length[-1] = total - block * (n - 1)
-    before = np.append(0, np.cumsum(np.where(chosen, length, 0)))
+    # whole blocks in seeded order, the first words of the last one
+    part = np.zeros(n + 1, np.int64)
+    part[order] = np.clip(more - np.append(0, np.cumsum(length[order])[:-1]), 0, length[order])
+    before = np.append(0, np.cumsum(part[:-1]))
     ends = np.append(0, np.cumsum(sizes))
     at = ends // block
-    covered = before[at] + np.where(np.append(chosen, False)[at], ends - at * block, 0)
+    covered = before[at] + np.minimum(ends - at * block, part[at])
     return every * sizes + np.diff(covered)
 
 
@@ -130,7 +147,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights: Callable[[Sequence[str |
     quotas = []
     for i, x in enumerate(held):
         keys = sorted(x)
-        quotas += [(i, k, q) for k, q in zip(keys, sainte_lague([x[k] for k in keys], won[i], [most * -(-x[k] // block) for k in keys]), strict=True)]
+        own = [x[k] for k in keys]
+        seats = sainte_lague(own, won[i], [most * -(-n // block) for n in own])
+        quotas += [(i, k, q) for k, q in zip(keys, fill(goal[i], own, seats, block, most), strict=True)]
     quota = spark.createDataFrame(quotas, "at int, shard int, quota long")
 
     def choose(table: pa.Table) -> pa.Table:
