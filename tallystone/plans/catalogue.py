@@ -17,7 +17,7 @@ from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
 from tallystone.plans.views import table, view, with_views
 from tallystone.schema import ALERT_ROLES, BASELINE_TYPES, GATES, MASTER_TYPES, MONITORING_TYPES, PROJECT_STEPS, REQUEST_STEPS, RESOLVER_ROLES
-from tallystone.sources import answers, files, postings, store, vectors
+from tallystone.sources import answers, changelog, files, postings, store, vectors
 from tallystone.sources.shared import folder
 from tallystone.streaming import documents, ledger
 
@@ -606,6 +606,46 @@ def line_ids(spark, d):
     return out.select("id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+def _resolved_log(spark, d, compacted):
+    """Tracker items as a log: two appends of resolutions, the second over rows of the first, with or without compaction between."""
+    log = changelog.ChangeLog(spark, folder(spark, "tracker"))
+    events = view(spark, d, "v_events")
+    blank = [F.lit(None).cast(k).alias(c) for c, k in (("resolution", "string"), ("resolved_by", "bigint"), ("resolved_at", "timestamp_ntz"))]
+    log.create(events.select("id", "project_id", F.lit("OPEN").alias("status"), *blank))
+    actor = rel.allowed(view(spark, d, "v_users"), ACTOR, RESOLVER_ROLES)
+    for kinds, how in ((["error", "view"], F.lit("first")), (["error"], F.col("event_summary"))):
+        changes = events.where(F.col("event_type").isin(kinds)).select("id", "project_id", how.alias("resolution"), F.lit("RESOLVED").alias("status"))
+        items = log.read()
+        after = rel.resolve(items, changes, actor, F.lit(_NOW).cast("timestamp_ntz"))
+        log.append(after.join(changes.select("id"), "id", "left_semi").where("resolved_by is not null").select(items.columns))
+        if compacted:
+            log.compact()
+    return log.read().select("id", "project_id", "resolution", "status", "resolved_by", F.date_format("resolved_at", "yyyy-MM-dd HH:mm:ss").alias("resolved_at"))
+
+
+_LOGGED = f"select e.id, e.project_id, case when a.id is not null then case e.event_type when 'error' then e.event_summary else 'first' end end as resolution, case when a.id is not null then 'RESOLVED' else 'OPEN' end as status, a.id as resolved_by, case when a.id is not null then '{_NOW}' end as resolved_at from v_events e left join v_users a on a.id = {ACTOR} and a.role in ({_RESOLVERS}) and e.event_type in ('error', 'view')"
+
+
+@query(_LOGGED)
+def tracker_log(spark, d):
+    return _resolved_log(spark, d, False)
+
+
+@query(_LOGGED)
+def tracker_log_compacted(spark, d):
+    return _resolved_log(spark, d, True)
+
+
+@query("select * from (select project_id, id, event_type, cast(row_number() over (partition by project_id order by created_at desc, id desc) as bigint) rn from v_events) t where rn <= 20")
+def recent_kept(spark, d):
+    """The newest events of each project from a state that four appends have built, the last of them again."""
+    events = view(spark, d, "v_events")
+    state = changelog.Recent(spark, folder(spark, "recent"), "project_id", mon.RECENT, F.desc("created_at"), F.desc("id"))
+    for part in ("id % 4 = 2", "id % 4 = 0", "id % 4 = 3", "id % 4 = 1", "id % 4 = 1"):
+        state.append(events.where(part))
+    return state.read().select("project_id", "id", "event_type", F.col("rn").cast("long").alias("rn"))
+
+
 # Stores and files
 
 

@@ -14,7 +14,7 @@ from tallystone.functions.text import two_places
 from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
 from tallystone.schema import GATES
-from tallystone.sources import answers, postings, store, vectors
+from tallystone.sources import answers, changelog, postings, store, vectors
 from tallystone.sources.shared import exists
 from tallystone.streaming import documents, ledger
 
@@ -331,3 +331,60 @@ def test_gates(spark):
     tries = spark.createDataFrame([(1, "create_user"), (1, "resolve_item"), (2, "create_user"), (3, "resolve_item"), (4, "create_user"), (5, "x"), (1, None)], "user_id int, action string")
     got = {(r.user_id, r.action): r.error for r in rel.refused(tries, users, GATES).collect()}
     assert got == {(1, "create_user"): None, (1, "resolve_item"): "not permitted", (2, "create_user"): "inactive user", (3, "resolve_item"): None, (4, "create_user"): "not permitted", (5, "x"): "unknown user", (1, None): "not permitted"}
+
+
+# change logs and newest rows
+
+
+def test_change_log(spark, tmp_path):
+    rng = random.Random(6)
+    log = changelog.ChangeLog(spark, str(tmp_path / "log"))
+    kind = "id int, status string, note string"
+    truth = {i: ("OPEN", None) for i in range(200)}
+    log.create(spark.createDataFrame([(i, *v) for i, v in truth.items()], kind))
+    assert log.compact() == []
+    for step in range(5):
+        changed = {i: (f"S{step}", rng.choice([None, "n"])) for i in rng.sample(range(210), 3 if step == 3 else 25)}
+        truth |= changed
+        log.append(spark.createDataFrame([(i, *v) for i, v in changed.items()], kind))
+        assert {r.id: (r.status, r.note) for r in log.read().collect()} == truth
+        if step in (1, 3):
+            touched = log.compact()
+            assert {r.id: (r.status, r.note) for r in log.read().collect()} == truth
+    assert len(touched) < changelog.BUCKETS  # what did not change was left alone
+
+
+def test_a_compaction_that_was_cut_short(spark, tmp_path, monkeypatch):
+    log = changelog.ChangeLog(spark, str(tmp_path / "log"))
+    log.create(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"))
+    log.append(spark.createDataFrame([(1, "c")], "id int, v string"))
+    kept = str(tmp_path / "log" / "log")
+    with monkeypatch.context() as m:
+        real = changelog.remove
+        m.setattr(changelog, "remove", lambda s, p: (_ for _ in ()).throw(OSError) if p == kept else real(s, p))
+        with pytest.raises(OSError):
+            log.compact()
+    assert sorted(map(tuple, log.read().collect())) == [(1, "c"), (2, "b")]
+    log.append(spark.createDataFrame([(1, "d")], "id int, v string"))
+    log.compact()
+    assert sorted(map(tuple, log.read().collect())) == [(1, "d"), (2, "b")] and not exists(spark, kept)
+
+
+def test_newest_rows_after_random_appends(spark, tmp_path):
+    rng = random.Random(7)
+    kind = "project_id int, id int, at int"
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.randrange(50)) for i in range(300)]
+    state = changelog.Recent(spark, str(tmp_path / "recent"), "project_id", 5, F.desc("at"), F.desc("id"))
+    rng.shuffle(rows)
+    for i in range(0, 300, 75):
+        state.append(spark.createDataFrame(rows[i : i + 75], kind))
+    state.append(spark.createDataFrame(rows[:75], kind))  # again
+    want = {p: [i for _, i in sorted(((a, i) for q, i, a in rows if q == p), reverse=True)[:5]] for p in (1, 2, None)}
+    got = state.read().orderBy("project_id", "rn").collect()
+    assert {p: [r.id for r in got if r.project_id == p] for p in want} == want
+    # as a stream, over two runs
+    other, source = changelog.Recent(spark, str(tmp_path / "streamed"), "project_id", 5, F.desc("at"), F.desc("id")), str(tmp_path / "in")
+    for i in (0, 150):
+        spark.createDataFrame(rows[i : i + 150], kind).coalesce(1).write.mode("append").parquet(source)
+        other.follow(spark.readStream.schema(kind).parquet(source), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(map(str, other.read().collect())) == sorted(map(str, state.read().collect()))
