@@ -39,7 +39,7 @@ BYTES_A_CELL = 16
 #: Bytes of text that one task of the second pass counts at most, where there are more tasks than two for each core.
 TASK_BYTES = 1 << 30
 #: Cells of a block of the sketch, phrases whose cells a task holds before it ships them, and phrases that wait to be added up and that it holds added up.
-BLOCK, BUFFER, WAITING, HELD = 1 << 16, 1 << 21, 300_000, 1_000_000
+BLOCK, BUFFER, WAITING, HELD = 1 << 16, 1 << 21, 150_000, 500_000
 
 _U = np.uint64
 _ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -234,13 +234,14 @@ def _survivors(sketch, bits: int, longest: int):
 
 def _added(tables: list[pa.Table]) -> pa.Table:
     held = pa.concat_tables(tables).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")])
+    tables.clear()
+    pa.default_memory_pool().release_unused()
     return held.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
 
 
 def _shipped(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
     """The rows of one table, which leaves the list, in small batches, as Spark holds a batch beside its heap."""
     yield from tables.pop().to_batches(max_chunksize=20_000)
-    pa.default_memory_pool().release_unused()
 
 
 def frequent(spark: SparkSession, scratch: Scratch, docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
