@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tallystone.functions.json_text import field as variant_field
+from tallystone.functions.json_text import items as variant_items
 from tallystone.functions.json_text import or_default, parse
 from tallystone.functions.text import prompt_prefix
 
@@ -95,3 +97,18 @@ def first_named(item: Column, *keys: str) -> Column:
     for key in reversed(keys):
         out = F.when(F.map_contains_key(held, key), F.element_at(held, key)).otherwise(out)
     return out
+
+
+def variant_rows(df: DataFrame, document: str, lists: dict[str, dict[str, str | None]], keep: list[str]) -> DataFrame:
+    """(keep, list, pos, fields) for each element of each named array field of a VARIANT column, in one pass over the rows.
+
+    ``fields`` is a map of the list's keys, with the default of those that the element lacks. A document is parsed once, whatever the number of lists and
+    keys; lists that are absent or no arrays give nothing.
+    """
+
+    def filled_in(name: str, defaults: dict[str, str | None]) -> Column:
+        one = lambda x: F.create_map(*(c for k, v in defaults.items() for c in (F.lit(k), variant_field(x, k, v))))
+        return F.transform(variant_items(F.col(document), name), lambda x, i: F.struct(F.lit(name).alias("list"), i.alias("pos"), one(x).alias("fields")))
+
+    found = F.concat(*(F.coalesce(filled_in(n, d), F.array().cast("array<struct<list:string,pos:int,fields:map<string,string>>>")) for n, d in lists.items()))
+    return df.select(*keep, F.inline(found))

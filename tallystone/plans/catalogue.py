@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.functions import text as tx
+from tallystone.functions import json_text as js
 from tallystone.functions.json_text import or_default, strict_json
 from tallystone.operators import extraction as ex
 from tallystone.operators import monitoring as mon
@@ -412,6 +413,14 @@ def scope_explode(spark, d):
     return ex.explode_items(rows, F.col("payload"), "scope_items", ["id"]).select("id", "pos", *ex.filled(F.col("item"), ex.SCOPE_ITEM))
 
 
+@query(ORACLE_SQL["scope_explode"])
+def scope_variant(spark, d):
+    """The rows of scope_explode from payloads that are parsed once."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), js.payload(F.expr(_SCOPE)).alias("payload"))
+    found = ex.variant_rows(rows, "payload", {"scope_items": ex.SCOPE_ITEM, "deliverables": ex.DELIVERABLE, "stakeholders": ex.STAKEHOLDER}, ["id"])
+    return found.where("list = 'scope_items'").select("id", "pos", *(F.col("fields")[k].alias(k) for k in ex.SCOPE_ITEM))
+
+
 @query("select conv_id, turn, kind, role as name from (select conv_id, turn, role, unnest(['activity', 'request']) as kind from conversations) t")
 def status_explode(spark, d):
     text = F.to_json(F.struct(F.array(F.struct(F.col("role").alias("activity_name"))).alias("activities"), F.array(F.struct(F.col("role").alias("request_name"))).alias("new_requests")))
@@ -426,6 +435,12 @@ def default_fill(spark, d):
     return table(spark, d, "events").select("event_id", or_default(F.col("props"), "k", "none").alias("k"), or_default(F.col("props"), "name", "Unknown").alias("name"), deadline.alias("deadline"))
 
 
+@query("select event_id, coalesce(json_extract_string(props, '$.k'), 'none') as k, 'Unknown' as name from events")
+def default_variant(spark, d):
+    rows = table(spark, d, "events").select("event_id", js.payload(F.col("props")).alias("p"))
+    return rows.select("event_id", js.field(F.col("p"), "k", "none").alias("k"), js.field(F.col("p"), "name", "Unknown").alias("name"))
+
+
 @query("select p_partkey as id, case p_partkey % 3 when 0 then p_name when 1 then p_brand else '' end as query_text from part")
 def risk_query_text(spark, d):
     item = F.expr("""case p_partkey % 3 when 0 then to_json(named_struct('activity_name', p_name)) when 1 then to_json(named_struct('request_name', p_brand)) else '{}' end""")

@@ -10,7 +10,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tallystone.functions import json_text as js
 from tallystone.functions.text import two_places
+from tallystone.operators import extraction as ex
 from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
 from tallystone.schema import GATES
@@ -388,3 +390,17 @@ def test_newest_rows_after_random_appends(spark, tmp_path):
         spark.createDataFrame(rows[i : i + 150], kind).coalesce(1).write.mode("append").parquet(source)
         other.follow(spark.readStream.schema(kind).parquet(source), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(map(str, other.read().collect())) == sorted(map(str, state.read().collect()))
+
+
+# payloads
+
+
+def test_variant_payloads(spark):
+    cases = ['{"k": "v", "n": 5, "l": [{"a": 1}, {"b": null}, 7]}', '{"k": null, "l": {}}', "{}", None, "no json", 'x {"k": NaN} y', '{"l": null}', '[1]', '{"k": {"x": 1}}']
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string").coalesce(1).select("i", js.payload(F.col("t")).alias("p"))
+    got = [tuple(r) for r in df.select(js.field(F.col("p"), "k", "d"), js.field(F.col("p"), "n", None)).collect()]
+    assert got == [("v", "5"), (None, None), ("d", None), ("d", None), ("d", None), ("NaN", None), ("d", None), ("d", None), ('{"x":1}', None)]
+    rows = ex.variant_rows(df, "p", {"l": {"a": "x", "b": "y"}, "none": {"a": "z"}}, ["i"])
+    assert [(r.i, r.list, r.pos, r.fields) for r in rows.collect()] == [(0, "l", 0, {"a": "1", "b": "y"}), (0, "l", 1, {"a": "x", "b": None}), (0, "l", 2, {"a": "x", "b": "y"})]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") <= 1 and plan.count("_constants_as_text_all") <= 1
