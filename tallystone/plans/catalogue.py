@@ -18,7 +18,7 @@ from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
 from tallystone.plans.views import table, view, with_views
 from tallystone.schema import ALERT_ROLES, BASELINE_TYPES, GATES, MASTER_TYPES, MONITORING_TYPES, PROJECT_STEPS, REQUEST_STEPS, RESOLVER_ROLES
-from tallystone.sources import answers, changelog, files, postings, store, vectors
+from tallystone.sources import answers, changelog, files, filters, postings, store, vectors
 from tallystone.sources.shared import folder
 from tallystone.streaming import documents, ledger
 
@@ -679,6 +679,17 @@ def index_chunks(spark, d):
     return _chunk_index(spark, d)[0].select("chunk_id", F.col("embedding")[0].alias("letters"))
 
 
+@query(f"select 'proj_' || project_id || '_doc_' || doc_id || '_chunk_' || chunk_index as chunk_id, cast(length(text) as bigint) as n_chars, case when project_id % 2 = 0 then 'first' else 'second' end as batch from ({_CHUNKS}) c")
+def chunks_by_filter(spark, d):
+    """Chunks appended in two batches that overlap, through filters of the stored keys."""
+    at = folder(spark, "filtered")
+    rows = view(spark, d, "v_documents").select("project_id", F.col("id").alias("document_id"), F.lit(None).cast("int").alias("page_number"), F.posexplode(tx.chunks(F.col("text"))).alias("chunk_index", "text"))
+    chunks = store.catalogue(rows)
+    for part, name in ((chunks.where("project_id % 2 = 0"), "first"), (chunks, "second")):
+        filters.append(spark, at, part.withColumn("batch", F.lit(name)))
+    return spark.read.parquet(at).select("chunk_id", F.length("text").cast("long").alias("n_chars"), "batch")
+
+
 @query(f"with tok as (select project_id, doc_id, chunk_index, unnest(regexp_split_to_array(lower(text), '\\s+')) t from ({_CHUNKS}) c) select project_id, t, count(distinct doc_id * 1000 + chunk_index) as df, cast(null as bigint) as words from tok where t <> '' group by project_id, t union all select project_id, null, count(distinct doc_id * 1000 + chunk_index), count(*) from tok where t <> '' group by project_id")
 def index_terms(spark, d):
     return _chunk_index(spark, d)[1].select("project_id", "t", "df", "words")

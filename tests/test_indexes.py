@@ -16,7 +16,7 @@ from tallystone.operators import extraction as ex
 from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
 from tallystone.schema import GATES
-from tallystone.sources import answers, changelog, postings, store, vectors
+from tallystone.sources import answers, changelog, filters, postings, store, vectors
 from tallystone.sources.shared import exists
 from tallystone.streaming import documents, ledger
 
@@ -404,3 +404,30 @@ def test_variant_payloads(spark):
     assert [(r.i, r.list, r.pos, r.fields) for r in rows.collect()] == [(0, "l", 0, {"a": "1", "b": "y"}), (0, "l", 1, {"a": "x", "b": None}), (0, "l", 2, {"a": "x", "b": "y"})]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("parse_json") <= 1 and plan.count("_constants_as_text_all") <= 1
+
+
+# filters
+
+
+def test_insert_if_absent_by_filters(spark, tmp_path):
+    path = str(tmp_path / "store")
+    kind = "project_id int, chunk_id string, text string"
+    batch = lambda a, b, t: spark.createDataFrame([(i % 3, f"c{i}", t) for i in range(a, b)], kind)
+    assert filters.append(spark, path, batch(0, 600, "one").union(batch(0, 50, "one"))) == (0, 600)
+    asked, n = filters.append(spark, path, batch(600, 1200, "two"))
+    assert n == 600 and asked < 20  # new keys hardly meet the store
+    asked, n = filters.append(spark, path, batch(900, 1500, "three").union(spark.createDataFrame([(None, "x", "t"), (1, None, "t")], kind)))
+    assert n == 300 and 300 <= asked < 320
+    held = spark.read.parquet(path)
+    assert held.count() == 1500 and {(r.text, r.n) for r in held.groupBy("text").agg(F.count("*").alias("n")).collect()} == {("one", 600), ("two", 600), ("three", 300)}
+    assert filters.append(spark, path, batch(0, 1500, "again")) == (1500, 0) and filters.append(spark, path, batch(0, 0, "")) == (0, 0)
+    # the same key in another project is another key
+    assert filters.append(spark, path, spark.createDataFrame([(7, "c1", "other")], kind))[1] == 1
+
+
+def test_filters_of_an_older_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, f"c{i}", "old") for i in range(100)], "project_id int, chunk_id string, text string")
+    store.append(spark, path, rows)
+    assert filters.append(spark, path, rows.limit(40).withColumn("text", F.lit("new")))[1] == 0
+    assert spark.read.parquet(path).where("text = 'old'").count() == 100
