@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ BYTES_A_CELL = 16
 #: Bytes of text that one task of the second pass counts at most, where there are more tasks than two for each core.
 TASK_BYTES = 1 << 30
 #: Cells of a block of the sketch, phrases whose cells a task holds before it ships them, and phrases that wait to be added up and that it holds added up.
-BLOCK, BUFFER, WAITING, HELD = 1 << 16, 1 << 21, 150_000, 500_000
+BLOCK, BUFFER, WAITING, HELD = 1 << 16, 1 << 21, 150_000, 1_500_000
 
 _U = np.uint64
 _ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -61,13 +62,13 @@ def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
 class Chunk:
     """The words of some texts with the hashes of their phrases."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, langs: np.ndarray, longest: int):
-        self.data, self.longest = data, longest
+    def __init__(self, data: np.ndarray, off: np.ndarray, own: np.ndarray, seeds: np.ndarray, longest: int):
+        self.data, self.seeds, self.longest = data, seeds, longest
         self.first, self.last = _words.bounds(data, off, _WORD)
         n = len(self.first)
         self.row = np.searchsorted(off, self.first, "right") - 1
         self.words = _words.span_hashes(_words.sums(data), self.first, self.last) if n else np.zeros(0, np.uint64)
-        self.langs = langs[self.row] if n else np.zeros(0, np.uint64)
+        self.langs = seeds[own][self.row] if n else np.zeros(0, np.uint64)
         # a piece goes on to the next word if no mark and no end of a row lies between
         marks = np.append(0, np.cumsum(_END[data]))
         self.joined = (marks[self.first[1:]] == marks[self.last[:-1]]) & (self.row[1:] == self.row[:-1]) if n else np.zeros(0, bool)
@@ -100,7 +101,7 @@ def _chunks(batch: pa.RecordBatch, longest: int) -> Iterator[tuple[Chunk, np.nda
     index = found.indices.to_numpy()
     for at, data, off in _words.spans(batch.column(1)):
         own = index[at : at + len(off) - 1]
-        yield Chunk(data, off, seeds[own], longest), own, names
+        yield Chunk(data, off, own, seeds, longest), own, names
 
 
 def _sketch(bits: int, longest: int, least: int):
@@ -165,8 +166,8 @@ def _merge(least: int):
 def _survivors(sketch, bits: int, longest: int):
     """Exact counts, within a task, of the phrases that the sketch lets through: (lang, phrase, words, n); without a phrase all words of a language."""
 
-    def phrases(keys: np.ndarray, twins: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First places and counts of the phrases of one length; phrases of one key that differ in the second hash are counted apart."""
+    def phrases(keys: np.ndarray, twins: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First places, counts, keys and second hashes of the phrases of one length; phrases of one key that differ in the second hash are counted apart."""
         order = np.argsort(keys, kind="stable")
         held, other = keys[order], twins[order]
         first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
@@ -174,7 +175,8 @@ def _survivors(sketch, bits: int, longest: int):
         alien = other != np.repeat(other[first], size)
         count = size - np.add.reduceat(alien.astype(np.int64), first)
         apart = order[alien]
-        return np.concatenate([at[order[first]], at[apart]]), np.concatenate([count, np.ones(len(apart), np.int64)])
+        chosen = np.concatenate([order[first], apart])
+        return at[chosen], np.concatenate([count, np.ones(len(apart), np.int64)]), keys[chosen], twins[chosen]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(b, np.uint8) for b in sketch.value]
@@ -186,7 +188,7 @@ def _survivors(sketch, bits: int, longest: int):
                 out &= (held[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
             return out
 
-        waiting: list[pa.Table] = []
+        waiting: list[Counted] = []
         size = 0
         for batch in batches:
             for chunk, own, names in _chunks(batch, longest):
@@ -202,8 +204,7 @@ def _survivors(sketch, bits: int, longest: int):
                 second = chunk.twins()
                 lang = own[chunk.row]
                 alive: np.ndarray | None = None
-                n_words = np.bincount(lang, minlength=len(names))
-                tables = [pa.table({"lang": pa.array(names, pa.string()), "phrase": pa.nulls(len(names), pa.string()), "words": pa.array(np.zeros(len(names), np.int32)), "n": pa.array(n_words)})]
+                tables = [Counted(chunk.seeds, ~chunk.seeds, np.bincount(lang, minlength=len(names)), np.zeros(len(names), np.int32), pa.array(names, pa.string()), pa.nulls(len(names), pa.string()))]
                 for n, at in enumerate(chunk.places(), 1):
                     if alive is not None:  # both phrases of one word less must have come through
                         at = at[alive[at] & alive[at + 1]]
@@ -215,15 +216,15 @@ def _survivors(sketch, bits: int, longest: int):
                     if not len(at):
                         break
                     twins = _words._runs(second, n)[at] ^ chunk.langs[at]
-                    where, count = phrases(keys, twins, at)
+                    where, count, key, twin = phrases(keys, twins, at)
                     parts = [words.take(pa.array(where + k)) for k in range(n)]
                     text = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
-                    tables.append(pa.table({"lang": pa.DictionaryArray.from_arrays(pa.array(lang[where].astype(np.int32)), pa.array(names, pa.string())).dictionary_decode(), "phrase": text, "words": pa.array(np.full(len(where), n, np.int32)), "n": pa.array(count)}))
+                    tables.append(Counted(key, twin, count, np.full(len(where), n, np.int32), pa.array(names, pa.string()).take(pa.array(lang[where])), text))
                 waiting += tables
-                size += sum(t.num_rows for t in tables)
+                size += sum(len(t.n) for t in tables)
                 if size >= WAITING:
                     waiting, size = [_added(waiting)], 0
-                    if waiting[0].num_rows >= HELD:
+                    if len(waiting[0].n) >= HELD:
                         yield from _shipped(waiting)
         if waiting:
             waiting = [_added(waiting)]
@@ -232,16 +233,37 @@ def _survivors(sketch, bits: int, longest: int):
     return run
 
 
-def _added(tables: list[pa.Table]) -> pa.Table:
-    held = pa.concat_tables(tables).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")])
+@dataclass
+class Counted:
+    """Phrases with their counts; ``key`` and ``twin`` together, 128 bits, tell them apart within a task."""
+
+    key: np.ndarray
+    twin: np.ndarray
+    n: np.ndarray
+    words: np.ndarray
+    lang: pa.Array
+    phrase: pa.Array
+
+
+def _added(tables: list[Counted]) -> Counted:
+    """One table of several, which leave the list, with equal phrases added up; sorted by number, which takes less memory than by text."""
+    key, twin, n, words = (np.concatenate([getattr(t, c) for t in tables]) for c in ("key", "twin", "n", "words"))
+    lang, phrase = (pa.concat_arrays([getattr(t, c) for t in tables]) for c in ("lang", "phrase"))
     tables.clear()
+    order = np.lexsort((twin, key))
+    held, other = key[order], twin[order]
+    first = np.flatnonzero(np.append(True, (held[1:] != held[:-1]) | (other[1:] != other[:-1])))
+    at = order[first]
+    out = Counted(key[at], twin[at], np.add.reduceat(n[order], first), words[at], lang.take(pa.array(at)), phrase.take(pa.array(at)))
+    del lang, phrase
     pa.default_memory_pool().release_unused()
-    return held.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
+    return out
 
 
-def _shipped(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+def _shipped(tables: list[Counted]) -> Iterator[pa.RecordBatch]:
     """The rows of one table, which leaves the list, in small batches, as Spark holds a batch beside its heap."""
-    yield from tables.pop().to_batches(max_chunksize=20_000)
+    t = tables.pop()
+    yield from pa.table({"lang": t.lang, "phrase": t.phrase, "words": pa.array(t.words), "n": pa.array(t.n)}).to_batches(max_chunksize=20_000)
 
 
 def frequent(spark: SparkSession, scratch: Scratch, docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
