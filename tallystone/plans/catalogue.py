@@ -328,10 +328,10 @@ def bm25_stored(spark, d):
     return hits.select("query_id", F.col("unit").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query(f"with {_TOK}, {_STATS} select cast(substr(st.source, 4) as int) as project_id, st.n, cast(round(st.n * st.avgdl) as bigint) as words, r.n_terms, round(ep.eps, 9) as eps from st join ep on st.source = ep.source join (select source, count(*) as n_terms from raw group by source) r on st.source = r.source")
+@query(f"with {_TOK}, {_STATS} select cast(substr(st.source, 4) as int) as project_id, st.n, cast(round(st.n * st.avgdl) as bigint) as words, r.n_terms, round(ep.eps, 6) as eps from st join ep on st.source = ep.source join (select source, count(*) as n_terms from raw group by source) r on st.source = r.source")
 def postings_statistics(spark, d):
     found = postings.statistics(spark, _postings(spark, d))
-    return found.select("project_id", "n", "words", "n_terms", F.round("eps", 9).alias("eps"))
+    return found.select("project_id", "n", "words", "n_terms", F.round("eps", 6).alias("eps"))
 
 
 _PAIR = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (cast(z[1] as double) - cast(z[2] as double)) * (cast(z[1] as double) - cast(z[2] as double))))"
