@@ -8,13 +8,16 @@ the slot is a text slot, otherwise it holds the host's constant text. Such a wra
 tags, repeats, optional groups and text slots, without alternatives.
 
 Every slot of a page is looked up in its host's wrapper, which decides:
-- text that is constant on ``CONSTANT_PAGES`` distinct pages or more, and on ``SHARE`` or more of the host's, goes;
+- text that is constant on ``CONSTANT_PAGES`` distinct pages or more, and on ``SHARE`` or more of the host's, goes, but inside
+  article and main what names variable text there stays: a heading, a term or a table's head that stands right before it, and
+  a plain block with variable blocks of the same parent on both sides;
 - blocks of links in repeated groups that are links for the most part go; inside article and main only if so many
-  of the host's pages have the group;
+  of the host's pages have the group, and not if it has no class or id, or one that says references, and variable text precedes it;
 - menus, headers, footers, sidebars, forms and what is hidden go, by tag and role; adverts, notices, comments and the like by
   words of class, id and role, unless the wrapper shows the element to be the host's body: over half of its variable
-  text, not a repeated group of elements. Words that are subjects of articles too (``_TOPICS``) count only where the
-  wrapper shows the element to be constant, to be links for the most part, or to repeat a group of elements;
+  text, not a repeated group of elements. Words that are subjects of articles too (``_TOPICS``, and inside article and main ``_LOOSE`` unless one
+  is a whole class or id) count only where the wrapper shows the element to be constant, to be links for the most part, or to
+  repeat a group of elements; so does a word that has one of ``_REMARKS`` in it, in the last of these cases;
 - where a page has an article or main element, only slots in there are left. If all would go as constant, it stays.
 Pages of equal html or equal slots are one page of their host here. Blocks keep the page's order; nothing is cut.
 
@@ -54,6 +57,11 @@ _RAW = frozenset("script style textarea title noscript iframe noframes noembed t
 _ASIDE = frozenset("aside nav footer form menu dialog search".split())
 _PARTS = frozenset("ad ads adbox adsense advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar newsletter notification overlay pagination paywall popup promo promoted replies respond share sharing sidebar skip sponsor sponsored subscribe toolbar topbar widget widgets".split())
 _TOPICS = frozenset("advertising copyright disclaimer discussion feedback legal navigation notice promotion recommended related reply social subscription".split())
+_LOOSE = frozenset("banner comment comments consent cookie cookies menu modal notification overlay replies respond share sharing skip toolbar widget".split())
+_REMARKS = ("comment", "discussion", "reaction", "remark", "replies", "reply", "response")
+_SOURCES = frozenset("bibliography citation citations footnotes literature reference references refs source sources".split())
+_LABELS = frozenset("caption dt figcaption h1 h2 h3 h4 h5 h6 legend summary th".split())
+_PLAIN = frozenset("blockquote dd li p pre td".split())
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 _ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -87,16 +95,25 @@ def _described(tag: str, raw: str, in_article: bool) -> tuple[str, bool, bool]:
                     value = value.strip().lower()
                     apart, main = apart or value in _ROLES, main or value == "main"
                 else:
-                    found = _PIECES.findall(_CAMEL.sub(" ", value).lower())
+                    names = ("-".join(_PIECES.findall(_CAMEL.sub(" ", x).lower())) for x in value.split())
+                    found = "_".join(x for x in names if x)
                     if found:
-                        key += ("." if name == "class" else "#") + "-".join(found)
+                        key += ("." if name == "class" else "#") + found
     return key, apart, main
 
 
-def _words(key: str) -> set[str]:
-    """Class and id words of a key; a page's outermost elements and its main text are not judged by theirs."""
-    tag, *words = re.split(r"[.#-]", key)
-    return set() if tag in ("html", "body", "article", "main") else set(words)
+def _tag(key: str) -> str:
+    return re.split("[.#]", key)[0]
+
+
+def _words(key: str, article: bool) -> tuple[set[str], set[str]]:
+    """Words of a key that speak against it, and further words that need evidence; a page's outermost elements and its main text are not judged by theirs."""
+    tag, *names = re.split("[.#_]", key)
+    if tag in ("html", "body", "article", "main"):
+        return set(), set()
+    words = {w for x in names for w in x.split("-")}
+    strong = {w for w in words & _PARTS if not article or w not in _LOOSE or w in names}
+    return strong, words - strong
 
 
 def _clean(pieces: list[str]) -> str:
@@ -290,7 +307,7 @@ def _general(kids: list[list]) -> list[list]:
         if k[0].startswith("("):
             waiting += k[7][::-1]
             continue
-        tag = re.split("[.#]", k[0])[0]
+        tag = _tag(k[0])
         k = [tag, *k[1:]]
         if tag in out:
             out[tag] = align(out[tag], k, same=True)
@@ -381,17 +398,59 @@ class Wrapper:
             lists = any(x[2] for x in inner) or any(k[2] and k[7] for k in node[7])
             held[id(node)] = own + sum(x[0] for x in inner), node[6] + sum(x[1] for x in inner), lists
         body = held[id(expression)][0] / 2
-        waiting = [(expression, self.root, False, False)]
+        waiting = [(expression, self.root, False, False, False, None)]
+        said: list[list] = []  # [node, place, what it says, whether it is inside article or main, the node above], in the page's order
         while waiting:
-            node, place, repeated, apart = waiting.pop()
+            node, place, repeated, apart, article, above = waiting.pop()
             if not node[0].startswith("("):
                 own, linked, lists = held[id(node)]
-                words = _words(node[0])
-                apart = apart or not _PARTS.isdisjoint(words) and (own <= body or node[2] or lists)
-                apart = apart or not _TOPICS.isdisjoint(words) and (not own or linked > own or lists)
-                place[""] = min(place.get("", APART), self._says(node, repeated, apart))
-            for k in node[7]:
-                waiting.append((k, place if k[0].startswith("(") else place.setdefault(k[0], {}), repeated or k[2], apart))
+                article = article or _tag(node[0]) in ("article", "main")
+                strong, weak = _words(node[0], article)
+                apart = apart or bool(strong) and (own <= body or node[2] or lists)
+                apart = apart or not (_TOPICS | _LOOSE).isdisjoint(weak) and (not own or linked > own or lists)
+                apart = apart or lists and any(x in w for w in weak for x in _REMARKS)
+                said.append([node, place, self._says(node, repeated, apart), article, above])
+                above = node
+            for k in reversed(node[7]):
+                waiting.append((k, place if k[0].startswith("(") else place.setdefault(k[0], {}), repeated or k[2], apart, article, above))
+        self._names(said, held)
+        for _, place, what, _, _ in said:
+            place[""] = min(place.get("", APART), what)
+
+    def _names(self, said: list[list], held: dict[int, tuple[int, int, bool]]) -> None:
+        """Inside article and main, lets stay what is constant and names variable text, and plain lists of links that follow some."""
+        before, plain = False, {id(None): True}
+        for x in said:
+            node, _, what, article, above = x
+            tag, *names = re.split("[.#_]", node[0])
+            before = article and (before or what == KEEP and node[4] is not None and not self._constant(node))
+            plain[id(node)] = tag in ("article", "main") or plain[id(above)] and _SOURCES.issuperset(names)
+            if what == COMMON_LINKS and before and plain[id(node)]:
+                x[2] = KEEP
+        around: dict[int, list[int]] = {}
+        for i, (node, _, what, _, above) in enumerate(said):
+            if what == KEEP and held[id(node)][0]:
+                around.setdefault(id(above), []).append(i)
+        ahead: str | None = None  # the tag of the next variable text, if nothing but labels lie between
+        stay: list[int] = []
+        for i in range(len(said) - 1, -1, -1):
+            node, _, what, article, above = said[i]
+            tag = _tag(node[0])
+            if node[4] is None:
+                continue
+            if what == KEEP:
+                ahead = tag
+            elif what != CONSTANT or not article:
+                ahead = None
+            elif tag in _LABELS:
+                if ahead is not None and (tag[0] != "h" or ahead not in _LABELS or ahead[0] != "h" or ahead > tag):
+                    stay.append(i)
+            elif tag in _PLAIN and node[0] == tag and (beside := around.get(id(above))) and beside[0] < i < beside[-1]:
+                stay.append(i)
+            else:
+                ahead = None
+        for i in stay:
+            said[i][2] = KEEP
 
     def _common(self, node: list) -> bool:
         return node[1] >= CONSTANT_PAGES and node[1] >= SHARE * self.pages
@@ -413,12 +472,12 @@ class Wrapper:
             for key in path:
                 below = place.get(key)
                 exact = exact and below is not None
-                below = below or place.get(re.split("[.#]", key)[0])
+                below = below or place.get(_tag(key))
                 if below is None:
                     break
                 place = below
             found = place.get("", KEEP)
-            if not exact and any(not _PARTS.isdisjoint(_words(k)) for k in path):
+            if not exact and any(_words(k, not {"article", "main"}.isdisjoint(map(_tag, path)))[0] for k in path):
                 found = APART  # a coarse wrapper has no words to judge
             if len(self.known) >= 1 << 14:
                 self.known.clear()

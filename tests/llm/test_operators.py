@@ -714,6 +714,28 @@ def test_words_of_classes_are_evidence_only(spark):
     assert main_texts(spark, [f"<div class=widget-body><p>long text of page {i}</p></div><div class=ad>buy {i}</div>" for i in range(4)]) == [f"long text of page {i}" for i in range(4)]
 
 
+INSIDE = [
+    ("<h1>Dish {i}</h1><h2>Ingredients</h2><ul><li>egg {i}<li>milk {i}</ul><h2>Method</h2><p>stir {i}", "Dish {i}|Ingredients|egg {i}|milk {i}|Method|stir {i}"),
+    ("<h2>Abstract</h2><p>stir {i}</p><h2>Body {i}</h2><p>q {i}<p>r {i}<h2>Conclusion</h2><p>end {i}", "Abstract|stir {i}|Body {i}|q {i}|r {i}|Conclusion|end {i}"),
+    ("<table><tr><th>Name<th>Price<tr><td>tea {i}<td>{i} cents</table>", "Name|Price|tea {i}|{i} cents"),
+    ("<h1>T {i}</h1><section class='market-share'><h3>Head {i}</h3><p>p {i}</section>", "T {i}|Head {i}|p {i}"),
+    ("<h1>T {i}</h1><section id=tasting-menu-notes><p>p {i}</section>", "T {i}|p {i}"),
+    ("<h1>T {i}</h1><p>text {i}<div class=editor-comment><p>p {i}</div>", "T {i}|text {i}|p {i}"),
+    ("<h1>T {i}</h1><p>text {i}</p><h2>Sources</h2><ul><li><a href=a>one {i}</a><li><a href=b>two {i}</a></ul>", "T {i}|text {i}|Sources|one {i}|two {i}"),
+    ("<h1>T {i}</h1><p>text {i}</p><ul class=refs><li><a href=a>one {i}</a><li><a href=b>two {i}</a></ul>", "T {i}|text {i}|one {i}|two {i}"),
+    ("<p>text {i}</p><div class=usercomments><div><b>me</b><p>I say {i}</div><div><b>you</b><p>no {i}</div></div>", "text {i}"),
+    ("<p>text {i}</p><div class=responses><div><b>me</b><p>I say {i}</div><div><b>you</b><p>no {i}</div></div>", "text {i}"),
+    ("<h3>Sections</h3><ul><li><a href=a>Home</a><li><a href=b>About</a></ul><h1>T {i}</h1><p>text {i}</p><div class=strip>Buy now</div><div class='inline-ad'>get {i}</div>", "T {i}|text {i}"),
+    ("<h1>T {i}</h1><p>text {i}<div class=share-buttons>Share this</div><div class='cookie-notice'><h3>Cookies</h3>We use them</div>", "T {i}|text {i}"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), INSIDE)
+def test_structure_decides_inside_articles(spark, page, text):
+    pages = [f"<header>Daily</header><article>{page.format(i=i)}</article><footer>end</footer>" for i in range(6)]
+    assert main_texts(spark, pages) == [text.format(i=i).replace("|", "\n\n") for i in range(6)]
+
+
 def random_site(rng, article):
     """Pages of one random template, and their main texts."""
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
