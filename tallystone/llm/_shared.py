@@ -103,9 +103,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, low))
 
 
-def one_of(value: Column, twin: str, what: str) -> Column:
-    """An aggregate's value, if all rows under one 64-bit key agree in a second hash; two things under one key end the job, not pass for one."""
-    return F.when(F.min(twin) == F.max(twin), value).otherwise(F.raise_error(F.lit(f"two {what} have one key")).cast("long"))
+def rekeyed(key: str, twin: str) -> Column:
+    """The key of a thing that shares its own with another: a hash of its key and of a second hash."""
+    return F.xxhash64(F.col(key), F.col(twin))
+
+
+def told_apart(scratch: Scratch, rows: DataFrame, key: str, twin: str) -> DataFrame:
+    """``rows`` with one 64-bit key for one thing: where two things, which differ in a second hash, have one key, both get new ones.
+
+    Among n things about n * n / 2**65 pairs share a key, so the table of such keys stays small; it is broadcast by its
+    measured size. Null keys stay null.
+    """
+    shared = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(twin).alias("lo"), F.max(twin).alias("hi")).where("lo <> hi")
+    shared = scratch.keep(shared.select(F.col(key).alias("__shared")), "shared-keys")
+    if not scratch.figures["shared-keys"]["rows"]:
+        scratch.drop("shared-keys")
+        return rows
+    both = rows.join(scratch.small(shared, "shared-keys"), F.col(key) == F.col("__shared"), "left")
+    return both.withColumn(key, F.when(F.col("__shared").isNull(), F.col(key)).otherwise(rekeyed(key, twin))).drop("__shared")
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:

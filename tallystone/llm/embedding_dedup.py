@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tallystone.llm._shared import Scratch, components, one_of
+from tallystone.llm._shared import Scratch, components, told_apart
 
 COSINE = 0.93
 NEAR, SHARED = 10, 3
@@ -142,9 +142,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     valid = F.coalesce(F.col("v").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("node", F.when(valid, F.xxhash64("label", "v")))
-    rows = scratch.keep(rows, "rows")
-    nodes = rows.where("node is not null").withColumn("twin", F.xxhash64(F.lit(1), "v", "label"))
-    nodes = nodes.groupBy("node").agg(F.count("*").alias("n"), one_of(F.min("vec_id"), "twin", "vectors").alias("least"))
+    rows = scratch.keep(rows.withColumn("twin", F.xxhash64(F.lit(1), "v", "label")), "rows")
+    rows = told_apart(scratch, rows, "node", "twin").drop("twin")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     nodes = scratch.keep(nodes, "nodes")
     distinct = rows.where("node is not null").dropDuplicates(["node"]).select("node", "label", F.size("v").alias("dim"), "v").join(nodes.select("node", "n"), "node")
     distinct = scratch.keep(distinct, "distinct")
@@ -202,7 +202,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
     least = scratch.keep(named.groupBy("root").agg(F.min("least").alias("component")), "of-root")
     named = named.join(scratch.small(least, "of-root"), "root").join(counts, named["node"] == counts["a"], "left").select("node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "component")
     named = scratch.keep(named, "named")
-    scratch.clear("rows", "named")
+    scratch.clear("rows", "shared-keys", "named")
     out = rows.select("vec_id", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -16,8 +16,9 @@ a heap would fill memory. The order affects the cost only; with any order every
 
 Inside a group, in memory: classes (equal sets are one class) that share c merged lists with a list's least class form
 groups; near copies come together there. A group's classes meet in blocks of ``BLOCK``, each pair of blocks in a task of
-its own, by DivideSkip over the block's inverted lists. Only links that join something leave the task, so the pairs of
-a large group are never rows. Two classes of different groups that link share c lists: more than a quarter of c are lists
+its own, by DivideSkip over the block's inverted lists. All links are found and counted there, per class and weighted by
+its documents; as rows only those leave the task that join something, and the counts, so the pairs of a large group are
+never rows. Two classes of different groups that link share c lists: more than a quarter of c are lists
 where the one's group is a crowd, and then the other is drawn into that group, one row for it and the crowd; or more than
 a quarter are lists where the other's is; or else at least half are lists where neither is, and the two are a pair, probed
 by itself.
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm import _words as words
-from tallystone.llm._shared import Scratch, components, one_of
+from tallystone.llm._shared import Scratch, components, rekeyed, told_apart
 
 #: A word is frequent if at least this share of the documents has it, and FEW of them at least.
 FREQUENT, FEW = 1 / 4000, 8
@@ -193,6 +194,8 @@ def long_lists(scratch: Scratch, docs: DataFrame, n: int, percent: int, frequent
 
 
 def _probe(percent: int):
+    """Which candidates (a, b, p, q, m, n) link; m and n are the documents of either class."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             off, flat = zip(*((x.offsets.to_numpy(), x.values.to_numpy().view(np.uint64)) for x in (batch.column(2), batch.column(3))), strict=True)
@@ -210,7 +213,7 @@ def _probe(percent: int):
                     if hit + len(p) - min(start + 256, len(p)) < need:
                         break
                 keep.append(ok and hit >= need)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 1, 4, 5)], ["a", "b", "m", "n"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -245,24 +248,21 @@ def divide_skip(lists: np.ndarray, begins: np.ndarray, columns: int, codes: np.n
     return found, count
 
 
-def _search(percent: int):
-    """T-occurrence join of two blocks of a group: (a, b) for links, without those that join nothing new in the block."""
+def _search(percent: int, counts: bool):
+    """T-occurrence join of two blocks of a group: (a, b, 0) for links, without those that join nothing new in the block.
+
+    With ``counts`` also (a, a, documents that link with those of class a here, but for its own), which needs all links; else those
+    that join nothing new aren't searched.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        own, node = table.column("own").to_numpy(), table.column("node").to_numpy()
+        own, node, docs = (table.column(c).to_numpy() for c in ("own", "node", "docs"))
         sets = table.column("set").combine_chunks()
         off, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
         part = [np.flatnonzero(own == k) for k in (i, j)]
-        parent = list(range(len(node)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out: list[tuple[int, int]] = []
+        label, linked = np.arange(len(node)), np.zeros(len(node), np.int64)
+        out: list[tuple[int, int, int]] = []
         for start in range(0, len(part[1]), 2 * BLOCK):  # chance may overfill a block; memory stays bounded
             right = part[1][start : start + 2 * BLOCK]
             size = off[right + 1] - off[right]
@@ -276,54 +276,60 @@ def _search(percent: int):
                 n = len(mine)
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 at = at[known[at] == mine]
-                mark = root(x)
-                open_ = (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & np.array([root(y) != mark for y in right.tolist()])
+                open_ = 100 * np.minimum(size, n) >= percent * np.maximum(size, n)
+                if not counts:
+                    open_ &= label[right] != label[x]
                 if i == j:
                     open_ &= right > x
                 found, count = divide_skip(lists, begins, len(right), at, overlap(n, percent), open_)
-                link = count * (100 + percent) >= percent * (size[found] + n)
-                for y in right[found[link]].tolist():
-                    p, q = root(x), root(y)
-                    if p != q:
-                        parent[q] = p
-                        out.append((int(node[x]), int(node[y])))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                other = right[found[count * (100 + percent) >= percent * (size[found] + n)]]
+                linked[x] += docs[other].sum()
+                linked[other] += docs[x]
+                for y in other[np.unique(label[other], return_index=True)[1]].tolist():  # one for each part of the block
+                    if label[y] != label[x]:
+                        label[label == label[y]] = label[x]
+                        out.append((int(node[x]), int(node[y]), 0))
+        if counts:
+            some = np.flatnonzero(linked)
+            out += zip(node[some].tolist(), node[some].tolist(), linked[some].tolist(), strict=True)
+        a, b, n = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
 def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int, name: str) -> DataFrame:
-    """``wanted``, distinct by its column node, with each class's set, made again from one of its documents."""
+    """``wanted``, distinct by its column node, with each class's set, made again from one of its documents, and the number of these."""
     ids = nodes.join(wanted.select("node"), "node", "left_semi").groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
-    one = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rows")).alias("m"))
-    one = scratch.keep(one.select("node", F.col("m.doc_id").alias("id"), F.col("m.rows").alias("rows")).join(wanted, "node"), name, F.max("rows").alias("most"))
+    one = ids.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rows")).alias("m"), F.sum("rows").alias("docs"))
+    one = scratch.keep(one.select("node", F.col("m.doc_id").alias("id"), F.col("m.rows").alias("rows"), "docs").join(wanted, "node"), name, F.max("rows").alias("most"))
     text = docs.join(scratch.small(one, name), F.col("doc_id").eqNullSafe(F.col("id")))
     columns = [c for c in one.columns if c not in ("id", "rows", "node")]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             found = [words.distinct(x) for _, hashes, begins in _batches(batch.column(1)) for x in words.shingle_hashes(hashes, begins, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(x) for x in found], pa.int64()), _lists(found), *batch.columns[2:]], ["want", "node", "set", *columns])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([_node(x, k) for x in found], pa.int64()) for k in (0, 1)), _lists(found), *batch.columns[2:]], ["want", "key", "twin", "set", *columns])
 
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in one.schema if f.name in columns)
-    sets = text.select(F.col("node").alias("want"), "text", *columns).mapInArrow(run, f"want long, node long, set array<long>{kinds}").where("want = node").drop("want")
+    sets = text.select(F.col("node").alias("want"), "text", *columns).mapInArrow(run, f"want long, key long, twin long, set array<long>{kinds}")
+    sets = sets.where((F.col("want") == F.col("key")) | (F.col("want") == rekeyed("key", "twin"))).drop("key", "twin").withColumnRenamed("want", "node")
     # rows of equal id and set would come twice
     return sets.dropDuplicates(["node"]) if (scratch.figures[name]["most"] or 0) > 1 else sets
 
 
-def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, mark, n_shingles, node, root, component_id) for each row of ``docs(doc_id, text)``.
+def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, counts: bool = True) -> DataFrame:
+    """(doc_id, mark, n_shingles, node, root, component_id, n_links) for each row of ``docs(doc_id, text)``.
 
-    Equal sets have one node, components one root; these tell documents of equal ids apart.
-    Links are not returned: those that join nothing new are not searched.
+    Equal sets have one node, components one root; these tell documents of equal ids apart. ``n_links``: other rows that
+    the document links with. Without ``counts`` it is null, and links that join nothing new are not searched.
     """
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_words(docs)
     known = spark.sparkContext.broadcast((frequent, long_lists(scratch, docs, shingle, percent, frequent)))
-    rows = scratch.keep(described(docs, shingle, percent, known), "rows")
-    nodes = rows.where("n_shingles > 0").select("doc_id", "node", "twin")
+    rows = told_apart(scratch, scratch.keep(described(docs, shingle, percent, known), "rows"), "node", "twin")
+    nodes = rows.where("n_shingles > 0").select("doc_id", "node")
     postings = rows.where("size(prefix) > 0").dropDuplicates(["node"]).select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
     heads = postings.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
     lists = scratch.keep(postings.join(heads, "token"), "lists")
@@ -372,24 +378,32 @@ def join(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int =
     blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = scratch.keep(groups.join(blocks, "grp").select("node", "grp", own.alias("own"), "blocks"), "placed")
     met = _sets_of(scratch, docs, nodes, placed, shingle, "group-one").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "set")
-    links = scratch.keep(met.groupBy("grp", "i", "j").applyInArrow(_search(percent), "a long, b long"), "links")
+    met = met.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "docs", "set")
+    links = scratch.keep(met.groupBy("grp", "i", "j").applyInArrow(_search(percent, counts), "a long, b long, n long"), "links")
 
     # between groups, pair by pair
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = scratch.keep(_sets_of(scratch, docs, nodes, wanted, shingle, "pair-one"), "pair-sets")
-    a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(v)) for k, v in (("a", "p"), ("b", "q")))
-    more = scratch.keep(pairs.join(b, "b").join(a, "a").select("a", "b", "p", "q").mapInArrow(_probe(percent), "a long, b long"), "more")
-    root = components(scratch, links.union(more), "component")
-
-    least = nodes.groupBy("node").agg(one_of(F.min("doc_id"), "twin", "sets").alias("least"))
+    a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(v), F.col("docs").alias(w)) for k, v, w in (("a", "p", "m"), ("b", "q", "n")))
+    more = scratch.keep(pairs.join(b, "b").join(a, "a").select("a", "b", "p", "q", "m", "n").mapInArrow(_probe(percent), "a long, b long, m long, n long"), "more")
+    root = components(scratch, links.where("a <> b").select("a", "b").union(more.select("a", "b")), "component")
+    linked = links.where("a = b").select("a", "n").union(more.select("a", "n")).union(more.select("b", "m"))
+    linked = linked.groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("others"))
+
+    least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"))
+    if counts:
+        least = least.join(linked, F.col("node") == F.col("linked"), "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("others", F.lit(0))).drop("linked", "others")
+    else:
+        least = least.withColumn("n_links", F.lit(None).cast("long"))
     # written, so that the join with a large component's rows is dealt by itself and can be split
     least = scratch.keep(least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "least")
     of_root = scratch.keep(least.groupBy("root").agg(F.min("least").alias("component_id")), "of-root")
-    of_node = scratch.keep(least.join(scratch.small(of_root, "of-root"), "root").select("node", "root", "component_id"), "result")
-    scratch.clear("rows", "result")
+    of_node = scratch.keep(least.join(scratch.small(of_root, "of-root"), "root").select("node", "root", "component_id", "n_links"), "result")
+    scratch.clear("rows", "shared-keys", "result")
     out = rows.select("doc_id", "mark", "n_shingles", "node").join(of_node, "node", "left")
-    return out.select("doc_id", "mark", "n_shingles", "node", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    n_links = F.coalesce("n_links", F.lit(0).cast("long")) if counts else F.col("n_links")
+    return out.select("doc_id", "mark", "n_shingles", "node", "root", component.alias("component_id"), n_links.alias("n_links"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -400,7 +414,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent:
     """
     scratch = Scratch(spark, "one-of-each")
     id_, mark = "__tallystone_id", "__tallystone_mark"
-    found = join(spark, docs, shingle, percent)
+    found = join(spark, docs, shingle, percent, counts=False)
     rows = found.groupBy("root", "doc_id", "mark", (F.col("n_shingles") > 0).alias("some")).agg(F.count("*").alias("n"))
     first = rows.where("some").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark", "n")).alias("m"))
     stay = first.select(F.col("m.doc_id").alias(id_), F.col("m.mark").alias(mark), (F.col("m.n") > 1).alias("__tallystone_more"))

@@ -50,8 +50,8 @@ with recursive w as (select doc_id, {_RAW_WORDS} as w from documents),
 s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
 t as (select doc_id, len(s) as n, unnest(s) as g from s),
 pairs as (select x.doc_id as a, y.doc_id as b from t x join t y on x.g = y.g and x.doc_id < y.doc_id where least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 90 group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
-{_components("pairs")}
-select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(c.root, s.doc_id) as component_id from s left join comp c on s.doc_id = c.node""",
+{_components("pairs")}, counts as (select a, count(*) as n from links group by a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(c.root, s.doc_id) as component_id, coalesce(k.n, 0) as n_links from s left join comp c on s.doc_id = c.node left join counts k on s.doc_id = k.a""",
     "op8_suffix_array_dedup": f"""
 with w as (select doc_id, {_RAW_WORDS} as w from documents),
 r as (select doc_id, i - 1 as p, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w) x),

@@ -47,9 +47,9 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
+    """Links of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more, counted, and their components."""
     found = ngram_join.join(spark, source(spark, sf_dir, "documents"), shingle=3, percent=90)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.llm import _words as words
-from tallystone.llm._shared import Scratch, one_of
+from tallystone.llm._shared import Scratch, rekeyed, told_apart
 
 LEAST, GRAM = 50, 8
 #: Suffixes of one run that are compared in one task (in some seconds and 200 MB), and suffixes that a task takes at a time.
@@ -229,9 +229,10 @@ def passages(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.xxhash64(F.lit(1), "text").alias("twin"), "text")
     kept = scratch.keep(marked.mapInArrow(_kept(least, gram), "doc_id long, mark long, twin long, n_words long, keys array<long>, places array<int>"), "kept")
+    kept = told_apart(scratch, kept, "mark", "twin")
 
-    holders = kept.where(F.col("n_words") >= least).select("mark", "twin", "n_words", "doc_id").distinct()
-    texts = holders.groupBy("mark").agg(F.count("*").alias("docs"), one_of(F.min("doc_id"), "twin", "texts").alias("least"), F.max("doc_id").alias("most"), F.max("n_words").alias("n_words"))
+    holders = kept.where(F.col("n_words") >= least).select("mark", "n_words", "doc_id").distinct()
+    texts = holders.groupBy("mark").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("n_words").alias("n_words"))
     texts = scratch.keep(texts, "texts")
     suffixes = kept.where(F.size("keys") > 0).dropDuplicates(["mark"]).select("mark", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("mark", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
     shared = suffixes.groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
@@ -239,7 +240,8 @@ def passages(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int
     wanted = suffixes.join(scratch.small(shared, "shared"), "key").groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("place", "hot"))).alias("places"))
     wanted = wanted.join(texts.select("mark", F.col("least").alias("lo"), F.col("most").alias("hi")), "mark").select(F.col("mark").alias("m"), "lo", "hi", "places")
     wanted = scratch.keep(wanted, "wanted")
-    again = docs.join(scratch.small(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("lo")) & (F.xxhash64("text") == F.col("m"))).select(F.col("m").alias("mark"), "text", "places", "lo", "hi")
+    of_text = (F.col("mark") == F.col("m")) | (rekeyed("mark", "twin") == F.col("m"))
+    again = marked.join(scratch.small(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("lo")) & of_text).select(F.col("m").alias("mark"), "text", "places", "lo", "hi")
     found = again.mapInArrow(_contexts(least, gram), "mark long, lo long, hi long, start int, key long, hot boolean, left array<long>, right array<long>")
     found = scratch.keep(found, "contexts")
     ordered = found.where("not hot").drop("hot").repartitionByRange("key").sortWithinPartitions("key", "right")
@@ -263,7 +265,7 @@ def passages(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int
     begin = met.where("first = 0").select("mark", F.col("lo").alias("l"), F.col("hi").alias("h"))
     whole = copied.join(begin, "mark", "left").select("mark", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("n"), F.coalesce("l", "least").alias("lo"), F.coalesce("h", "most").alias("hi"))
     found = scratch.keep(spans.union(whole), "found")
-    scratch.clear("kept", "found")
+    scratch.clear("kept", "shared-keys", "found")
     rows = kept.where(F.col("n_words") >= least).select("mark", "doc_id").distinct().join(found, "mark")
     other = F.when(F.col("doc_id").eqNullSafe(F.col("lo")), F.col("hi")).otherwise(F.col("lo"))
     return rows.select("doc_id", F.col("first").cast("long").alias("first_word"), F.col("n").cast("long").alias("n_words"), other.alias("other_doc_id"))

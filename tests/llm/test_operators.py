@@ -2,6 +2,7 @@
 
 import hashlib
 import base64
+import collections
 import itertools
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tallystone.llm import _words, decontamination, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, quality, suffix_dedup, token_counts, warc
-from tallystone.llm._shared import Scratch, components, one_of
+from tallystone.llm._shared import Scratch, components, told_apart
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, node string, mark string, id string, a string, n_lines string, n_dropped string"
 
@@ -80,10 +81,13 @@ def test_components(spark):
 
 
 def test_two_things_under_one_key(spark):
-    rows = spark.createDataFrame([(1, 5, 10), (1, 5, 11), (2, 6, 12)], "node long, twin long, doc_id long")
-    assert {r.node: r.least for r in rows.groupBy("node").agg(one_of(F.min("doc_id"), "twin", "sets").alias("least")).collect()} == {1: 10, 2: 12}
-    with pytest.raises(Exception, match="two sets have one key"):
-        rows.union(spark.createDataFrame([(1, 7, 9)], rows.schema)).groupBy("node").agg(one_of(F.min("doc_id"), "twin", "sets").alias("least")).collect()
+    rows = [(1, 5, 10), (1, 5, 11), (2, 6, 12), (1, 7, 13), (1, 7, 14), (None, 8, 15), (None, 9, 16)]
+    df = spark.createDataFrame(rows, "node long, twin long, doc_id long")
+    got = {r.doc_id: r.node for r in told_apart(Scratch(spark, "test"), df, "node", "twin").collect()}
+    assert got[10] == got[11] and got[13] == got[14] and len({got[10], got[12], got[13]}) == 3
+    assert got[12] == 2 and got[15] is None and got[16] is None and len(got) == len(rows)
+    assert {r.node for r in told_apart(Scratch(spark, "test"), df.where("doc_id < 13"), "node", "twin").collect()} == {1, 2}
+    assert told_apart(Scratch(spark, "test"), df.limit(0), "node", "twin").count() == 0
 
 
 # 1
@@ -480,7 +484,8 @@ def test_ngram_join(spark, n, percent):
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = closure(sets, links)
     got = ngram_join.join(spark, documents(spark, rows), n, percent).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets} and len(got) == len(rows)
+    degree = collections.Counter(x for link in links for x in link)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == {i: (len(sets[i]), want[i], degree[i]) for i in sets} and len(got) == len(rows)
     kept = ngram_join.one_of_each(spark, documents(spark, rows), n, percent)
     assert kept.columns == documents(spark, []).columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if not sets[i] or want[i] == i)
@@ -490,6 +495,7 @@ def test_ngram_join_edges(spark):
     rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (1, "other text of the same id", "s"), (None, "a b c d e f", "s"), (None, "null only", "s"), (2, "null only", "s"), (None, "alone", "s"), (None, None, "s")]
     got = ngram_join.join(spark, documents(spark, rows), 3, 90).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted([("1", 4, "1")] * 2 + [("1", 4, "1"), ("None", 4, "1"), ("None", 1, "2"), ("2", 1, "2"), ("None", 1, "None"), ("None", 0, "None")])
+    assert sorted(r.n_links for r in got) == [0, 0, 0, 1, 1, 2, 2, 2]
     kept = sorted((str(r.doc_id), str(r.text)) for r in ngram_join.one_of_each(spark, documents(spark, rows), 3, 90).collect())
     assert [k for k in kept if k[1] == "a b c d e f"] == [("1", "a b c d e f")] and ("2", "null only") in kept and ("None", "None") in kept
     assert ngram_join.join(spark, documents(spark, []), 3, 90).count() == 0
@@ -513,7 +519,15 @@ def test_groups_that_share_lists(spark, monkeypatch, crowd, long, seed):
     assert 10 < len(links) < 1500
     want = closure(sets, links)
     got = ngram_join.join(spark, documents(spark, rows), 1, 80).collect()
-    assert {r.doc_id: r.component_id for r in got} == want
+    degree = collections.Counter(x for link in links for x in link)
+    assert {r.doc_id: r.component_id for r in got} == want and {r.doc_id: r.n_links for r in got} == {i: degree[i] for i in sets}
+
+
+def test_sets_under_one_key(spark, monkeypatch):
+    """Keys of four bits: sets share them by the dozen and are told apart by their second hash."""
+    real = ngram_join._node
+    monkeypatch.setattr(ngram_join, "_node", lambda x, kind=0: real(x, kind) if kind else real(x) % 16)
+    test_ngram_join(spark, 3, 90)
 
 
 def test_blocks_and_crowds(spark, monkeypatch):
