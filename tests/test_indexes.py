@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallystone.functions import json_text as js
 from tallystone.functions.text import two_places
 from tallystone.operators import extraction as ex
+from tallystone.operators import monitoring
 from tallystone.operators import relational as rel
 from tallystone.operators import retrieval as ret
 from tallystone.schema import GATES
@@ -431,3 +432,12 @@ def test_filters_of_an_older_store(spark, tmp_path):
     store.append(spark, path, rows)
     assert filters.append(spark, path, rows.limit(40).withColumn("text", F.lit("new")))[1] == 0
     assert spark.read.parquet(path).where("text = 'old'").count() == 100
+
+
+def test_alerts_of_one_project_are_dealt_over_tasks(spark):
+    items = spark.range(300).select(F.lit(1).alias("project_id"), F.lit("NEW_REQUEST").alias("item_type"), F.col("id").alias("reference_id"), F.lit(True).alias("requires_escalation"), F.lit(0.1).alias("risk_score")).coalesce(1)
+    people = spark.range(20).select(F.lit(1).alias("project_id"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("email"), F.lit("PROJECT_LEAD").alias("role"))
+    out = monitoring.alerts(items, people)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 6000 and out.distinct().count() == 6000
+    assert len(sizes) == 4 and max(sizes) < 3500
