@@ -47,9 +47,8 @@ def send_batch(outbox: DataFrame, number: int, path: str, connect: Callable[[],
     """Sends the alerts of one batch that the ledger doesn't have; with ``retry`` also those whose sending failed."""
     spark = outbox.sparkSession
     keyed = outbox.withColumn("_key", F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256)).dropDuplicates(["_key"])
-    known = ledger(spark, path)
-    if retry:
-        known = known.where("sent is null or sent")
+    # without a retry what was begun is left alone, however it went: of the ledger only the keys are read
+    known = ledger(spark, path).where("sent is null or sent") if retry else _read(spark, path, "begun")
     fresh = keyed.join(known.select(F.col("key").alias("_key")), "_key", "left_anti")
     # a number of its own for each try, as a batch that runs again must leave its first entries alone
     tries = _read(spark, path, "begun").where(F.expr("batch div 1000") == number).select("batch").distinct().count()

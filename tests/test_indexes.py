@@ -435,9 +435,9 @@ def test_filters_of_an_older_store(spark, tmp_path):
 
 
 def test_alerts_of_one_project_are_dealt_over_tasks(spark):
-    items = spark.range(300).select(F.lit(1).alias("project_id"), F.lit("NEW_REQUEST").alias("item_type"), F.col("id").alias("reference_id"), F.lit(True).alias("requires_escalation"), F.lit(0.1).alias("risk_score")).coalesce(1)
-    people = spark.range(20).select(F.lit(1).alias("project_id"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("email"), F.lit("PROJECT_LEAD").alias("role"))
+    items = spark.createDataFrame([(1, "NEW_REQUEST", i, True, 0.1) for i in range(300)], "project_id int, item_type string, reference_id int, requires_escalation boolean, risk_score double").coalesce(1)
+    people = spark.createDataFrame([(1, f"m{i}", "PROJECT_LEAD") for i in range(20)], "project_id int, email string, role string")
     out = monitoring.alerts(items, people)
-    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    sizes = [r["count"] for r in out.withColumn("at", F.spark_partition_id()).groupBy("at").count().collect()]
     assert sum(sizes) == 6000 and out.distinct().count() == 6000
     assert len(sizes) == 4 and max(sizes) < 3500
