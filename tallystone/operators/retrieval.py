@@ -11,9 +11,18 @@ from pyspark.sql import functions as F
 
 from tallystone.functions.text import tokens
 from tallystone.schema import BASELINE_TYPES
+from tallystone.sources.shared import settle
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
+#: Rows of terms or hits, and of queries with their vectors, up to which they are broadcast.
+FEW, FEW_QUERIES = 100_000, 5_000
+
+
+def _few(rows: DataFrame, name: str, most: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rows written once, as they are read often, and what marks a part of them for broadcast if they are few: texts and words needn't be shuffled to meet them."""
+    held = settle(rows, name)
+    return held, F.broadcast if held.count() <= most else lambda part: part
 
 
 def term_counts(units: DataFrame, by: str = "source", unit: str = "doc_id") -> DataFrame:
@@ -37,9 +46,14 @@ def term_statistics(units: DataFrame, by: str = "source") -> DataFrame:
     One pass over the texts gives all that scores need; it is what an index stores.
     """
     ts = tokens(F.col("text"))
-    rows = units.select(by, ts.alias("ts")).where(F.size("ts") > 0)
-    rows = rows.select(by, F.size("ts").alias("dl"), F.explode(F.array_append(F.array_distinct("ts"), F.lit(None).cast("string"))).alias("t"))
-    return rows.groupBy(by, "t").agg(F.count("*").alias("df"), F.sum(F.when(F.col("t").isNull(), F.col("dl"))).alias("words"))
+    # outer, and blank texts left out at the end: a filter on the tokens would be pushed down and split each text again
+    rows = units.select(by, ts.alias("ts")).select(by, F.size("ts").alias("dl"), F.explode_outer(F.array_append(F.array_distinct("ts"), F.lit(None).cast("string"))).alias("t"))
+    return rows.groupBy(by, "t").agg(F.count_if(F.col("dl") > 0).alias("df"), F.sum(F.when(F.col("t").isNull(), F.greatest("dl", F.lit(0)))).alias("words")).where("df > 0")
+
+
+def _own_statistics(units: DataFrame, by: str) -> DataFrame:
+    """``term_statistics`` written once: scores read them three times, each of which would be a pass over the texts."""
+    return settle(term_statistics(units, by), "terms")
 
 
 def _idf(statistics: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
@@ -65,11 +79,11 @@ def bm25(units: DataFrame, query: str | Sequence[str], by: str = "source", unit:
     those that an index has stored; ``keep`` then limits what is scored. The scan keeps the query's own terms only.
     """
     wanted = Counter(query.lower().split() if isinstance(query, str) else query)
-    stats, idf = _idf(term_statistics(units, by) if statistics is None else statistics, by)
+    stats, idf = _idf(_own_statistics(units, by) if statistics is None else statistics, by)
     rows = units.where(keep) if keep is not None else units
     terms = sorted(wanted)
-    found = rows.select(by, unit, tokens(F.col("text")).alias("ts")).select(by, unit, F.size("ts").alias("dl"), F.explode(F.filter("ts", lambda t: t.isin(terms))).alias("t"))
-    found = found.groupBy(by, unit, "dl", "t").agg(F.count("*").alias("tf"))
+    found = rows.select(by, unit, tokens(F.col("text")).alias("ts")).select(by, unit, F.size("ts").alias("dl"), F.explode_outer(F.filter("ts", lambda t: t.isin(terms))).alias("t"))
+    found = found.where("t is not null").groupBy(by, unit, "dl", "t").agg(F.count("*").alias("tf"))
     weight = F.element_at(F.create_map(*(x for t in terms for x in (F.lit(t), F.lit(wanted[t])))), F.col("t"))
     return _score(found.withColumn("weight", weight), stats, idf.where(F.col("t").isin(terms)), [], by, unit)
 
@@ -80,9 +94,11 @@ def bm25_batch(units: DataFrame, queries: DataFrame, by: str = "source", unit: s
     Postings meet the queries' terms by (by, t); texts are tokenised once, whatever the number of queries.
     """
     asked = queries.select("query_id", by, F.explode(tokens(F.col("text"))).alias("t")).groupBy("query_id", by, "t").agg(F.count("*").alias("weight"))
-    stats, idf = _idf(term_statistics(units, by) if statistics is None else statistics, by)
-    words = units.select(by, unit, tokens(F.col("text")).alias("ts")).select(by, unit, F.size("ts").alias("dl"), F.explode("ts").alias("t"))
-    found = words.join(asked.select(by, "t").distinct(), [by, "t"], "left_semi").groupBy(by, unit, "dl", "t").agg(F.count("*").alias("tf"))
+    asked, spread = _few(asked, "asked", FEW)
+    stats, idf = _idf(_own_statistics(units, by) if statistics is None else statistics, by)
+    idf = idf.join(spread(asked.select(by, "t").distinct()), [by, "t"], "left_semi")
+    words = units.select(by, unit, tokens(F.col("text")).alias("ts")).select(by, unit, F.size("ts").alias("dl"), F.explode_outer("ts").alias("t")).where("t is not null")
+    found = words.join(spread(asked.select(by, "t").distinct()), [by, "t"], "left_semi").groupBy(by, unit, "dl", "t").agg(F.count("*").alias("tf"))
     return _score(found.join(asked, [by, "t"]), stats, idf, ["query_id"], by, unit)
 
 
@@ -106,8 +122,8 @@ def dense(vectors: DataFrame, query: Sequence[float], where: Column | None = Non
 
 def dense_batch(vectors: DataFrame, queries: DataFrame, by: str, unit: str = "vec_id", k: int = 10) -> DataFrame:
     """(query_id, unit, distance, rank): the k nearest of each row of ``queries(query_id, by, vector)`` among vectors of its ``by``."""
-    asked = queries.select("query_id", by, F.col("vector").alias("_q"))
-    near = vectors.select(by, unit, "embedding").join(asked, by)
+    asked, spread = _few(queries.select("query_id", by, F.col("vector").alias("_q")), "asked", FEW_QUERIES)
+    near = vectors.select(by, unit, "embedding").join(spread(asked), by)
     gap = F.aggregate(F.zip_with("embedding", "_q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda x, y: x + y)
     near = near.select("query_id", unit, gap.alias("distance"))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", unit))).where(F.col("rank") <= k)
@@ -170,7 +186,8 @@ def retrieve(units: DataFrame, queries: DataFrame, scorer: Callable[[Column, Col
     because it failed, the fused order stays. ``kinds`` limits the units that are found, not the statistics.
     """
     own = units.where(F.col("kind").isin(list(kinds))) if kinds else units
-    sparse = bm25_batch(own, queries, by, "unit", term_statistics(units, by) if statistics is None else statistics)
+    queries = settle(queries, "queries")
+    sparse = bm25_batch(own, queries, by, "unit", _own_statistics(units, by) if statistics is None else statistics)
     # sums of shares come in any order: what agrees to nine places is a tie
     sparse = sparse.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "unit"))).where(F.col("rank") <= k)
     near = dense_batch(own, queries, by, "unit", k)
@@ -182,7 +199,8 @@ def retrieve(units: DataFrame, queries: DataFrame, scorer: Callable[[Column, Col
     fused = d.join(s, ["query_id", "unit"], "full").withColumn("score", share("d_rank") + share("s_rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("d_rank"), F.asc_nulls_last("s_rank"))
     fused = fused.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    texts = fused.join(own.select("unit", F.col("text").alias("unit_text")), "unit").join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    hits, spread = _few(fused, "fused", FEW)  # k of each query
+    texts = own.select("unit", F.col("text").alias("unit_text")).join(spread(hits), "unit").join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
     again = scorer(F.col("_query"), F.col("unit_text")) if scorer else F.lit(None).cast("double")
     texts = texts.withColumn("rerank_score", again)
     failed = F.max(F.col("rerank_score").isNull().cast("int")).over(Window.partitionBy("query_id"))

@@ -19,7 +19,7 @@ from tallystone.operators import retrieval as ret
 from tallystone.plans.views import table, view, with_views
 from tallystone.schema import ALERT_ROLES, BASELINE_TYPES, GATES, MASTER_TYPES, MONITORING_TYPES, PROJECT_STEPS, REQUEST_STEPS, RESOLVER_ROLES
 from tallystone.sources import answers, changelog, files, filters, postings, store, vectors
-from tallystone.sources.shared import folder
+from tallystone.sources.shared import folder, settle
 from tallystone.streaming import documents, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,6 +366,7 @@ select project_id as query_id, unit, round(score, 9) as score, round(rerank_scor
 def search_baseline(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "embedding")
     units = view(spark, d, "v_documents").select(F.col("id").alias("unit"), "project_id", F.col("document_type").alias("kind"), "text").join(vectors, "unit")
+    units = settle(units, "units")
     vector = F.array(*(F.lit(x) for x in _VECTOR))
     asked = units.select("project_id").distinct().select(F.col("project_id").alias("query_id"), "project_id", F.lit(QUERY).alias("text"), vector.alias("vector"))
     found = ret.search_baseline(units, asked, scorer=ret.shared_words)
@@ -388,6 +389,7 @@ de as (select * from (select project_id, unit, n, row_number() over (partition b
 select project_id as query_id, unit, cast(row_number() over (partition by project_id order by case when project_id % 2 = 0 then n end, place) as bigint) as rank from de qualify rank <= 8""")
 def rerank_failing(spark, d):
     units = view(spark, d, "v_documents").select(F.col("id").alias("unit"), "project_id", F.col("document_type").alias("kind"), "text").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "embedding"), "unit")
+    units = settle(units, "units")
     asked = units.select("project_id").distinct().select(F.col("project_id").alias("query_id"), "project_id", F.concat(F.lit("zzzz "), (F.col("project_id") + 1_000_000).cast("string")).alias("text"), F.array(*(F.lit(x) for x in _VECTOR)).alias("vector"))
     return ret.search_documents(units, asked, scorer=ret.model_scorer(_faulty)).select("query_id", "unit", F.col("rank").cast("long").alias("rank"))
 
