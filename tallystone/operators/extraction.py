@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -14,6 +14,8 @@ from tallystone.functions.json_text import items as variant_items
 from tallystone.functions.json_text import or_default, parse
 from tallystone.functions.text import prompt_prefix
 
+#: Prompts that a model gets at once.
+PROMPTS = 256
 # Defaults of missing keys.
 SCOPE_ITEM = {"name": "Unknown", "description": "", "scope_type": "UNCERTAIN", "evidence_text": ""}
 ACTIVITY = {"activity_name": "Unknown", "activity_status": "UNKNOWN", "evidence_text": ""}
@@ -32,20 +34,29 @@ STATUS_FIELDS = {
 }
 
 
-def generate_json(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], out: str = "payload") -> DataFrame:
-    """Adds a model's answer as JSON text, and ``<out>_error``. An answer that isn't JSON is asked for once more."""
-    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField(f"{out}_error", StringType())])
+def generate_json(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], out: str = "payload", drop: Sequence[str] = ()) -> DataFrame:
+    """Adds a model's answer as JSON text, and ``<out>_error``, without the columns of ``drop``. An answer that isn't JSON is asked for once more.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [parse(x) for x in model(pdf[prompt].tolist())]
-            again = [i for i, x in enumerate(found) if x is None]
-            if again:
-                for i, x in zip(again, model([f"{pdf[prompt].iloc[i]}\nReturn valid JSON only." for i in again]), strict=True):
-                    found[i] = parse(x)
-            yield pdf.assign(**{out: found, f"{out}_error": [None if x is not None else "no JSON" for x in found]})
-
-    return df.mapInPandas(run, schema)
+    The model gets ``PROMPTS`` prompts at a time at most. Only these are Python texts at once, however wide and many the rows of a batch are.
+    """
+    kept = [f for f in df.schema.fields if f.name not in drop]
+    schema = StructType([*kept, StructField(out, StringType()), StructField(f"{out}_error", StringType())])
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PROMPTS):
+                part = batch.slice(start, PROMPTS)
+                prompts = part.column(prompt).to_pylist()
+                found = [parse(x) for x in model(prompts)]
+                again = [i for i, x in enumerate(found) if x is None]
+                if again:
+                    for i, x in zip(again, model([f"{prompts[i]}\nReturn valid JSON only." for i in again]), strict=True):
+                        found[i] = parse(x)
+                added = [pa.array(found, pa.string()), pa.array([None if x is not None else "no JSON" for x in found], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *added], [*names, out, f"{out}_error"])
+
+    return df.mapInArrow(run, schema)
 
 
 def _asked(task: str, lists: dict[str, list[str]], text: Column) -> Column:
@@ -55,8 +66,8 @@ def _asked(task: str, lists: dict[str, list[str]], text: Column) -> Column:
 
 
 def _extracted(documents: DataFrame, task: str, lists: dict[str, list[str]], model) -> DataFrame:
-    rows = documents.withColumn("_prompt", _asked(task, lists, F.col("text")))
-    return generate_json(rows, "_prompt", model).drop("_prompt", "text")
+    rows = documents.withColumn("_prompt", _asked(task, lists, F.col("text"))).drop("text")
+    return generate_json(rows, "_prompt", model, drop=["_prompt"])
 
 
 def extract_scope(documents: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:

@@ -441,3 +441,22 @@ def test_alerts_of_one_project_are_dealt_over_tasks(spark):
     sizes = [r["count"] for r in out.withColumn("at", F.spark_partition_id()).groupBy("at").count().collect()]
     assert sum(sizes) == 6000 and out.distinct().count() == 6000
     assert len(sizes) == 4 and max(sizes) < 3500
+
+
+def test_a_model_gets_few_prompts_at_once(spark):
+    def model(prompts):
+        if len(prompts) > 256:
+            raise ValueError("too many at once")
+        return [json.dumps({"scope_items": [{"name": p[-3:]}]}) for p in prompts]
+
+    rows = spark.createDataFrame([(i, f"{i:03}") for i in range(700)], "id int, text string").coalesce(1)
+    got = ex.scope_rows(ex.extract_scope(rows, model), ["id"])["scope_items"].collect()
+    assert sorted((r.id, r.name) for r in got) == [(i, f"{i:03}") for i in range(700)]
+
+
+def test_statistics_are_made_in_one_pass(spark):
+    units = spark.createDataFrame(corpus(5, 40), UNIT)
+    plan = ret.bm25(units, "rare w1", "project_id", "unit")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2  # the texts themselves; statistics are read
+    blank = spark.createDataFrame([(3, 1, "EL", " "), (3, 2, "EL", None)], UNIT)
+    assert ret.term_statistics(blank, "project_id").count() == 0
