@@ -2,7 +2,7 @@
 
 ``land`` stores uploads under a fresh id. ``document_states`` follows what has landed: a document is UPLOADED, then PARSING, then COMPLETED, or FAILED with its
 error. The state of each storage key is kept between batches and restarts, so bytes that come again are not parsed again once they are COMPLETED; a
-FAILED document that is landed again under its key is tried again.
+FAILED document that is landed again under its key is tried again. Checkpoints from before the keys were kept by shards can't be gone on with.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from tallystone.sources.files import Parser, parse_docx, parse_txt
 
 LANDED = "document_id bigint, document_name string, document_type string, storage_key string, uploaded_by bigint, content binary, project_id bigint"
 STATES = "project_id bigint, document_id bigint, storage_key string, step int, processing_status string, error_message string, page_number int, text string"
+#: Shards of the keys, fixed with the first checkpoint; rows and characters after which a shard gives out a frame.
+SHARDS, FRAME_ROWS, FRAME_CHARS = 512, 2000, 4_000_000
 
 
 def accept(uploads: DataFrame, uploader: DataFrame | None = None) -> DataFrame:
@@ -46,39 +48,56 @@ def land(uploads: DataFrame, path: str, storage_key: Column | None = None) -> No
 
 
 class DocumentMachine(StatefulProcessor):
-    """States of one storage key: the last status, and how many steps it has taken."""
+    """States of the storage keys of one shard: each one's last status, and how many steps it has taken.
+
+    Each shard takes many keys, as a call and a frame for every key cost more than its parsing.
+    """
 
     def __init__(self, parsers: dict[str, Parser]):
         self.parsers = parsers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "status string, step int")
+        self.status = handle.getMapState("status", "storage_key string", "status string, step int")
+
+    def _steps(self, row: dict) -> list[tuple]:
+        key = row["storage_key"]
+        held = self.status.getValue((key,))
+        if held is not None and held[0] == "COMPLETED":
+            return []
+        step = held[1] if held is not None else 0
+        base = (int(row["project_id"]), int(row["document_id"]), key)
+        out = [(*base, step + 1, "UPLOADED", None, None, None), (*base, step + 2, "PARSING", None, None, None)]
+        step += 3
+        try:
+            name = str(row["document_name"])
+            ext = "." + name.rsplit(".", 1)[1].lower() if "." in name.lstrip(".") else ""
+            if ext not in self.parsers:
+                raise ValueError("Unsupported file format")
+            pages = self.parsers[ext](bytes(row["content"]))
+            out += [(*base, step, "COMPLETED", None, n, t) for n, t in pages] or [(*base, step, "COMPLETED", None, None, None)]
+            self.status.updateValue((key,), ("COMPLETED", step))
+        except Exception as e:
+            out.append((*base, step, "FAILED", str(e) or type(e).__name__, None, None))
+            self.status.updateValue((key,), ("FAILED", step))
+        return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        out, size = [], 0
         for pdf in rows:
-            for row in pdf.to_dict("records"):
-                held = self.status.get()
-                if held is not None and held[0] == "COMPLETED":
-                    continue
-                step, out = (held[1] if held is not None else 0), []
-                base = (int(row["project_id"]), int(row["document_id"]), key[0])
-                for status in ("UPLOADED", "PARSING"):
-                    step += 1
-                    out.append((*base, step, status, None, None, None))
-                step += 1
-                try:
-                    name = str(row["document_name"])
-                    ext = "." + name.rsplit(".", 1)[1].lower() if "." in name.lstrip(".") else ""
-                    if ext not in self.parsers:
-                        raise ValueError("Unsupported file format")
-                    pages = self.parsers[ext](bytes(row["content"]))
-                    out += [(*base, step, "COMPLETED", None, n, t) for n, t in pages] or [(*base, step, "COMPLETED", None, None, None)]
-                    self.status.update(("COMPLETED", step))
-                except Exception as e:
-                    out.append((*base, step, "FAILED", str(e) or type(e).__name__, None, None))
-                    self.status.update(("FAILED", step))
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
-                yield frame.astype({"page_number": "Int32", "step": "int32"})
+            for row in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                own = self._steps(dict(zip(pdf.columns, row, strict=True)))
+                out += own
+                size += sum(len(x[-1]) for x in own if x[-1])
+                if len(out) >= FRAME_ROWS or size >= FRAME_CHARS:
+                    yield self._frame(out)
+                    out, size = [], 0
+        if out:
+            yield self._frame(out)
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
+        return frame.astype({"page_number": "Int32", "step": "int32"})
 
     def close(self) -> None:
         pass
@@ -90,8 +109,9 @@ def document_states(landed: DataFrame, parsers: dict[str, Parser] | None = None)
     A COMPLETED document has a row for each page, with its text. Parsers by extension; text and docx are built in.
     """
     machine = DocumentMachine({".txt": parse_txt, ".docx": parse_docx, **(parsers or {})})
-    rows = landed.select("project_id", "document_id", "document_name", "storage_key", "content")
-    return rows.groupBy("storage_key").transformWithStateInPandas(machine, STATES, "Append", "None")
+    shard = F.pmod(F.xxhash64("storage_key"), F.lit(SHARDS)).cast("int").alias("shard")
+    rows = landed.select("project_id", "document_id", "document_name", "storage_key", "content", shard)
+    return rows.groupBy("shard").transformWithStateInPandas(machine, STATES, "Append", "None")
 
 
 def start_documents(spark: SparkSession, landed: str, states: str, checkpoint: str, parsers: dict[str, Parser] | None = None) -> StreamingQuery:
