@@ -460,3 +460,21 @@ def test_statistics_are_made_in_one_pass(spark):
     assert plan.count("split(") <= 2  # the texts themselves; statistics are read
     blank = spark.createDataFrame([(3, 1, "EL", " "), (3, 2, "EL", None)], UNIT)
     assert ret.term_statistics(blank, "project_id").count() == 0
+
+
+def test_a_frame_holds_many_documents():
+    import pandas as pd
+
+    class Held(dict):
+        def getValue(self, key):  # noqa: N802
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+    machine = documents.DocumentMachine({".txt": lambda b: [(1, b.decode())]})
+    machine.status = Held()
+    rows = pd.DataFrame([(1, i, f"{i}.txt", f"1/{i}", b"text", 3) for i in range(300)], columns=["project_id", "document_id", "document_name", "storage_key", "content", "shard"])
+    frames = list(machine.handleInputRows((3,), iter([rows]), None))
+    assert len(frames) == 1 and len(frames[0]) == 900 and set(machine.status.values()) == {("COMPLETED", 3)}
+    assert not list(machine.handleInputRows((3,), iter([rows]), None))  # nothing twice
