@@ -2,7 +2,7 @@
 
 An index is a folder of Parquet tables, all appended to and never rewritten:
 
-- ``postings`` (project_id, t, block, peaks, entries): the units that hold a term, by blocks of about ``UNITS`` units, the same for
+- ``postings`` (project_id, t, block, n, peaks, entries): the n units that hold a term, by blocks of about ``UNITS`` units, the same for
   all terms. ``peaks`` are the (tf, dl) pairs of which one gives the block's highest score, whatever the mean length is;
 - ``terms`` (project_id, t, df), ``sizes`` (project_id, n, words) and ``shape`` (project_id, df, terms: how many terms have that df):
   differences of one append each. Sums of them are the statistics of all units, and ``shape`` gives the mean idf without the vocabulary;
@@ -21,11 +21,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallystone.functions.text import tokens
+from tallystone.functions.text import not_blank, tokens
 from tallystone.operators.retrieval import EPSILON, K1, B
 from tallystone.sources.shared import exists, folder, remove
 
 BUCKETS, UNITS = 64, 128
+#: Words of an append for each task that writes its postings.
+TASK_WORDS = 1_000_000
 #: Blocks of each query that are scored first, to learn what a block must reach.
 FIRST_BLOCKS = 4
 
@@ -44,50 +46,75 @@ def _committed(spark: SparkSession, path: str, name: str) -> DataFrame | None:
 
 def _peaks(entries: Column) -> Column:
     """(tf, dl) pairs that no other pair beats in both: more occurrences in no more words."""
-    pairs = F.array_sort(F.array_distinct(F.transform(entries, lambda e: F.struct((-e["tf"]).alias("less"), e["dl"].alias("dl")))))
+    pairs = F.sort_array(F.transform(entries, lambda e: F.struct((-e["tf"]).alias("less"), e["dl"].alias("dl"))))
     none = F.array().cast("array<struct<tf:bigint,dl:int>>")
 
     def best(found: Column, pair: Column) -> Column:
         own = F.array(F.struct((-pair["less"]).alias("tf"), pair["dl"].alias("dl")))
         return F.when((F.size(found) == 0) | (pair["dl"] < F.try_element_at(found, F.lit(-1))["dl"]), F.concat(found, own)).otherwise(found)
 
-    return F.aggregate(pairs, none, best)
+    return F.when(F.size(entries) == 1, F.transform(entries, lambda e: F.struct(e["tf"].alias("tf"), e["dl"].alias("dl")))).otherwise(F.aggregate(pairs, none, best))
+
+
+def _counted(ts: Column) -> Column:
+    """(t, tf) of each word, from its sorted words: counts of a text are made inside its row."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (ts[i] != ts[i - 1]))
+    return F.transform(F.arrays_zip(starts.alias("i"), F.concat(F.slice(starts, 2, F.size(ts)), F.array(F.size(ts))).alias("j")), lambda x: F.struct(ts[x["i"]].alias("t"), (x["j"] - x["i"]).cast("long").alias("tf")))
+
+
+def _dealt(rows: DataFrame, tasks: int, *key: str) -> DataFrame:
+    """Rows over ``tasks`` tasks of even size, by bucket: a task has few buckets, so that it writes few files. A bucket that several tasks share is dealt by ``key``, whose rows stay together."""
+    shares = -(-tasks // BUCKETS)
+    share = F.pmod(F.xxhash64(F.lit("share"), *key), F.lit(shares)).cast("int")
+    rows = rows.withColumn("task", F.floor((F.col("bucket") * shares + share) * tasks / (BUCKETS * shares)).cast("int"))
+    return rows.repartitionById(tasks, "task")
 
 
 def append(spark: SparkSession, path: str, units: DataFrame) -> None:
     """Adds ``units(project_id, unit, kind, text)`` that the index doesn't have; only new texts are read, and of ``terms`` the buckets.
 
-    Of units given twice one counts. A null or blank text has no postings and counts nowhere.
+    Of units given twice one counts. A null or blank text has no postings and counts nowhere, nor does a unit without project.
     """
     gen = uuid.uuid4().hex
-    fresh = units.select("project_id", "unit", "kind", tokens(F.col("text")).alias("ts")).where(F.size("ts") > 0).dropDuplicates(["project_id", "unit"])
+    fresh = units.select("project_id", "unit", "kind", "text").where(not_blank(F.col("text")) & F.col("project_id").isNotNull())
     held = _committed(spark, path, "units")
     if held is not None:
         fresh = fresh.join(held.select("project_id", "unit"), ["project_id", "unit"], "left_anti")
+    fresh = fresh.dropDuplicates(["project_id", "unit"]).withColumn("ts", F.sort_array(tokens(F.col("text"))))
     at = folder(spark, "fresh")
-    fresh.write.parquet(at)
-    fresh = spark.read.parquet(at)
-
-    sizes = fresh.groupBy("project_id").agg(F.count("*").alias("n"), F.sum(F.size("ts")).alias("words"))
-    blocks = sizes.select("project_id", F.ceil(F.col("n") / UNITS).alias("n_blocks"))
-    words = fresh.join(blocks, "project_id").select("project_id", "unit", "kind", F.size("ts").alias("dl"), F.pmod(F.xxhash64("unit"), F.col("n_blocks")).alias("b"), F.explode("ts").alias("t"))
-    counted = words.groupBy("project_id", "t", "b", "unit", "kind", "dl").agg(F.count("*").alias("tf"))
-    rows = counted.groupBy("project_id", "t", "b").agg(F.collect_list(F.struct("unit", "kind", "tf", "dl")).alias("entries"))
-    rows = rows.select("project_id", "t", F.concat(F.lit(f"{gen}-"), F.col("b").cast("string")).alias("block"), _peaks(F.col("entries")).alias("peaks"), "entries", F.lit(gen).alias("gen"), _bucket("t"))
-    order = ["bucket", "project_id", "t", "block"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("gen", "bucket").parquet(f"{path}/postings")
-
-    new = spark.read.parquet(f"{path}/postings").where(F.col("gen") == gen).groupBy("project_id", "t", "bucket").agg(F.sum(F.size("entries")).alias("df"))
+    fresh.select("project_id", "unit", "kind", F.size("ts").alias("dl"), _counted(F.col("ts")).alias("counts")).write.parquet(f"{at}/units")
+    fresh = spark.read.parquet(f"{at}/units")
+
+    fresh.groupBy("project_id").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).write.parquet(f"{at}/sizes")
+    sizes = spark.read.parquet(f"{at}/sizes")
+    words = sizes.agg(F.sum("words")).first()[0]
+    if not words:
+        remove(spark, at)
+        return
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // TASK_WORDS))
+    large = sizes.where(F.col("n") > UNITS).select("project_id", F.ceil(F.col("n") / UNITS).alias("n_blocks"))
+    # a project may have most texts: they aren't dealt by it, but meet the few projects of more than a block where they are
+    blocked = fresh.join(F.broadcast(large), "project_id", "left").withColumn("b", F.pmod(F.xxhash64("unit"), F.coalesce("n_blocks", F.lit(1))))
+    counted = blocked.select("project_id", "unit", "kind", "dl", "b", F.inline("counts"))
+    dealt = _dealt(counted.withColumn("bucket", _bucket("t")), tasks, "project_id", "t", "b")
+    rows = dealt.groupBy("task", "bucket", "project_id", "t", "b").agg(F.collect_list(F.struct("unit", "kind", "tf", "dl")).alias("entries"))
+    rows = rows.select("project_id", "t", F.concat(F.lit(f"{gen}-"), F.col("b").cast("string")).alias("block"), F.size("entries").alias("n"), _peaks(F.col("entries")).alias("peaks"), "entries", F.lit(gen).alias("gen"), "bucket")
+    rows.sortWithinPartitions("bucket", "project_id", "t", "block").write.mode("append").partitionBy("gen", "bucket").parquet(f"{path}/postings")
+
+    own = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings/gen={gen}")
+    new = own.groupBy("bucket", "project_id", "t").agg(F.sum("n").alias("df"))
     old = _committed(spark, path, "terms")
     if old is not None:
-        old = old.groupBy("project_id", "t").agg(F.sum("df").alias("was"))
-        new = new.join(old, ["project_id", "t"], "left")
+        new = new.join(old.groupBy("bucket", "project_id", "t").agg(F.sum("df").alias("was")), ["bucket", "project_id", "t"], "left")
     else:
         new = new.withColumn("was", F.lit(None).cast("long"))
+    new.write.parquet(f"{at}/terms")
+    new = spark.read.parquet(f"{at}/terms")
     moves = F.array(F.struct((F.col("df") + F.coalesce("was", F.lit(0))).alias("df"), F.lit(1).alias("terms")), F.struct(F.col("was").alias("df"), F.lit(-1).alias("terms")))
     shape = new.select("project_id", F.inline(moves)).where("df is not null").groupBy("project_id", "df").agg(F.sum("terms").alias("terms"))
     shape.where("terms <> 0").withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("gen").parquet(f"{path}/shape")
-    new.select("project_id", "t", "df", F.lit(gen).alias("gen"), "bucket").write.mode("append").partitionBy("gen", "bucket").parquet(f"{path}/terms")
+    terms = _dealt(new, tasks, "project_id", "t").select("project_id", "t", "df", F.lit(gen).alias("gen"), "bucket")
+    terms.sortWithinPartitions("bucket", "project_id", "t").write.mode("append").partitionBy("gen", "bucket").parquet(f"{path}/terms")
     sizes.withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("gen").parquet(f"{path}/sizes")
     fresh.select("project_id", "unit", F.lit(gen).alias("gen")).write.mode("append").partitionBy("gen").parquet(f"{path}/units")
     spark.createDataFrame([(gen,)], "gen string").coalesce(1).write.mode("append").parquet(f"{path}/commits")

@@ -80,6 +80,19 @@ def test_postings_plan_reads_no_texts(spark, tmp_path):
         postings.Search(spark, str(tmp_path / "none"), spark.createDataFrame([(1, 0, "w0")], "query_id int, project_id int, text string"))
 
 
+def test_a_project_with_most_texts_is_dealt_over_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select(F.lit(1).alias("project_id"), F.lit("the").alias("t"), F.lit(5).alias("bucket"), F.col("id").alias("b"))
+    sizes = [r["count"] for r in postings._dealt(rows, 640, "project_id", "t", "b").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 2300 and sum(sizes) == 20_000
+    units = spark.createDataFrame([(1, i, "EL", f"the the w{i % 300}") for i in range(900)] + [(2, 5000, "EL", "the end"), (None, 5001, "EL", "the none")], UNIT)
+    path = str(tmp_path / "index")
+    postings.append(spark, path, units)
+    held = spark.read.parquet(f"{path}/postings")
+    assert {tuple(r) for r in held.where("t = 'the'").groupBy("project_id").agg(F.sum("n"), F.sum(F.size("entries")), F.countDistinct("block")).collect()} == {(1, 900, 900, 8), (2, 1, 1, 1)}
+    # a task writes its own few buckets
+    assert len(spark.read.parquet(f"{path}/terms").inputFiles()) <= 64 + 4 and len(held.inputFiles()) <= 64 + 4
+
+
 # vectors
 
 
