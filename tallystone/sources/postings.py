@@ -30,6 +30,8 @@ BUCKETS, UNITS = 64, 128
 TASK_WORDS = 1_000_000
 #: Blocks of each query that are scored first, to learn what a block must reach.
 FIRST_BLOCKS = 4
+#: Words or weights of a batch of queries up to which they go to the postings, and not the postings to them.
+FEW = 1000
 
 
 def _bucket(t: str) -> Column:
@@ -102,10 +104,13 @@ def append(spark: SparkSession, path: str, units: DataFrame) -> None:
     rows.sortWithinPartitions("bucket", "project_id", "t", "block").write.mode("append").partitionBy("gen", "bucket").parquet(f"{path}/postings")
 
     own = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings/gen={gen}")
-    new = own.groupBy("bucket", "project_id", "t").agg(F.sum("n").alias("df"))
+    key = ["bucket", "project_id", "t"]
     old = _committed(spark, path, "terms")
+    was = 0 if old is None else _committed(spark, path, "sizes").agg(F.sum("words")).first()[0] or 0
+    parts = max(tasks, -(-(was + words) // TASK_WORDS))  # tasks that don't grow with the index
+    new = own.repartition(parts, *key).groupBy(*key).agg(F.sum("n").alias("df"))
     if old is not None:
-        new = new.join(old.groupBy("bucket", "project_id", "t").agg(F.sum("df").alias("was")), ["bucket", "project_id", "t"], "left")
+        new = new.join(old.repartition(parts, *key).groupBy(*key).agg(F.sum("df").alias("was")), key, "left")
     else:
         new = new.withColumn("was", F.lit(None).cast("long"))
     new.write.parquet(f"{at}/terms")
@@ -146,7 +151,10 @@ class Search:
         asked = queries.select("query_id", "project_id", F.explode(tokens(F.col("text"))).alias("t")).groupBy("query_id", "project_id", "t").agg(F.count("*").alias("asks"))
         asked = self._settle(asked.withColumn("bucket", _bucket("t")), "asked")
         buckets = [r[0] for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
-        postings, terms = (None if (x := _committed(spark, path, n)) is None else x.where(F.col("bucket").isin(buckets)) for n in ("postings", "terms"))
+        own = F.col("bucket").isin(buckets)
+        if len(words := [r[0] for r in asked.select("t").distinct().limit(FEW + 1).collect()]) <= FEW:  # of these buckets, only the words' own rows go on
+            own = own & F.col("t").isin(words)
+        postings, terms = (None if (x := _committed(spark, path, n)) is None else x.where(own) for n in ("postings", "terms"))
         if postings is None:
             raise ValueError(f"no index in {path}")
         self.postings = postings
@@ -157,7 +165,8 @@ class Search:
         weight = F.col("asks") * F.when(idf < 0, F.col("eps")).otherwise(idf)
         self.weights = self._settle(weighted.select("query_id", "project_id", "t", weight.alias("weight"), "avgdl"), "weights")
 
-        heads = postings.select("project_id", "t", "block", "peaks").join(self.weights, ["project_id", "t"])
+        weights = F.broadcast(self.weights) if self.weights.count() <= FEW else self.weights
+        heads = postings.select("project_id", "t", "block", "peaks").join(weights, ["project_id", "t"])
         most = F.array_max(F.transform("peaks", lambda p: _part(F.col("weight"), p["tf"], p["dl"], F.col("avgdl"))))
         bounds = heads.groupBy("query_id", "project_id", "block").agg(F.sum(F.greatest(most, F.lit(0.0))).alias("bound"))
         self.bounds = self._settle(bounds, "bounds")

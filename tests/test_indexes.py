@@ -93,6 +93,14 @@ def test_a_project_with_most_texts_is_dealt_over_tasks(spark, tmp_path):
     assert len(spark.read.parquet(f"{path}/terms").inputFiles()) <= 64 + 4 and len(held.inputFiles()) <= 64 + 4
 
 
+def test_a_search_takes_its_words_rows_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    postings.append(spark, path, spark.createDataFrame(corpus(3, 60), UNIT))
+    asked = spark.createDataFrame([(1, 0, "w0 w1")], "query_id int, project_id int, text string")
+    search = postings.Search(spark, path, asked)
+    assert {r.t for r in search.postings.select("t").distinct().collect()} == {"w0", "w1"}
+
+
 # vectors
 
 
