@@ -16,14 +16,18 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallystone.sources.shared import exists, folder, remove
 
 SAMPLE, LISTS, SEED = 65_536, 1024, 17
+#: Vectors and queries that are compared in one group, about, and distances at once.
+GROUP, CELLS = 8192, 1 << 20
 
 
 def fit(spark: SparkSession, path: str, vectors: DataFrame, lists: int | None = None) -> None:
@@ -74,9 +78,47 @@ def append(spark: SparkSession, path: str, vectors: DataFrame) -> None:
     remove(spark, at)
 
 
-def _gap() -> Column:
-    square = F.zip_with("embedding", "vector", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    return F.aggregate(square, F.lit(0.0), lambda x, y: x + y)
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a group's vectors, those that may be among the k nearest of its queries and within their floors, with exact squared distances.
+
+    A product of matrices says which can't be; its rounding is allowed for. Of equal distances the k smallest units go on.
+    """
+
+    def found(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        at, who, gaps = [], [], []
+        if len(vectors) and len(queries):
+            vectors = vectors.sort_by("unit")
+            x, q = _matrix(vectors["embedding"]), _matrix(queries["vector"])
+            floor = np.nan_to_num(queries["floor"].to_numpy().astype(np.float64), nan=np.inf) ** 2
+            xx, qq = (x * x).sum(1), (q * q).sum(1)
+            for i in range(0, len(q), step := max(1, CELLS // len(x))):
+                own = q[i : i + step]
+                rough = np.nan_to_num(xx[None, :] - 2 * own @ x.T + qq[i : i + step, None], nan=np.inf)
+                slack = 4e-9 + 1e-12 * (np.nanmax(xx, initial=0) + np.nan_to_num(qq[i : i + step]))
+                kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(own), np.inf)
+                most = np.minimum(kth, floor[i : i + step] * (1 + 1e-9)) + slack
+                r, c = np.nonzero(rough <= most[:, None])
+                for cut in range(0, len(r), 1 << 14):
+                    part = slice(cut, cut + (1 << 14))
+                    gaps.append(((x[c[part]] - own[r[part]]) ** 2).sum(1))
+                at.append(c)
+                who.append(r + i)
+        at, who, gaps = (np.concatenate(v) if v else np.zeros(0, kind) for v, kind in ((at, np.int64), (who, np.int64), (gaps, np.float64)))
+        order = np.lexsort((at, gaps, who))
+        at, who, gaps = at[order], who[order], gaps[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (who[1:] != who[:-1]) | (gaps[1:] != gaps[:-1])
+        starts = np.flatnonzero(new)
+        keep = np.arange(len(at)) - starts[np.cumsum(new) - 1] < k if len(at) else new
+        at, who, gaps = at[keep], who[keep], gaps[keep]
+        return pa.table({"query_id": queries["query_id"].take(pa.array(who)), "unit": vectors["unit"].take(pa.array(at)), "kind": vectors["kind"].take(pa.array(at)), "distance": pa.array(gaps)})
+
+    return found
 
 
 class Search:
@@ -102,18 +144,18 @@ class Search:
             order = np.argsort(d, axis=1, kind="stable")
             return pd.Series([[{"list": int(names[j]), "least": max(0.0, float(row[j] - radius[j]))} for j in js if radius[j] >= 0] for row, js in zip(d, order, strict=True)])
 
-        asked = queries.where("vector is not null").select("query_id", "by", "vector")
-        near = asked.select("query_id", "by", "vector", F.posexplode(F.pandas_udf(ordered, "array<struct<list:int,least:double>>")(F.col("vector"))).alias("place", "near"))
-        lists = self._settle(near.select("query_id", "by", "vector", "place", "near.list", "near.least"), "lists")
+        self.asked = asked = self._settle(queries.where("vector is not null").select("query_id", "by", "vector"), "asked")
+        near = asked.select("query_id", "by", F.posexplode(F.pandas_udf(ordered, "array<struct<list:int,least:double>>")(F.col("vector"))).alias("place", "near"))
+        lists = self._settle(near.select("query_id", "by", "place", "near.list", "near.least"), "lists")
         first = self._settle(self._found(lists.where(F.col("place") < probes)), "first")
         if not certify:
             self.opened, self.hits = lists.where(F.col("place") < probes), first
             return
         floor = first.where(F.col("rank") == k).select("query_id", F.sqrt("distance").alias("floor"))
         # distances to centroids are rounded: a list that is a millionth short is opened too
-        more = lists.where(F.col("place") >= probes).join(floor, "query_id", "left").where(F.coalesce(F.col("least") <= F.col("floor") + 1e-6, F.lit(True))).drop("floor")
+        more = lists.where(F.col("place") >= probes).join(floor, "query_id", "left").where(F.coalesce(F.col("least") <= F.col("floor") + 1e-6, F.lit(True)))
         more = self._settle(more, "more")
-        self.opened = lists.where(F.col("place") < probes).unionByName(more)
+        self.opened = lists.where(F.col("place") < probes).unionByName(more.drop("floor"))
         self.hits = self._best(first.drop("rank").unionByName(self._found(more).drop("rank")))
 
     def _settle(self, df: DataFrame, name: str) -> DataFrame:
@@ -122,9 +164,19 @@ class Search:
 
     def _found(self, opened: DataFrame) -> DataFrame:
         wanted = [r[0] for r in opened.select("list").distinct().collect()]  # LISTS at most: other lists' files aren't read
-        vectors = self.spark.read.parquet(f"{self.path}/vectors").where(F.col("list").isin(wanted)).where(self.keep)
-        near = vectors.select("by", "unit", "kind", "embedding", "list").join(opened.select("query_id", "by", "vector", "list"), ["by", "list"])
-        return self._best(near.select("query_id", "unit", "kind", _gap().alias("distance")))
+        vectors = self.spark.read.parquet(f"{self.path}/vectors").where(F.col("list").isin(wanted))
+        sizes = vectors.groupBy("list").count().select("list", F.ceil(F.col("count") / GROUP).cast("int").alias("shares"))
+        shares = F.broadcast(self.spark.createDataFrame(sizes.collect(), "list int, shares int"))  # LISTS at most
+        parts = -(-self.asked.count() // GROUP)
+        # a long list is dealt over groups, and so are many queries: each part of the one meets each part of the other
+        held = vectors.where(self.keep).join(shares, "list").withColumn("share", F.pmod(F.xxhash64("unit"), F.col("shares")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))))
+        floor = F.col("floor") if "floor" in opened.columns else F.lit(None).cast("double")
+        asking = opened.select("query_id", "by", "list", floor.alias("floor")).join(self.asked, ["query_id", "by"]).join(shares, "list")
+        asking = asking.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(parts, 1))).cast("int"))
+        key = ["by", "list", "share", "part"]
+        kind = StructType([self.asked.schema["query_id"], held.schema["unit"], held.schema["kind"], StructField("distance", DoubleType())])
+        left, right = held.select(*key, "unit", "kind", "embedding").groupBy(*key), asking.select(*key, "query_id", "vector", "floor").groupBy(*key)
+        return self._best(left.cogroup(right).applyInArrow(_nearest(self.k), kind))
 
     def _best(self, near: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "unit")

@@ -130,6 +130,34 @@ def test_vector_lists(spark, tmp_path):
     assert sorted((r.query_id, r.rank, r.unit) for r in few.hits.collect()) == plain(a="kind = 'b'", b="unit > 100")
 
 
+def test_nearest_of_a_group_keeps_ties_and_floors():
+    import pyarrow as pa
+
+    x = [[0.0, float(i // 40)] for i in range(200)] + [[None, 1.0]]
+    table = pa.table({"unit": list(range(len(x) - 1, -1, -1)), "kind": ["a"] * len(x), "embedding": pa.array(x, pa.list_(pa.float32()))})
+    asked = pa.table({"query_id": [1, 2], "vector": pa.array([[0.0, 0.0], [0.0, 4.0]], pa.list_(pa.float32())), "floor": pa.array([None, 0.5], pa.float64())})
+    got = vectors._nearest(5)(table, asked).to_pylist()
+    # forty equal vectors: the five smallest units are among them, and no more than five of each distance
+    assert [r["unit"] for r in got if r["query_id"] == 1] == [161, 162, 163, 164, 165] and {r["distance"] for r in got} == {0.0}
+    assert [r["unit"] for r in got if r["query_id"] == 2] == [1, 2, 3, 4, 5]
+    assert len(vectors._nearest(5)(table.slice(0, 0), asked)) == 0
+
+
+def test_lists_and_queries_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP", 16)
+    rng = random.Random(9)
+    held = spark.createDataFrame([(i % 2, i, "a", [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)], "by int, unit int, kind string, embedding array<float>")
+    path = str(tmp_path / "index")
+    vectors.fit(spark, path, held, lists=3)
+    vectors.append(spark, path, held)
+    asked = held.where("unit % 10 = 0").select(F.col("unit").alias("query_id"), "by", F.col("embedding").alias("vector"))
+    search = vectors.Search(spark, path, asked, probes=1)
+    want = sorted((r.query_id, r.rank, r.unit) for r in ret.dense_batch(held, asked, "by", "unit", 10).collect())
+    assert sorted((r.query_id, r.rank, r.unit) for r in search.hits.collect()) == want
+    # distances are made by groups, not by a row for each pair
+    assert "FlatMapCoGroupsInArrow" in search.hits._jdf.queryExecution().toString()
+
+
 # ids
 
 
