@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -14,8 +15,8 @@ from tallystone.functions.json_text import items as variant_items
 from tallystone.functions.json_text import or_default, parse
 from tallystone.functions.text import prompt_prefix
 
-#: Prompts that a model gets at once.
-PROMPTS = 256
+#: Prompts that a model gets at once, and their bytes; one that is longer goes alone.
+PROMPTS, PROMPT_BYTES = 256, 16 << 20
 # Defaults of missing keys.
 SCOPE_ITEM = {"name": "Unknown", "description": "", "scope_type": "UNCERTAIN", "evidence_text": ""}
 ACTIVITY = {"activity_name": "Unknown", "activity_status": "UNKNOWN", "evidence_text": ""}
@@ -34,10 +35,23 @@ STATUS_FIELDS = {
 }
 
 
+def _few(batch: pa.RecordBatch, prompt: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices that a model gets at once."""
+    sizes, start, held = pc.fill_null(pc.binary_length(batch.column(prompt)), 0).to_pylist(), 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start == PROMPTS or held + size > PROMPT_BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if sizes:
+        yield batch.slice(start)
+
+
 def generate_json(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], out: str = "payload", drop: Sequence[str] = ()) -> DataFrame:
     """Adds a model's answer as JSON text, and ``<out>_error``, without the columns of ``drop``. An answer that isn't JSON is asked for once more.
 
-    The model gets ``PROMPTS`` prompts at a time at most. Only these are Python texts at once, however wide and many the rows of a batch are.
+    The model gets ``PROMPTS`` prompts or ``PROMPT_BYTES`` of them at a time at most. Only these are Python texts at once, however wide and many the rows
+    of a batch are.
     """
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = StructType([*kept, StructField(out, StringType()), StructField(f"{out}_error", StringType())])
@@ -45,8 +59,7 @@ def generate_json(df: DataFrame, prompt: str, model: Callable[[list[str]], list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, PROMPTS):
-                part = batch.slice(start, PROMPTS)
+            for part in _few(batch, prompt):
                 prompts = part.column(prompt).to_pylist()
                 found = [parse(x) for x in model(prompts)]
                 again = [i for i, x in enumerate(found) if x is None]
@@ -60,24 +73,24 @@ def generate_json(df: DataFrame, prompt: str, model: Callable[[list[str]], list[
 
 
 def _asked(task: str, lists: dict[str, list[str]], text: Column) -> Column:
-    """A prompt: the task, the lists of objects wanted, and the text's first characters."""
+    """A prompt: the task, the lists of objects wanted, and the text; a document without one shows none."""
     wanted = "; ".join(f"{name}: objects with {', '.join(keys)}" for name, keys in lists.items())
-    return F.concat(F.lit(f"{task} Answer with one JSON object and nothing else. It holds {wanted}. Use null where the text says nothing.\n\nText:\n"), F.coalesce(prompt_prefix(text), F.lit("")))
+    return F.concat(F.lit(f"{task} Answer with one JSON object and nothing else. It holds {wanted}. Use null where the text says nothing."), F.coalesce(F.concat(F.lit("\n\nText:\n"), text), F.lit("")))
 
 
-def _extracted(documents: DataFrame, task: str, lists: dict[str, list[str]], model) -> DataFrame:
-    rows = documents.withColumn("_prompt", _asked(task, lists, F.col("text"))).drop("text")
+def _extracted(documents: DataFrame, task: str, lists: dict[str, list[str]], text: Column, model) -> DataFrame:
+    rows = documents.withColumn("_prompt", _asked(task, lists, text)).drop("text")
     return generate_json(rows, "_prompt", model, drop=["_prompt"])
 
 
 def extract_scope(documents: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
-    """``documents`` without ``text``, with ``payload`` and ``payload_error``: scope items, deliverables and stakeholders of a contract."""
-    return _extracted(documents, "Find what this engagement letter or approval puts in and out of scope.", SCOPE_FIELDS, model)
+    """``documents`` without ``text``, with ``payload`` and ``payload_error``: scope items, deliverables and stakeholders of a contract, from its whole text."""
+    return _extracted(documents, "Find what this engagement letter or approval puts in and out of scope.", SCOPE_FIELDS, F.col("text"), model)
 
 
 def extract_status(documents: DataFrame, model: Callable[[list[str]], list[str]]) -> DataFrame:
-    """``documents`` without ``text``, with ``payload`` and ``payload_error``: activities and new requests of a report or minutes."""
-    return _extracted(documents, "Find the activities and the new requests in this status report or these minutes.", STATUS_FIELDS, model)
+    """``documents`` without ``text``, with ``payload`` and ``payload_error``: activities and new requests of a report or minutes, from the first characters of its text."""
+    return _extracted(documents, "Find the activities and the new requests in this status report or these minutes.", STATUS_FIELDS, prompt_prefix(F.col("text")), model)
 
 
 def scope_rows(extracted: DataFrame, keep: list[str]) -> dict[str, DataFrame]:

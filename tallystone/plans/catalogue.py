@@ -457,12 +457,12 @@ def evidence_digest(spark, d):
 
 
 def _reader(prompts):
-    """A model that says how long the text is."""
-    lengths = [len(p.split("\n\nText:\n", 1)[1]) for p in prompts]
-    return [json.dumps({"scope_items": [{"name": str(n)}, {"name": "rest", "scope_type": "IN_SCOPE"}], "activities": [{"activity_name": str(n)}], "new_requests": []}) for n in lengths]
+    """A model that says how long the text is, null without one."""
+    lengths = [str(len(text[0])) if text else None for _, *text in (p.split("\n\nText:\n", 1) for p in prompts)]
+    return [json.dumps({"scope_items": [{"name": n}, {"name": "rest", "scope_type": "IN_SCOPE"}], "activities": [{"activity_name": n}], "new_requests": []}) for n in lengths]
 
 
-@query("select id, pos, case when pos = 0 then cast(least(length(text), 8000) as varchar) else 'rest' end as name, case when pos = 0 then 'UNCERTAIN' else 'IN_SCOPE' end as scope_type from v_documents, (values (0), (1)) v(pos)")
+@query("select id, pos, case when pos = 0 then cast(length(text) as varchar) else 'rest' end as name, case when pos = 0 then 'UNCERTAIN' else 'IN_SCOPE' end as scope_type from v_documents, (values (0), (1)) v(pos)")
 def scope_extract(spark, d):
     docs = view(spark, d, "v_documents").select("id", "text")
     return ex.scope_rows(ex.extract_scope(docs, _reader), ["id"])["scope_items"].select("id", "pos", "name", "scope_type")

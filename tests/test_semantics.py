@@ -224,6 +224,21 @@ def test_extraction_of_odd_answers(spark):
     assert rows["deliverables"].count() == 0 and rows["stakeholders"].count() == 0
 
 
+def test_scope_is_read_from_the_whole_text(spark, monkeypatch):
+    model = lambda ps: [json.dumps({"scope_items": [{"name": p[-4:], "description": str(len(p.partition("\n\nText:\n")[2]))}]}) for p in ps]
+    texts = {1: "x" * 50_000 + "tail", 2: "y" * 8001 + "last", 3: "", 4: "0123"}
+    docs = spark.createDataFrame(list(texts.items()), "id int, text string").coalesce(1)
+    want = {i: str(len(t)) for i, t in texts.items()}
+    read = lambda m: {r.id: (r.name, r.description) for r in ex.scope_rows(ex.extract_scope(docs, m), ["id"])["scope_items"].collect()}
+    got = read(model)
+    assert {i: n for i, (_, n) in got.items()} == want and got[1][0] == "tail" and got[2][0] == "last"
+    # few bytes at once, but every prompt whole
+    monkeypatch.setattr(ex, "PROMPT_BYTES", 10_000)
+    rows = ex.pa.RecordBatch.from_pydict({"p": ["a" * 6000, "b" * 6000, "c" * 20_000, None, "d", "e"]})
+    assert [p.num_rows for p in ex._few(rows, "p")] == [1, 1, 1, 3]
+    assert [p.num_rows for p in ex._few(rows.slice(0, 0), "p")] == []
+
+
 def test_delivery(spark):
     def connect():
         def send(row):
