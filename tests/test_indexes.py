@@ -295,6 +295,51 @@ def test_alerts_go_out_once(spark, tmp_path):
     assert ledger.ledger(spark, path).where("sent").count() == 8 and ledger.unconfirmed(spark, path).count() == 0
 
 
+def test_the_ledger_grows_with_items_and_people(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "PEOPLE", 8)
+    kinds = "project_id int, item_type string, reference_id int, requires_escalation boolean, risk_score double"
+    items = spark.createDataFrame([(i % 2, "NEW_REQUEST", i, True, 0.1) for i in range(40)] * 2 + [(None, "NEW_REQUEST", 7, True, 0.1), (1, "ACTIVITY", 8, True, 0.1)], kinds)
+    crowd = [(p, f"m{i}", "PROJECT_LEAD") for p in range(2) for i in range(20)] * 2 + [(0, None, "PROJECT_LEAD"), (0, "x", "ADMIN")]
+    people = spark.createDataFrame(crowd, "project_id int, email string, role string")
+    path, log = str(tmp_path / "ledger"), str(tmp_path / "log")
+    lines = lambda: Counter(open(log).read().split("\n")[:-1])
+    for number, part in enumerate(("project_id = 0", "true", "true")):
+        about, person = ledger.send_alerts(items.where(part), people, number, path, mailbox(log, {"m3"}))
+    want = {f"{i} m{j}" for i in range(40) for j in range(20) if j != 3} | {f"{i} None" for i in range(0, 40, 2)}
+    assert lines() == Counter(want)
+    # 820 alerts: an item has a row for each of the three sets of its project, whose people are stored once
+    assert spark.read.parquet(f"{path}/items").count() == 120 and spark.read.parquet(f"{path}/sets").select(F.explode("people")).count() <= 41
+    found = ledger.entries(spark, path, about, person)
+    assert found.columns == ["project_id", "item_type", "reference_id", "email", "role", "subject", "batch", "sent", "error"]
+    assert found.count() == 820 and found.where("error = 'refused' and not sent").count() == found.where("email = 'm3'").count() == 40
+    plain = ledger.ledger(spark, path)
+    keys = found.select(F.sha2(F.to_json(F.struct(*ledger.KEY), {"ignoreNullFields": "false"}), 256).alias("key"))
+    assert plain.join(keys, "key").count() == plain.count() == 820
+    # one more person: who has an alert gets no second one
+    more = people.unionByName(spark.createDataFrame([(1, "m10x", "PROJECT_LEAD")], people.schema))
+    ledger.send_alerts(items, more, 3, path, mailbox(log, {"m3"}))
+    want |= {f"{i} m10x" for i in range(1, 40, 2)}
+    assert lines() == Counter(want) and ledger.ledger(spark, path).count() == 840
+    # a retry, by rows, of those that failed, and another for who fails again
+    outbox = monitoring.alerts(items, more).drop("role")
+    ledger.send_batch(outbox.where("reference_id < 30"), 4, path, mailbox(log), retry=True)
+    ledger.send_batch(outbox, 5, path, mailbox(log, {"m3"}), retry=True)
+    assert lines() == Counter(want | {f"{i} m3" for i in range(30)})
+    ledger.send_batch(outbox, 6, path, mailbox(log), retry=True)
+    want |= {f"{i} m3" for i in range(40)}
+    assert lines() == Counter(want) and ledger.ledger(spark, path).where("sent").count() == 840
+    assert ledger.entries(spark, path, about, person).where("sent and batch < 4000").count() == 840
+
+
+def test_a_key_of_one_column(spark, tmp_path):
+    path, log = str(tmp_path / "ledger"), str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "NEW_REQUEST", i, f"m{i % 2}", "s") for i in range(6)], OUT)
+    for number in range(2):
+        ledger.send_batch(rows, number, path, mailbox(log), key=("email",))
+    assert len(open(log).read().split("\n")[:-1]) == 2
+    assert {json.loads(r.alert)["email"] for r in ledger.ledger(spark, path).where("sent").collect()} == {"m0", "m1"}
+
+
 def test_a_batch_that_died_is_not_sent_again(spark, tmp_path, monkeypatch):
     path, log = str(tmp_path / "ledger"), str(tmp_path / "log")
     rows = spark.createDataFrame([(1, "NEW_REQUEST", i, "m", "s") for i in range(3)], OUT)
