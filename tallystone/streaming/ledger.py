@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, StructType
 
-from tallystone.operators.monitoring import SHARES, addressed
+from tallystone.operators.monitoring import PEOPLE, SHARES, addressed, alerted
 from tallystone.sources.shared import exists, remove
 
 #: What makes two alerts the same; the last column says to whom, those before about what.
 KEY = ("project_id", "item_type", "reference_id", "email")
-#: People of a set, and errors that a task holds before it gives them on.
-PEOPLE, ERRORS = 1024, 100_000
+#: Errors that a task holds before it gives them on.
+ERRORS = 100_000
 _KINDS = {
     "items": "item string, more string, set string, again boolean, batch bigint",
     "sets": "set string, people array<struct<k:string,row:string>>",
@@ -209,6 +209,7 @@ def send_alerts(items: DataFrame, stakeholders: DataFrame, number: int, path: st
     flagged, told = addressed(items, stakeholders, item_type)
     what, work = list(KEY[:-1]), f"{path}/_work/{number}"
     whom = [c for c in told.columns if c != "project_id"]
+    flagged = alerted(flagged)
     more = [c for c in flagged.columns if c not in what]
     people = told.select("project_id", F.struct(_json(KEY[-1:]).alias("k"), _json(whom).alias("row")).alias("p"))
     held = _kept(_in_sets(people, "project_id"), f"{work}/people")

@@ -537,6 +537,22 @@ def test_alerts_of_one_project_are_dealt_over_tasks(spark):
     assert len(sizes) == 4 and max(sizes) < 3500
 
 
+def test_an_item_meets_people_in_lists(spark, monkeypatch):
+    monkeypatch.setattr(monitoring, "PEOPLE", 8)
+    kinds = "project_id int, item_type string, reference_id int, requires_escalation boolean, risk_score double, item_name string, reasoning string"
+    items = spark.createDataFrame([(i % 3 or None, "NEW_REQUEST", i, True, 0.1, f"n{i}", None) for i in range(30)] * 2, kinds)
+    people = spark.createDataFrame([(p, f"m{i % 15}", "PROJECT_LEAD") for p in (1, 2, 3, None) for i in range(20)] + [(1, None, "ENGAGEMENT_MANAGER"), (2, "x", "ADMIN")], "project_id int, email string, role string")
+    out = monitoring.alerts(items, people)
+    assert out.columns == ["project_id", "item_type", "reference_id", "email", "role", "subject", "body"]
+    mails = Counter([*(f"m{i % 15}" for i in range(20))])
+    want = Counter({(i % 3, i, m): 2 * n for i in range(30) if i % 3 for m, n in mails.items()}) + Counter({(1, i, None): 2 for i in range(1, 30, 3)})
+    assert Counter((r.project_id, r.reference_id, r.email) for r in out.collect()) == want
+    assert {r.body.split("\n")[2] for r in out.where("reference_id = 4").collect()} == {"Item: n4"}
+    # the join makes a row for an item and a list, not for each alert
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("ShuffledHashJoin")
+
+
 def test_a_model_gets_few_prompts_at_once(spark):
     def model(prompts):
         if len(prompts) > 256:
